@@ -76,15 +76,13 @@ def describe(
 
 def summarize(
     sample: Sample,
+    table: DataFrame,
     *,
-    trim: float = 0.08,
     bandwidth: float | None = None,
     grid_points: int = GRID_POINTS,
-    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """keys, count and the nine statistics; one row per group."""
+    """keys, count and the nine statistics; one row per group of the ``describe`` table."""
     keys = sample.keys
-    table = describe(sample, trim=trim, bandwidth=bandwidth, task_rows=task_rows)
     if bandwidth and bandwidth < 0:
         with_mode = join_facts(kde_mode(sample, table, grid_points=grid_points), table, keys)
     else:
@@ -119,6 +117,5 @@ def stat_summary(
 ) -> DataFrame:
     """Summary of any numeric column; reads ``df`` three times, so ``pin`` a costly plan first."""
     sample = make_sample(df, group_cols, value_col, weight_col, order_col)
-    return summarize(
-        sample, trim=trim, bandwidth=bandwidth, grid_points=grid_points, task_rows=task_rows
-    )
+    table = describe(sample, trim=trim, bandwidth=bandwidth, task_rows=task_rows)
+    return summarize(sample, table, bandwidth=bandwidth, grid_points=grid_points)
