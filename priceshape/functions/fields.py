@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from priceshape.schemas import VALUE_TYPE
 
@@ -80,7 +81,7 @@ def series_id_parts(series_id: Column) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def percent_text(fraction: pd.Series) -> pd.Series:
     """``0.12345`` -> ``12.35%``, rounding the binary value; for small summary tables only."""
     return fraction.map(lambda v: None if pd.isna(v) else f"{v * 100:.2f}%")

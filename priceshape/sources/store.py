@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,20 @@ from priceshape.operators.integrity import require_integrity
 from priceshape.schemas import COLUMN_DEFAULTS, KEYS, SCHEMAS, Tables
 
 
+def with_defaults(table: DataFrame, name: str) -> DataFrame:
+    """An older table in its present form: columns added later hold their defaults."""
+    columns = []
+    for field in SCHEMAS[name].fields:
+        default = COLUMN_DEFAULTS.get(name, {}).get(field.name)
+        value = F.col(field.name) if field.name in table.columns else F.lit(None)
+        if default is not None:
+            value = F.coalesce(value, F.lit(default))
+        elif field.name not in table.columns:
+            raise ValueError(f"{name}: column {field.name!r} is missing")
+        columns.append(value.cast(field.dataType).alias(field.name))
+    return table.select(columns)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -90,15 +103,7 @@ class Store:
         path = manifest["tables"].get(name)
         if path is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        table = self.spark.read.parquet(path)
-        for column, default in COLUMN_DEFAULTS.get(name, {}).items():
-            value = F.lit(default)
-            if column in table.columns:
-                value = F.coalesce(F.col(column), value)
-            table = table.withColumn(column, value)
-        return table.select(
-            [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
-        )
+        return with_defaults(self.spark.read.parquet(path), name)
 
     def _read_observations(self, manifest: dict, years: list[str] | None = None) -> DataFrame:
         listed = manifest["observation"]
@@ -211,11 +216,3 @@ def delete_series(tables: Tables, series: DataFrame) -> Tables:
 def export_ordered(tables: Tables) -> Tables:
     """Every table in key order, as a store is read for export."""
     return Tables(**{n: t.orderBy(*KEYS[n]) for n, t in tables.items()})
-
-
-def total_rows(tables: Tables) -> DataFrame:
-    counts = [
-        t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows")
-        for n, t in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
