@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priceshape.functions.fields import item_code_length, strip
+from priceshape.scratch import pin
 
 # The names a lock may use for each series column.
 LOCK_NAMES = {
@@ -69,7 +70,8 @@ def sample_guard(
     """
     if min_sample_size <= 0 or not skip:
         return components
-    small = components.groupBy(*scope_cols).count().filter(F.col("count") < min_sample_size)
+    sizes = components.groupBy(*scope_cols).count()
+    small = pin(sizes.filter(F.col("count") < min_sample_size), "small")
     renamed = small.select([F.col(c).alias(f"_s_{c}") for c in scope_cols])
     condition = " AND ".join(f"`{c}` <=> `_s_{c}`" for c in scope_cols)
     return components.join(renamed, F.expr(condition), "left_anti")

@@ -19,6 +19,7 @@ from priceshape.functions.periods import (
 )
 from priceshape.operators.filters import apply_locks, selectable_items
 from priceshape.schemas import Tables
+from priceshape.scratch import pin
 
 
 def growth_ratio(current: Column, previous: Column) -> Column:
@@ -111,7 +112,8 @@ def growth_components(
     ``months`` is a closed range of ``YYYY-MM``; None means every series' own latest period.
     Series without a known item, and observations without a known series, do not contribute.
     """
-    dims = component_series(tables, locks, selectable_only)
+    # Written, so that its size is known: a small one filters the observations before the shuffle.
+    dims = pin(component_series(tables, locks, selectable_only), "component-series")
     observed = tables.observation.select("series_id", "year", "period", "value")
     if locks or selectable_only:
         observed = observed.join(dims.select("series_id"), "series_id", "left_semi")

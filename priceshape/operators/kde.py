@@ -25,6 +25,7 @@ CELL = 0.5
 REACH = 8.75
 TERMS = 16
 TIE = 1e-12
+GROUPS_PER_TASK = 64
 
 # Rule of thumb over std, q25, q75 and ess; the interquartile range counts only when positive.
 BANDWIDTH_RULE = """0.9D * greatest(0D, if(q75 - q25 <= 0, std, least(std, (q75 - q25) / 1.34D)))
@@ -70,10 +71,13 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
     for k in range(TERMS - 2, -1, -1):
         series = f"({series}) * _u + _m{k} * {1.0 / math.factorial(k)!r}D"
     terms = [f"_m{k}" for k in range(TERMS)]
-    # From here on everything of a group stays in the partition its cells are sent to.
+    # From here on everything of a group stays in the partition its cells are sent to. The cells
+    # are few but stand for many grid points, so the number of tasks follows the groups.
+    cores = sample.rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(sample.group_count, cores), -(-sample.group_count // GROUPS_PER_TASK), 1)
     return (
         join_facts(cells, frame, keys)
-        .repartition(*keys)
+        .repartition(tasks, *keys)
         .selectExpr(*keys, "h", "low", "step", f"{centre} AS _centre", *terms,
                     f"explode(sequence({first}, {last})) AS i")
         .selectExpr(*keys, "h", "i", *terms, "low + i * step AS _grid_x",
@@ -103,7 +107,7 @@ def kde_mode(sample: Sample, table: DataFrame, *, grid_points: int = GRID_POINTS
     of their first row of greatest weight."""
     keys = sample.keys
     modes = mode_of(density(sample, grid_frame(table, keys, grid_points), grid_points), keys)
-    flat = join_facts(heaviest_value(sample), table.filter("h <= 0").select(*keys), keys)
+    flat = heaviest_value(sample, table.filter("h <= 0").select(*keys))
     return modes.unionByName(flat.selectExpr(*keys, "heaviest AS mode"))
 
 
@@ -132,7 +136,7 @@ def kde_curve(sample: Sample, table: DataFrame, *, grid_points: int = GRID_POINT
     )
     peak = "if(step > 0, cast(ceil((heaviest - lo) / step - 0.5D) AS int), 0)"
     flat = (
-        join_facts(heaviest_value(sample), flat_table, keys)
+        heaviest_value(sample, flat_table)
         .selectExpr(*keys, "lo", "step", f"{peak} AS _peak", points)
         .selectExpr(*keys, "i", "lo + i * step AS grid_x", "if(i = _peak, 1D, 0D) AS density")
     )

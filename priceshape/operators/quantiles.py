@@ -59,7 +59,7 @@ def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
     too_big = f"(cell_n > {task_rows} AND cell_lo < cell_hi AND {_any_cut(positions)})"
     # Halving first keeps the width finite for any pair of doubles.
     offset = "(_x / 2 - cell_lo / 2) / (cell_hi / 2 - cell_lo / 2)"
-    while not cells.filter(too_big).isEmpty():
+    while sample.largest_group > task_rows and not cells.filter(too_big).isEmpty():
         targets = cells.filter(too_big).select(*keys, "cell_lo", "cell_hi")
         split = (
             join_facts(sample.rows, targets, keys, "_x BETWEEN cell_lo AND cell_hi")

@@ -21,13 +21,16 @@ X, W, ORDER, ALL = "_x", "_w", "_order", "_all"
 
 @dataclass(frozen=True)
 class Sample:
-    """Rows (keys, _x, _w[, _order]) and facts (one row per group)."""
+    """Rows (keys, _x, _w[, _order]) and facts (one row per group), with two sizes taken from the
+    written facts: the number of groups and the rows of the largest group."""
 
     rows: DataFrame
     facts: DataFrame
     keys: list[str]
     weighted: bool
     grouped: bool
+    group_count: int
+    largest_group: int
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop the stand-in key of an ungrouped sample."""
@@ -97,11 +100,18 @@ def make_sample(
             WHEN sw <= 0 THEN cast(raise_error('weights must sum to a positive value') AS double)
             ELSE sw END"""
         facts = facts.withColumn("sw", F.expr(checked))
-    return Sample(rows, pin(facts, "facts"), keys, weight_col is not None, grouped)
+    facts = pin(facts, "facts")
+    groups, largest = facts.selectExpr("count(1)", "coalesce(max(n), 0)").first()
+    return Sample(rows, facts, keys, weight_col is not None, grouped, groups, largest)
 
 
-def heaviest_value(sample: Sample) -> DataFrame:
-    """Per group the value of the first row (by order column, else by value) of greatest weight."""
+def heaviest_value(sample: Sample, groups: DataFrame) -> DataFrame:
+    """Value of the first row (by order column, else by value) of greatest weight, per given group.
+
+    Carries the other columns of ``groups`` along.
+    """
     order = ORDER if ORDER in sample.rows.columns else X
     first = F.expr(f"min_by(_x, struct(-_w, {order}))")
-    return sample.rows.groupBy(*sample.keys).agg(first.alias("heaviest"))
+    rows = join_facts(sample.rows, groups.select(*sample.keys), sample.keys)
+    found = rows.groupBy(*sample.keys).agg(first.alias("heaviest"))
+    return join_facts(found, groups, sample.keys)

@@ -12,11 +12,13 @@ from priceshape.schemas import Tables
 
 
 def series_details(tables: Tables) -> DataFrame:
-    """observation x series x item with the observation's date."""
-    return (
-        tables.observation.join(tables.series, "series_id")
-        .join(tables.item, "item_code")
-        .withColumn("date", period_date(F.col("year"), F.col("period")))
+    """observation x series x item with the observation's date.
+
+    The small tables are joined first, so observations meet them once, by series.
+    """
+    dims = tables.series.join(tables.item, "item_code")
+    return tables.observation.join(dims, "series_id").withColumn(
+        "date", period_date(F.col("year"), F.col("period"))
     )
 
 
@@ -30,15 +32,12 @@ def series_view(
     """id, name, date, value of one display level or one item-code length."""
     items = selectable_items(tables.item, selectable_only)
     items = detail_filter(items, display_level=display_level, code_length=code_length)
-    return (
-        tables.observation.join(tables.series, "series_id")
-        .join(items, "item_code")
-        .select(
-            F.col("series_id").alias("id"),
-            F.col("item_name").alias("name"),
-            period_date(F.col("year"), F.col("period")).alias("date"),
-            "value",
-        )
+    dims = tables.series.join(items, "item_code").select("series_id", "item_name")
+    return tables.observation.join(dims, "series_id").select(
+        F.col("series_id").alias("id"),
+        F.col("item_name").alias("name"),
+        period_date(F.col("year"), F.col("period")).alias("date"),
+        "value",
     )
 
 

@@ -3,8 +3,8 @@
 A store is a folder of immutable Parquet directories and a small ``CURRENT`` file that lists the
 directories of the present state. A change writes new directories first and replaces ``CURRENT``
 last, so readers see all of it or nothing and a lost executor or a failed job changes nothing.
-Observations are kept in one directory per year; an upsert rewrites only the years it touches.
-There is one writer at a time.
+Observations are kept in directories per year: an append adds a directory, an upsert rewrites only
+the years it touches. There is one writer at a time.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ class Store:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(conf)
 
-    # The list of current directories: {table: [dir]} and for observations {year: dir}.
+    # The current directories: {table: [dir, ...]} and for observations {year: [dir, ...]}.
 
     def _manifest(self) -> dict:
         pointer = self._path(f"{self.root}/CURRENT")
@@ -74,24 +74,26 @@ class Store:
         df.select(SCHEMAS[name].fieldNames()).write.parquet(path)
         return path
 
-    def _write_observations(self, df: DataFrame) -> dict[str, str]:
-        """Write one directory per year, rows near each other by series; returns {year: dir}."""
+    def _write_observations(self, df: DataFrame) -> dict[str, list[str]]:
+        """Write one directory per year, sorted by key; returns {year: [dir]}.
+
+        The shuffle that orders the rows also brings equal keys together, so a repeated key fails
+        the job without a pass of its own. A large year is cut into several ranges.
+        """
         path = f"{self.root}/observation/batch={uuid.uuid4().hex}"
-        columns = df.select(SCHEMAS["observation"].fieldNames())
-        # Range partitioning cuts a large year into several tasks, a small one stays whole.
-        (
-            columns.repartitionByRange("year", "series_id", "period")
-            .sortWithinPartitions("year", "series_id", "period")
-            .write.partitionBy("year")
-            .parquet(path)
-        )
-        if not self._fs.exists(self._path(path)):
-            return {}
+        keys = ["year", "series_id", "period"]
+        checked = """if(count(1) OVER (PARTITION BY year, series_id, period) > 1,
+            raise_error(concat('observation: repeated key ', series_id, ' ', year, ' ', period)),
+            series_id) AS series_id"""
+        others = [c for c in SCHEMAS["observation"].fieldNames() if c != "series_id"]
+        ranged = df.repartitionByRange(*keys)
+        ordered = ranged.selectExpr(checked, *others).sortWithinPartitions(*keys)
+        ordered.write.partitionBy("year").parquet(path)
         years = {}
         for status in self._fs.listStatus(self._path(path)):
             name = status.getPath().getName()
             if name.startswith("year="):
-                years[name.removeprefix("year=")] = f"{path}/{name}"
+                years[name.removeprefix("year=")] = [f"{path}/{name}"]
         return years
 
     # Reading
@@ -100,24 +102,29 @@ class Store:
         return bool(self._manifest()["tables"])
 
     def _read_table(self, name: str, manifest: dict) -> DataFrame:
-        path = manifest["tables"].get(name)
-        if path is None:
+        paths = manifest["tables"].get(name)
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return with_defaults(self.spark.read.parquet(path), name)
+        # A column the files lack reads as NULL.
+        return with_defaults(self.spark.read.schema(SCHEMAS[name]).parquet(*paths), name)
 
     def _read_observations(self, manifest: dict, years: list[str] | None = None) -> DataFrame:
         listed = manifest["observation"]
-        paths = [listed[y] for y in sorted(listed) if years is None or y in years]
+        paths = [p for y in sorted(listed) if years is None or y in years for p in listed[y]]
         schema = SCHEMAS["observation"]
         if not paths:
             return self.spark.createDataFrame([], schema)
         reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/observation")
         return reader.parquet(*paths).select(schema.fieldNames())
 
-    def read(self) -> Tables:
-        manifest = self._manifest()
+    def _tables(self, manifest: dict, observation: DataFrame | None = None) -> Tables:
         dims = {n: self._read_table(n, manifest) for n in SCHEMAS if n != "observation"}
-        return Tables(**dims, observation=self._read_observations(manifest))
+        if observation is None:
+            observation = self._read_observations(manifest)
+        return Tables(**dims, observation=observation)
+
+    def read(self) -> Tables:
+        return self._tables(self._manifest())
 
     # Changing
 
@@ -127,34 +134,28 @@ class Store:
         missing = [n for n in SCHEMAS if n != "observation" and n not in manifest["tables"]]
         for name in missing:
             empty = self.spark.createDataFrame([], SCHEMAS[name])
-            manifest["tables"][name] = self._write_table(name, empty)
+            manifest["tables"][name] = [self._write_table(name, empty)]
         if missing:
             self._publish(manifest)
 
     def load(self, tables: Tables, *, truncate: bool = True) -> None:
-        """Replace all tables, or append to them and fail if any key is there already."""
-        if not truncate and self.exists():
-            current = self.read()
-            for name, table in tables.items():
-                clash = table.join(current.get(name), KEYS[name], "left_semi")
-                if not clash.isEmpty():
-                    raise ValueError(f"{name}: keys to load are already in the store")
-            tables = Tables(
-                **{
-                    name: current.get(name).unionByName(table.select(SCHEMAS[name].fieldNames()))
-                    for name, table in tables.items()
-                }
-            )
+        """Replace all tables, or append to them; a key that occurs twice is an error."""
+        manifest = {"tables": {}, "observation": {}} if truncate else self._manifest()
+        current = self._tables(manifest)
         for name, table in tables.items():
-            repeated = table.groupBy(*KEYS[name]).count().filter("count > 1")
-            if not repeated.isEmpty():
-                raise ValueError(f"{name}: a key occurs more than once")
-        require_integrity(tables)
-        manifest = {"tables": {}, "observation": self._write_observations(tables.observation)}
+            if not table.join(current.get(name), KEYS[name], "left_semi").isEmpty():
+                raise ValueError(f"{name}: keys to load are already in the store")
+            if name != "observation":
+                repeated = table.groupBy(*KEYS[name]).count().filter("count > 1")
+                if not repeated.isEmpty():
+                    raise ValueError(f"{name}: a key occurs more than once")
         for name, table in tables.items():
             if name != "observation":
-                manifest["tables"][name] = self._write_table(name, table)
-        self._publish(manifest)
+                added = self._write_table(name, table)
+                manifest["tables"][name] = [*manifest["tables"].get(name, []), added]
+        for year, paths in self._write_observations(tables.observation).items():
+            manifest["observation"][year] = [*manifest["observation"].get(year, []), *paths]
+        self._check_and_publish(manifest, tables.observation)
 
     def _upsert_dimensions(self, incoming: Tables, manifest: dict) -> dict:
         written = dict(manifest["tables"])
@@ -164,7 +165,7 @@ class Store:
                 merged = upsert(
                     self._read_table(name, manifest), table.select(columns), KEYS[name]
                 )
-                written[name] = self._write_table(name, merged)
+                written[name] = [self._write_table(name, merged)]
         return {**manifest, "tables": written}
 
     def _upsert_years(
@@ -183,23 +184,27 @@ class Store:
         written = self._write_observations(merged)
         return {**manifest, "observation": {**manifest["observation"], **written}}
 
-    def _check_and_publish(self, manifest: dict) -> None:
-        dims = {n: self._read_table(n, manifest) for n in SCHEMAS if n != "observation"}
-        require_integrity(Tables(**dims, observation=self._read_observations(manifest)))
+    def _check_and_publish(self, manifest: dict, observation: DataFrame) -> None:
+        """Publish unless a reference is broken. Only the given observations are looked at: no
+        change here takes series away from those that were there before."""
+        require_integrity(self._tables(manifest, observation))
         self._publish(manifest)
 
     def sync_metadata(self, incoming: Tables) -> None:
         """Upsert the dimension and series tables; observations stay as they are."""
-        self._check_and_publish(self._upsert_dimensions(incoming, self._manifest()))
+        none = self.spark.createDataFrame([], SCHEMAS["observation"])
+        self._check_and_publish(self._upsert_dimensions(incoming, self._manifest()), none)
 
     def upsert_observations(self, incoming: DataFrame, order: list[str] | None = None) -> None:
         """Insert or replace observations; of repeated keys the last in ``order`` counts."""
-        self._check_and_publish(self._upsert_years(incoming, self._manifest(), order))
+        manifest = self._upsert_years(incoming, self._manifest(), order)
+        self._check_and_publish(manifest, incoming)
 
     def merge(self, incoming: Tables) -> None:
         """Upsert everything in one step, visible at once."""
         manifest = self._upsert_dimensions(incoming, self._manifest())
-        self._check_and_publish(self._upsert_years(incoming.observation, manifest, None))
+        manifest = self._upsert_years(incoming.observation, manifest, None)
+        self._check_and_publish(manifest, incoming.observation)
 
 
 def delete_series(tables: Tables, series: DataFrame) -> Tables:
