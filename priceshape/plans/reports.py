@@ -51,20 +51,19 @@ def extreme_examples(components: DataFrame, group_cols: list[str], k: int = EXAM
 
 def group_summary(components: DataFrame, group_by: str = "display-level") -> DataFrame:
     """label, count, nine statistics and the most extreme components of every group."""
-    labelled = pin(components.withColumn("label", group_label(group_by)), "components")
+    labelled = components.withColumn("label", group_label(group_by))
+    return _label_summary(pin(labelled, "components"))
+
+
+def _label_summary(labelled: DataFrame) -> DataFrame:
+    """Group summary of components that carry a label; they are read several times."""
+    example = """struct(rank, series_id, item_code, item_name, series_title, value AS yoy,
+        yoy_percent)"""
     examples = (
         extreme_examples(labelled, ["label"])
+        .withColumn("yoy_percent", percent_text("value"))
         .groupBy("label")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "rank", "series_id", "item_code", "item_name", "series_title",
-                        F.col("value").alias("yoy"), percent_text("value").alias("yoy_percent"),
-                    )
-                )
-            ).alias("examples")
-        )
+        .agg(F.expr(f"sort_array(collect_list({example}))").alias("examples"))
     )
     return join_facts(stat_summary(labelled, ["label"], "value"), examples, ["label"])
 
@@ -92,47 +91,35 @@ def compute(
 
     ``component_count`` counts before small groups are dropped, ``group_count`` after.
     """
-    components = pin(
-        growth_components(
-            tables,
-            months=(date, date) if date else None,
-            selectable_only=selectable_only,
-            locks=locks,
-        ),
-        "growth",
+    components = growth_components(
+        tables,
+        months=(date, date) if date else None,
+        selectable_only=selectable_only,
+        locks=locks,
     )
-    if components.isEmpty():
-        raise ValueError("no components for the requested configuration")
-    labelled = components.withColumn("label", group_label(group_by))
+    labelled = pin(components.withColumn("label", group_label(group_by)), "components")
+    # One row per display level or code length.
     sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
-    kept = sample_guard(labelled, ["label"], min_sample_size, skip_small_samples)
-    groups = group_summary(kept, group_by)
-    if date:
-        label = F.lit(date)
-    else:
-        label = period_label(F.col("year"), F.col("period"))
-    counted = sizes.agg(
-        F.sum("count").alias("component_count"),
-        F.count(
-            F.when(
-                (F.col("count") >= min_sample_size) | F.lit(not skip_small_samples), 1
-            )
-        ).alias("group_count"),
+    if sizes.isEmpty():
+        raise ValueError("no components for the requested configuration")
+    groups = _label_summary(
+        sample_guard(labelled, ["label"], min_sample_size, skip_small_samples)
     )
-    # Both sides are single rows.
+    reported = f"count >= {min_sample_size}" if skip_small_samples else "true"
+    counted = sizes.selectExpr(
+        "sum(count) AS component_count", f"count_if({reported}) AS group_count", "0 AS _one"
+    )
+    # Both sides of the join are single rows.
+    label = F.lit(date) if date else period_label(F.col("year"), F.col("period"))
     latest = global_latest(tables.observation).select(label.alias("date"), F.lit(0).alias("_one"))
-    header = (
-        counted.withColumn("_one", F.lit(0))
-        .join(latest, "_one")
-        .select(
-            "date",
-            F.lit(group_by.replace("series-name-length", "item-code-length")).alias("group_by"),
-            F.lit(selectable_only).alias("selectable_only"),
-            "component_count",
-            "group_count",
-            F.lit(min_sample_size).alias("min_sample_size"),
-            F.lit(skip_small_samples).alias("skip_small_samples"),
-        )
+    header = counted.join(latest, "_one").select(
+        "date",
+        F.lit(group_by.replace("series-name-length", "item-code-length")).alias("group_by"),
+        F.lit(selectable_only).alias("selectable_only"),
+        "component_count",
+        "group_count",
+        F.lit(min_sample_size).alias("min_sample_size"),
+        F.lit(skip_small_samples).alias("skip_small_samples"),
     )
     warned = sample_warnings(sizes, "group", ["label"], "count", min_sample_size)
     return Report(groups, header, warned)

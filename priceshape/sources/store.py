@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,34 +140,50 @@ class Store:
         if missing:
             self._publish(manifest)
 
+    def _write_dimensions(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+        """Write tables side by side, as separate jobs of one application."""
+        with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+            paths = pool.map(lambda item: self._write_table(*item), tables.items())
+            return dict(zip(tables, paths, strict=True))
+
     def load(self, tables: Tables, *, truncate: bool = True) -> None:
         """Replace all tables, or append to them; a key that occurs twice is an error."""
         manifest = {"tables": {}, "observation": {}} if truncate else self._manifest()
-        current = self._tables(manifest)
+        problems = []
         for name, table in tables.items():
-            if not table.join(current.get(name), KEYS[name], "left_semi").isEmpty():
-                raise ValueError(f"{name}: keys to load are already in the store")
             if name != "observation":
                 repeated = table.groupBy(*KEYS[name]).count().filter("count > 1")
-                if not repeated.isEmpty():
-                    raise ValueError(f"{name}: a key occurs more than once")
-        for name, table in tables.items():
-            if name != "observation":
-                added = self._write_table(name, table)
-                manifest["tables"][name] = [*manifest["tables"].get(name, []), added]
+                problems.append(
+                    repeated.select(F.lit(f"{name}: a key occurs more than once").alias("p"))
+                )
+        if manifest["tables"]:
+            current = self._tables(manifest)
+            for name, table in tables.items():
+                clash = table.join(current.get(name), KEYS[name], "left_semi")
+                problems.append(
+                    clash.select(F.lit(f"{name}: keys to load are already in the store").alias("p"))
+                )
+        found = reduce(DataFrame.union, problems).limit(1).collect()
+        if found:
+            raise ValueError(found[0]["p"])
+        added = self._write_dimensions({n: t for n, t in tables.items() if n != "observation"})
+        for name, path in added.items():
+            manifest["tables"][name] = [*manifest["tables"].get(name, []), path]
         for year, paths in self._write_observations(tables.observation).items():
             manifest["observation"][year] = [*manifest["observation"].get(year, []), *paths]
         self._check_and_publish(manifest, tables.observation)
 
     def _upsert_dimensions(self, incoming: Tables, manifest: dict) -> dict:
-        written = dict(manifest["tables"])
-        for name, table in incoming.items():
-            if name != "observation":
-                columns = SCHEMAS[name].fieldNames()
-                merged = upsert(
-                    self._read_table(name, manifest), table.select(columns), KEYS[name]
-                )
-                written[name] = [self._write_table(name, merged)]
+        merged = {
+            name: upsert(
+                self._read_table(name, manifest),
+                table.select(SCHEMAS[name].fieldNames()),
+                KEYS[name],
+            )
+            for name, table in incoming.items()
+            if name != "observation"
+        }
+        written = {name: [path] for name, path in self._write_dimensions(merged).items()}
         return {**manifest, "tables": written}
 
     def _upsert_years(
