@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from priceshape.operators.dedup import last_wins, upsert
 from priceshape.operators.integrity import require_integrity
 from priceshape.schemas import COLUMN_DEFAULTS, KEYS, SCHEMAS, Tables
+from priceshape.scratch import pin
 
 
 def with_defaults(table: DataFrame, name: str) -> DataFrame:
@@ -36,6 +37,21 @@ def with_defaults(table: DataFrame, name: str) -> DataFrame:
     return table.select(columns)
 
 
+def ordered_observations(df: DataFrame) -> DataFrame:
+    """Observations in key order, cut into ranges; a repeated key fails the job.
+
+    The shuffle that orders the rows also brings equal keys together, so the check needs no pass of
+    its own.
+    """
+    keys = ["year", "series_id", "period"]
+    checked = """if(count(1) OVER (PARTITION BY year, series_id, period) > 1,
+        raise_error(concat('observation: repeated key ', series_id, ' ', year, ' ', period)),
+        series_id) AS series_id"""
+    others = [c for c in SCHEMAS["observation"].fieldNames() if c != "series_id"]
+    ranged = df.repartitionByRange(*keys).selectExpr(checked, *others)
+    return ranged.sortWithinPartitions(*keys)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -77,20 +93,9 @@ class Store:
         return path
 
     def _write_observations(self, df: DataFrame) -> dict[str, list[str]]:
-        """Write one directory per year, sorted by key; returns {year: [dir]}.
-
-        The shuffle that orders the rows also brings equal keys together, so a repeated key fails
-        the job without a pass of its own. A large year is cut into several ranges.
-        """
+        """Write one directory per year; returns {year: [dir]}."""
         path = f"{self.root}/observation/batch={uuid.uuid4().hex}"
-        keys = ["year", "series_id", "period"]
-        checked = """if(count(1) OVER (PARTITION BY year, series_id, period) > 1,
-            raise_error(concat('observation: repeated key ', series_id, ' ', year, ' ', period)),
-            series_id) AS series_id"""
-        others = [c for c in SCHEMAS["observation"].fieldNames() if c != "series_id"]
-        ranged = df.repartitionByRange(*keys)
-        ordered = ranged.selectExpr(checked, *others).sortWithinPartitions(*keys)
-        ordered.write.partitionBy("year").parquet(path)
+        df.select(SCHEMAS["observation"].fieldNames()).write.partitionBy("year").parquet(path)
         years = {}
         for status in self._fs.listStatus(self._path(path)):
             name = status.getPath().getName()
@@ -157,7 +162,8 @@ class Store:
                     repeated.select(F.lit(f"{name}: a key occurs more than once").alias("p"))
                 )
         if manifest["tables"]:
-            current = self._tables(manifest)
+            years = _years(tables.observation) if manifest["observation"] else []
+            current = self._tables(manifest, self._read_observations(manifest, years))
             for name, table in tables.items():
                 clash = table.join(current.get(name), KEYS[name], "left_semi")
                 problems.append(
@@ -169,7 +175,9 @@ class Store:
         added = self._write_dimensions({n: t for n, t in tables.items() if n != "observation"})
         for name, path in added.items():
             manifest["tables"][name] = [*manifest["tables"].get(name, []), path]
-        for year, paths in self._write_observations(tables.observation).items():
+        for year, paths in self._write_observations(
+            ordered_observations(tables.observation)
+        ).items():
             manifest["observation"][year] = [*manifest["observation"].get(year, []), *paths]
         self._check_and_publish(manifest, tables.observation)
 
@@ -186,19 +194,18 @@ class Store:
         written = {name: [path] for name, path in self._write_dimensions(merged).items()}
         return {**manifest, "tables": written}
 
-    def _upsert_years(
-        self, incoming: DataFrame, manifest: dict, order: list[str] | None
-    ) -> dict:
-        years = [str(r["year"]) for r in incoming.select("year").distinct().collect()]
+    def _upsert_years(self, incoming: DataFrame, manifest: dict) -> dict:
+        """Rewrite the years of a written table of unique observations.
+
+        Rows already in the store are filtered and copied where they lie, only the incoming ones
+        are ordered.
+        """
+        years = _years(incoming)
         if not years:
             return manifest
         keys = KEYS["observation"]
-        columns = SCHEMAS["observation"].fieldNames()
-        if order:
-            incoming = last_wins(incoming.select(*columns, *order), keys, order)
-        footnotes = F.when(F.size("footnotes") > 0, F.col("footnotes"))
-        incoming = incoming.select(columns).withColumn("footnotes", footnotes)
-        merged = upsert(self._read_observations(manifest, years), incoming, keys)
+        existing = self._read_observations(manifest, years)
+        merged = upsert(existing, ordered_observations(incoming), keys)
         written = self._write_observations(merged)
         return {**manifest, "observation": {**manifest["observation"], **written}}
 
@@ -215,14 +222,29 @@ class Store:
 
     def upsert_observations(self, incoming: DataFrame, order: list[str] | None = None) -> None:
         """Insert or replace observations; of repeated keys the last in ``order`` counts."""
-        manifest = self._upsert_years(incoming, self._manifest(), order)
-        self._check_and_publish(manifest, incoming)
+        incoming = _storable(incoming, order)
+        self._check_and_publish(self._upsert_years(incoming, self._manifest()), incoming)
 
     def merge(self, incoming: Tables) -> None:
         """Upsert everything in one step, visible at once."""
+        observation = _storable(incoming.observation, None)
         manifest = self._upsert_dimensions(incoming, self._manifest())
-        manifest = self._upsert_years(incoming.observation, manifest, None)
-        self._check_and_publish(manifest, incoming.observation)
+        self._check_and_publish(self._upsert_years(observation, manifest), observation)
+
+
+def _years(observations: DataFrame) -> list[str]:
+    return [str(r["year"]) for r in observations.select("year").distinct().collect()]
+
+
+def _storable(observations: DataFrame, order: list[str] | None) -> DataFrame:
+    """Incoming observations as they are stored, written once because they are read several times."""
+    columns = SCHEMAS["observation"].fieldNames()
+    if order:
+        observations = last_wins(
+            observations.select(*columns, *order), KEYS["observation"], order
+        )
+    footnotes = F.when(F.size("footnotes") > 0, F.col("footnotes"))
+    return pin(observations.select(columns).withColumn("footnotes", footnotes), "incoming")
 
 
 def delete_series(tables: Tables, series: DataFrame) -> Tables:

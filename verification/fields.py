@@ -130,14 +130,20 @@ def period_rank(spark, sf_dir):
 
 @check(
     "f7_period_sort_key",
-    f"""WITH {CODES_SQL} SELECT year, period, row_number() OVER (
-      ORDER BY year, {RANK_SQL}, upper(trim(period)), period) AS place FROM codes""",
+    f"""WITH {CODES_SQL} SELECT year, period, CAST({RANK_SQL} AS INTEGER) AS rank,
+      upper(trim(period)) AS code,
+      year = (SELECT max(year) FROM codes) AND {RANK_SQL} = (SELECT max({RANK_SQL}) FROM codes
+        WHERE year = (SELECT max(year) FROM codes)) AS last_rank FROM codes""",
 )
 def period_sort_key(spark, sf_dir):
     year, period = code_columns()
-    # One row per distinct code, a few dozen per year.
-    return codes(spark, sf_dir).withColumn("key", pf.period_sort_key(year, period)).selectExpr(
-        "year", "period", "cast(row_number() OVER (ORDER BY key, period) AS bigint) AS place")
+    keyed = codes(spark, sf_dir).withColumn("key", pf.period_sort_key(year, period))
+    last = keyed.agg(F.max("key").alias("last"))
+    # The right side is one row.
+    joined = keyed.withColumn("_one", F.lit(0)).join(last.withColumn("_one", F.lit(0)), "_one")
+    return joined.selectExpr(
+        "year", "period", "key.rank AS rank", "key.code AS code",
+        "key.year = last.year AND key.rank = last.rank AS last_rank")
 
 
 @check(
@@ -495,18 +501,16 @@ def extreme_examples(spark, sf_dir):
     return rounded(best, ["value"])
 
 
-@check("s1_label_order", """SELECT label, row_number() OVER (ORDER BY number, label) AS place FROM (
-    SELECT DISTINCT length(p_name) || ' chars' AS label, length(p_name) AS number FROM part
-    UNION SELECT DISTINCT p_mfgr, 0 FROM (SELECT 'type ' || p_type AS p_mfgr FROM part))""")
+@check("s1_label_order", """SELECT label, number, count(*) AS rows FROM (
+    SELECT length(p_name) || ' chars' AS label, CAST(length(p_name) AS INTEGER) AS number FROM part
+    UNION ALL SELECT 'type ' || p_type || 'x9', 0 FROM part
+    UNION ALL SELECT 'size ' || p_size || ' of 7', p_size FROM part) GROUP BY ALL""")
 def label_order(spark, sf_dir):
-    parts = table(spark, sf_dir, "part")
-    labels = parts.selectExpr("concat(length(p_name), ' chars') AS label").union(
-        parts.selectExpr("concat('type ', p_type) AS label")).distinct()
-    from pyspark.sql import Window
-
-    # One row per distinct label.
-    place = F.row_number().over(Window.orderBy(*reports.label_order()))
-    return labels.select("label", place.cast("long").alias("place"))
+    labels = table(spark, sf_dir, "part").selectExpr(
+        "explode(array(concat(length(p_name), ' chars'), concat('type ', p_type, 'x9'), "
+        "concat('size ', p_size, ' of 7'))) AS label")
+    number, text = reports.label_order()
+    return counted(labels, "label", number.alias("number")).orderBy(number, text)
 
 
 @check("s2_key_order", price_sql("SELECT * FROM series"))
