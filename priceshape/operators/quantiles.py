@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from priceshape.operators.samples import ORDER, Sample, expressions, join_facts
 from priceshape.scratch import pin
 
-TASK_ROWS = 1_000_000
 SPLIT = 1024
+# Sorting every row is cheaper than another pass only while there are few rows in all.
+FEW_ROWS = 5_000_000
+TASK_ROWS_OF_FEW = 100_000
+TASK_ROWS_OF_MANY = 10_000
 
 
 def _any_cut(positions: list[str]) -> str:
@@ -89,7 +92,7 @@ def cut_statistics(
     measures: dict[str, str],
     cell_measures: dict[str, str] | None = None,
     *,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Aggregate ``measures`` over the rows around cut positions of the running weight.
 
@@ -99,6 +102,8 @@ def cut_statistics(
     without a cut (``cell_w``, ``cell_wx``, ``before``). Both see ``group_n`` and ``group_w``.
     """
     keys = sample.keys
+    if task_rows is None:
+        task_rows = TASK_ROWS_OF_FEW if sample.total_rows <= FEW_ROWS else TASK_ROWS_OF_MANY
     cells = _cells(sample, positions, task_rows)
     cut = _any_cut(positions)
     near = join_facts(sample.rows, cells.filter(cut), keys, "_x BETWEEN cell_lo AND cell_hi")
@@ -174,7 +179,7 @@ def quantiles(
     probabilities: dict[str, float],
     trims: dict[str, float] | None = None,
     *,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """keys + one column per named quantile and per named trimmed mean.
 
@@ -201,7 +206,7 @@ def quantiles(
 
 
 def linear_quantiles(
-    sample: Sample, probabilities: dict[str, float], *, task_rows: int = TASK_ROWS
+    sample: Sample, probabilities: dict[str, float], *, task_rows: int | None = None
 ) -> DataFrame:
     """Unweighted quantiles interpolated between order statistics at (n - 1) p."""
     positions, measures, mixed = [], {}, []

@@ -21,8 +21,8 @@ X, W, ORDER, ALL = "_x", "_w", "_order", "_all"
 
 @dataclass(frozen=True)
 class Sample:
-    """Rows (keys, _x, _w[, _order]) and facts (one row per group), with two sizes taken from the
-    written facts: the number of groups and the rows of the largest group."""
+    """Rows (keys, _x, _w[, _order]) and facts (one row per group), with three sizes taken
+    from the written facts: the number of groups, all rows, and the rows of the largest group."""
 
     rows: DataFrame
     facts: DataFrame
@@ -30,6 +30,7 @@ class Sample:
     weighted: bool
     grouped: bool
     group_count: int
+    total_rows: int
     largest_group: int
 
     def finish(self, df: DataFrame) -> DataFrame:
@@ -101,8 +102,8 @@ def make_sample(
             ELSE sw END"""
         facts = facts.withColumn("sw", F.expr(checked))
     facts = pin(facts, "facts")
-    groups, largest = facts.selectExpr("count(1)", "coalesce(max(n), 0)").first()
-    return Sample(rows, facts, keys, weight_col is not None, grouped, groups, largest)
+    sizes = facts.selectExpr("count(1)", "coalesce(sum(n), 0)", "coalesce(max(n), 0)").first()
+    return Sample(rows, facts, keys, weight_col is not None, grouped, *sizes)
 
 
 def heaviest_value(sample: Sample, groups: DataFrame) -> DataFrame:

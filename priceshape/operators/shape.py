@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from priceshape.operators.quantiles import TASK_ROWS, linear_quantiles
+from priceshape.operators.quantiles import linear_quantiles
 from priceshape.operators.samples import Sample, expressions, join_facts
 
 
@@ -48,7 +48,7 @@ def histogram(sample: Sample, bins: int = 30) -> DataFrame:
 
 
 def axis_limits(
-    sample: Sample, *, clip: float = 0.995, padding: float = 0.05, task_rows: int = TASK_ROWS
+    sample: Sample, *, clip: float = 0.995, padding: float = 0.05, task_rows: int | None = None
 ) -> DataFrame:
     """keys, axis_low, axis_high: central share of the values, padded, near the data range.
 

@@ -13,7 +13,7 @@ from priceshape.operators.kde import (
     mode_of,
 )
 from priceshape.operators.moments import moments
-from priceshape.operators.quantiles import TASK_ROWS, quantiles
+from priceshape.operators.quantiles import quantiles
 from priceshape.operators.samples import Sample, join_facts, make_sample
 from priceshape.scratch import pin
 
@@ -35,7 +35,7 @@ def describe(
     *,
     trim: float = 0.08,
     bandwidth: float | None = None,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """All statistics but the mode, with the facts the density grid needs; a written table.
 
@@ -113,7 +113,7 @@ def stat_summary(
     trim: float = 0.08,
     bandwidth: float | None = None,
     grid_points: int = GRID_POINTS,
-    task_rows: int = TASK_ROWS,
+    task_rows: int | None = None,
 ) -> DataFrame:
     """Summary of any numeric column; reads ``df`` three times, so ``pin`` a costly plan first."""
     sample = make_sample(df, group_cols, value_col, weight_col, order_col)
