@@ -107,16 +107,22 @@ def analyse(spark, args: argparse.Namespace) -> None:
             tables, args.start, args.end, args.export, args.series_lock, source=args.source,
             **options,
         )
+        if args.min_sample_size > 0:
+            del options["min_sample_size"]
+            reports.panel_warnings(
+                tables, args.start, args.end, args.min_sample_size,
+                locks=parse_locks(args.series_lock), **options,
+            ).show(truncate=False)
     elif args.command == "analyze":
         jobs.export_analysis(tables, args.output_dir, args.series_lock, **options)
     else:
         report = jobs.compute_report(
-            tables, args.output, args.series_lock, date=args.date, **options
+            tables, args.output, args.series_lock, date=args.date, source=args.source, **options
         )
         report.warnings.show(truncate=False)
         if not args.output:
             locks = parse_locks(args.series_lock)
-            document = exports.summary_document(report, locks).first()["document"]
+            document = exports.summary_document(report.groups, report.header, locks).first()["document"]
             print(json.dumps(json.loads(document), indent=2))
 
 

@@ -84,7 +84,7 @@ def compute_report(
     parsed = parse_locks(locks)
     report = reports.compute(tables, locks=parsed, **options)
     if output:
-        exports.write_document(exports.summary_document(report, parsed), output)
+        exports.write_document(exports.summary_document(report.groups, report.header, parsed), output)
     return report
 
 
@@ -110,9 +110,14 @@ def export_timeseries(tables: Tables, start: str, end: str, path: str, locks=(),
 
 
 def export_analysis(tables: Tables, folder: str, locks=(), **options) -> reports.Analysis:
-    """Summaries, density curves and histograms, partitioned by group label."""
-    result = reports.analyze(tables, locks=parse_locks(locks), **options)
-    result.summaries.write.json(f"{folder}/summaries")
+    """Summary document, axis limits, and per group label density curves and histograms."""
+    parsed = parse_locks(locks)
+    result = reports.analyze(tables, locks=parsed, **options)
+    if result.limits.isEmpty() and not options.get("skip_small_samples"):
+        raise ValueError("no growth components to analyse")
+    document = exports.summary_document(result.summaries, result.header, parsed)
+    exports.write_document(document, f"{folder}/summary")
+    result.limits.write.parquet(f"{folder}/limits")
     result.curves.write.partitionBy("label").parquet(f"{folder}/curves")
     result.histograms.write.partitionBy("label").parquet(f"{folder}/histograms")
     return result

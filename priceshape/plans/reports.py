@@ -14,7 +14,7 @@ from priceshape.operators.filters import sample_guard, sample_warnings, top_k
 from priceshape.operators.growth import global_latest, growth_components
 from priceshape.operators.kde import kde_curve
 from priceshape.operators.samples import join_facts, make_sample
-from priceshape.operators.shape import histogram
+from priceshape.operators.shape import axis_limits, histogram
 from priceshape.operators.summary import STATISTICS, describe, stat_summary, summarize
 from priceshape.schemas import Tables
 from priceshape.scratch import pin
@@ -34,6 +34,10 @@ def group_label(group_by: str) -> Column:
     raise ValueError(f"unsupported group_by {group_by!r}")
 
 
+def _group_by_name(group_by: str) -> Column:
+    return F.lit(group_by.replace("series-name-length", "item-code-length")).alias("group_by")
+
+
 def label_order(label: str = "label") -> list[Column]:
     """Sort keys for labels: the first word that is a number, then the text."""
     number = F.regexp_extract(F.col(label), r"(?<!\S)(\d+)(?!\S)", 1).try_cast("int")
@@ -57,6 +61,10 @@ def group_summary(components: DataFrame, group_by: str = "display-level") -> Dat
 
 def _label_summary(labelled: DataFrame) -> DataFrame:
     """Group summary of components that carry a label; they are read several times."""
+    return _with_examples(stat_summary(labelled, ["label"], "value"), labelled)
+
+
+def _with_examples(summary: DataFrame, labelled: DataFrame) -> DataFrame:
     example = """struct(rank, series_id, item_code, item_name, series_title, value AS yoy,
         yoy_percent)"""
     examples = (
@@ -65,7 +73,16 @@ def _label_summary(labelled: DataFrame) -> DataFrame:
         .groupBy("label")
         .agg(F.expr(f"sort_array(collect_list({example}))").alias("examples"))
     )
-    return join_facts(stat_summary(labelled, ["label"], "value"), examples, ["label"])
+    return join_facts(summary, examples, ["label"])
+
+
+def _group_counts(sizes: DataFrame, min_sample_size: int, skip: bool) -> DataFrame:
+    """One row: all components, and the groups that are reported."""
+    reported = f"count >= {min_sample_size}" if skip else "true"
+    return sizes.selectExpr(
+        "coalesce(sum(count), 0) AS component_count", f"count_if({reported}) AS group_count",
+        "0 AS _one",
+    )
 
 
 @dataclass(frozen=True)
@@ -83,6 +100,7 @@ def compute(
     date: str | None = None,
     group_by: str = "display-level",
     selectable_only: bool = True,
+    source: str = "database",
     locks: dict[str, str] | None = None,
     min_sample_size: int = 0,
     skip_small_samples: bool = False,
@@ -105,16 +123,14 @@ def compute(
     groups = _label_summary(
         sample_guard(labelled, ["label"], min_sample_size, skip_small_samples)
     )
-    reported = f"count >= {min_sample_size}" if skip_small_samples else "true"
-    counted = sizes.selectExpr(
-        "sum(count) AS component_count", f"count_if({reported}) AS group_count", "0 AS _one"
-    )
+    counted = _group_counts(sizes, min_sample_size, skip_small_samples)
     # Both sides of the join are single rows.
     label = F.lit(date) if date else period_label(F.col("year"), F.col("period"))
     latest = global_latest(tables.observation).select(label.alias("date"), F.lit(0).alias("_one"))
     header = counted.join(latest, "_one").select(
         "date",
-        F.lit(group_by.replace("series-name-length", "item-code-length")).alias("group_by"),
+        _group_by_name(group_by),
+        F.lit(source).alias("source"),
         F.lit(selectable_only).alias("selectable_only"),
         "component_count",
         "group_count",
@@ -151,7 +167,7 @@ def panel(
     return stat_summary(components, ["date", "group_label"], "value").select(
         "date",
         "group_label",
-        F.lit(group_by.replace("series-name-length", "item-code-length")).alias("group_by"),
+        _group_by_name(group_by),
         F.lit(selectable_only).alias("selectable_only"),
         F.lit(source).alias("source"),
         "count",
@@ -167,6 +183,37 @@ def panel(
     )
 
 
+def panel_warnings(
+    tables: Tables,
+    start: str,
+    end: str,
+    min_sample_size: int,
+    *,
+    group_by: str = "display-level",
+    selectable_only: bool = True,
+    locks: dict[str, str] | None = None,
+    skip_small_samples: bool = False,
+) -> DataFrame:
+    """Undersized months, and undersized groups of the months that are not skipped."""
+    components = growth_components(
+        tables, months=(start, end), selectable_only=selectable_only, locks=locks
+    )
+    sizes = pin(
+        dated(components)
+        .groupBy("date", group_label(group_by).alias("group_label"))
+        .agg(F.count(F.lit(1)).alias("count")),
+        "sizes",
+    )
+    months = sizes.groupBy("date").agg(F.sum("count").alias("month_count"))
+    of_months = sample_warnings(months, "period", ["date"], "month_count", min_sample_size)
+    if skip_small_samples:
+        kept = months.filter(F.col("month_count") >= min_sample_size)
+        sizes = sizes.join(kept.select("date"), "date", "left_semi")
+    return of_months.unionByName(
+        sample_warnings(sizes, "group", ["date", "group_label"], "count", min_sample_size)
+    )
+
+
 def panel_order() -> list[Column]:
     return [F.col("date"), *label_order("group_label")]
 
@@ -219,11 +266,15 @@ def with_percent_text() -> list[Column]:
 
 @dataclass(frozen=True)
 class Analysis:
-    """Latest-period distribution per group: summaries, density curves, histograms."""
+    """Latest-period distribution per group: summaries with examples, density curves, histograms,
+    axis limits, and the fields of the run."""
 
     summaries: DataFrame
     curves: DataFrame
     histograms: DataFrame
+    limits: DataFrame
+    header: DataFrame
+    warnings: DataFrame
 
 
 def analyze(
@@ -235,14 +286,27 @@ def analyze(
     min_sample_size: int = 0,
     skip_small_samples: bool = False,
 ) -> Analysis:
-    """Distribution of the latest growth rates; the three frames share one set of statistics."""
+    """Distribution of the latest growth rates; all frames share one set of statistics."""
     components = growth_components(tables, selectable_only=selectable_only, locks=locks)
     labelled = pin(components.withColumn("label", group_label(group_by)), "components")
-    labelled = sample_guard(labelled, ["label"], min_sample_size, skip_small_samples)
-    sample = make_sample(labelled, ["label"], "value", order_col="series_id")
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("count"))
+    header = _group_counts(sizes, min_sample_size, skip_small_samples).select(
+        _group_by_name(group_by),
+        F.col("component_count").alias("components_total"),
+        "group_count",
+        F.lit(min_sample_size).alias("min_sample_size"),
+        F.lit(skip_small_samples).alias("skip_small_samples"),
+    )
+    kept = sample_guard(labelled, ["label"], min_sample_size, skip_small_samples)
+    sample = make_sample(kept, ["label"], "value", order_col="series_id")
     table = describe(sample)
     return Analysis(
-        summarize(sample, table), kde_curve(sample, table), histogram(sample)
+        summaries=_with_examples(summarize(sample, table), kept),
+        curves=kde_curve(sample, table),
+        histograms=histogram(sample),
+        limits=axis_limits(sample),
+        header=header,
+        warnings=sample_warnings(sizes, "group", ["label"], "count", min_sample_size),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from priceshape.functions.fields import percent_text
 from priceshape.operators.summary import STATISTICS
-from priceshape.plans.reports import PERCENT_STATISTICS, Report, label_order
+from priceshape.plans.reports import PERCENT_STATISTICS, label_order
 
 
 def write_csv(df: DataFrame, path: str, order: list[Column]) -> None:
@@ -29,34 +29,36 @@ def read_csv_report(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     )
 
 
-def summary_document(report: Report, locks: dict[str, str] | None = None) -> DataFrame:
-    """One row with the JSON document of a run.
+def summary_document(
+    groups: DataFrame, header: DataFrame, locks: dict[str, str] | None = None
+) -> DataFrame:
+    """One row with the JSON document of a run: its fields and the group summaries.
 
     There is one entry per display level or code length, a number that does not grow with the data.
     """
     percents = [percent_text(name).alias(f"{name}_percent") for name in PERCENT_STATISTICS]
     example = "struct(e.series_id, e.item_code, e.item_name, e.series_title, e.yoy,"
     example += " e.yoy_percent)"
-    groups = report.groups.select(
+    entries = groups.select(
         F.struct(*label_order("label")).alias("_order"),
         "label",
         "count",
         F.struct(*STATISTICS, *percents).alias("stats"),
         F.expr(f"transform(examples, e -> {example})").alias("examples"),
     )
-    listed = groups.agg(
+    listed = entries.agg(
         F.sort_array(F.collect_list(F.struct("_order", "label", "count", "stats", "examples")))
         .alias("g")
     ).select(
         F.lit(0).alias("_one"),
         F.expr("transform(g, x -> struct(x.label, x.count, x.stats, x.examples))").alias("groups"),
     )
-    header = report.header.select(
+    fields = header.select(
         F.lit(0).alias("_one"), F.current_timestamp().alias("generated_at"), "*"
     )
     lock_map = F.from_json(F.lit(json.dumps(locks or {})), "map<string,string>").alias("series_locks")
     return (
-        header.join(listed, "_one")
+        fields.join(listed, "_one")
         .drop("_one")
         .select("*", lock_map)
         .select(F.to_json(F.struct("*")).alias("document"))

@@ -24,7 +24,9 @@ def refresh_from_landing(
     schema = T.StructType([T.StructField(c, T.StringType()) for c in OBSERVATION_COLUMNS])
     lines = (
         spark.readStream.schema(schema)
-        .options(sep="\t", header=True, maxFilesPerTrigger=files_per_batch)
+        # A file whose header names other columns, or in another order, stops the refresh.
+        .options(sep="\t", header=True, enforceSchema=False, ignoreLeadingWhiteSpace=True,
+                 ignoreTrailingWhiteSpace=True, maxFilesPerTrigger=files_per_batch)
         .csv(landing)
         .select("*", "_metadata.file_modification_time", "_metadata.file_path",
                 "_metadata.file_block_start")

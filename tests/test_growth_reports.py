@@ -1,6 +1,7 @@
 """Growth rules, groups, panels and their options on hand-made tables."""
 
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,7 +70,7 @@ def test_lock_leaves_one_series(two_series):
     report = reports.compute(two_series, locks=locks)
     header = report.header.first()
     assert (header["component_count"], header["group_count"]) == (1, 1)
-    document = json.loads(exports.summary_document(report, locks).first()["document"])
+    document = json.loads(exports.summary_document(report.groups, report.header, locks).first()["document"])
     assert document["series_locks"] == {"area_code": "1111"}
     group = document["groups"][0]
     assert group["label"] == "1" and group["count"] == 1
@@ -94,6 +95,11 @@ def test_no_components_is_an_error(tiny):
 
 
 def test_guard_scopes(two_series):
+    warned = reports.panel_warnings(two_series, "2025-01", "2025-12", 3)
+    assert sorted((r["scope"], r["label"], r["sample_size"]) for r in warned.collect()) == [
+        ("group", "2025-09:1", 1), ("group", "2025-09:2", 1), ("period", "2025-09", 2)]
+    skipped = reports.panel_warnings(two_series, "2025-01", "2025-12", 3, skip_small_samples=True)
+    assert [r["scope"] for r in skipped.collect()] == ["period"]
     whole = reports.panel(two_series, "2025-01", "2025-12", min_sample_size=2,
                           skip_small_samples=True)
     assert whole.count() == 0
@@ -143,6 +149,10 @@ def test_views(spark, two_series):
 def test_analysis_frames(two_series, path):
     result = jobs.export_analysis(two_series, path)
     assert result.curves.groupBy("label").count().first()["count"] == 2048
+    document = json.loads(next(pathlib.Path(path, "summary").glob("part-*")).read_text())
+    assert document["components_total"] == 2 and document["group_count"] == 2
+    assert [g["examples"][0]["series_id"] for g in document["groups"]] == ["S1", "S2"]
+    assert result.limits.count() == 2
     total = result.histograms.groupBy("label").agg(F.sum("weight").alias("s")).collect()
     assert all(r["s"] == pytest.approx(1) for r in total)
 

@@ -227,7 +227,7 @@ def test_jobs_and_refresh(spark, folder, path, tmp_path_factory):
     assert store.read().observation.count() == 3
     landing = pathlib.Path(tmp_path_factory.mktemp("landing"))
     checkpoint = f"{tmp_path_factory.mktemp('c')}/offsets"
-    header = "series_id\tyear\tperiod\tvalue\tfootnote_codes\n"
+    header = "series_id      \tyear\tperiod\t   value\tfootnote_codes\n"
     (landing / "1.tsv").write_text(header + "SUUR0000AA0\t1913\tM01\t11\t\n\t\t\t\t\n")
     refresh_from_landing(spark, str(landing), root, checkpoint)
     (landing / "2.tsv").write_text(header + "SUUR0000AA0\t1913\tM01\t12\tD\n"
@@ -236,6 +236,10 @@ def test_jobs_and_refresh(spark, folder, path, tmp_path_factory):
     found = values(store.read().observation)
     assert found[("SUUR0000AA0", 1913, "M01")] == (12.0, ("D",))
     assert found[("SUUR0000AA0", 1915, "M01")] == (13.0, ()) and len(found) == 4
+    (landing / "3.tsv").write_text("series_id\tperiod\tyear\tvalue\tfootnote_codes\n"
+                                   "SUUR0000AA0\t1913\tM01\t12\tD\n")
+    with pytest.raises(Exception):  # columns in another order
+        refresh_from_landing(spark, str(landing), root, checkpoint)
     jobs.update_current(spark, folder, root)
     assert values(store.read().observation)[("SUUR0000AA0", 1913, "M01")] == (9.8, ())
     with pytest.raises(ValueError):

@@ -67,7 +67,7 @@ def compute_groups(spark, sf_dir):
 
 @check("g3_compute_header", growth_sql("""SELECT (SELECT year || '-' || substr(period, 2)
       FROM observation ORDER BY year DESC, substr(period, 2) DESC LIMIT 1) AS date,
-    'display-level' AS group_by, true AS selectable_only, CAST(sum(n) AS BIGINT) AS component_count,
+    'display-level' AS group_by, 'database' AS source, true AS selectable_only, CAST(sum(n) AS BIGINT) AS component_count,
     count(*) FILTER (n >= 24) AS group_count, 24 AS min_sample_size, true AS skip_small_samples
     FROM (SELECT display_level, count(*) AS n FROM latest_growth WHERE selectable GROUP BY ALL)"""))
 def compute_header(spark, sf_dir):
@@ -143,7 +143,36 @@ _ANALYSIS = growth_sql(
 @check("g7_analyze_summaries",
        _ANALYSIS + f" SELECT label, n AS count, {stat_select()} FROM stat")
 def analyze_summaries(spark, sf_dir):
-    return rounded(reports.analyze(prices(spark, sf_dir)).summaries, STAT_COLUMNS)
+    summaries = reports.analyze(prices(spark, sf_dir)).summaries.drop("examples")
+    return rounded(summaries, STAT_COLUMNS)
+
+
+@check("g7_analyze_limits", growth_sql(""", q AS (SELECT CAST(display_level AS VARCHAR) AS label,
+      quantile_cont(x, 0.0025) AS q0, quantile_cont(x, 0.9975) AS q1, min(x) AS lo, max(x) AS hi
+      FROM latest_growth WHERE selectable GROUP BY ALL), e AS (SELECT *, q1 - q0 AS span FROM q)
+    SELECT label, floor(greatest(q0 - span * 0.05, lo - span) * 1e6 + 0.5) / 1e6 AS axis_low,
+      floor(least(q1 + span * 0.05, hi + span) * 1e6 + 0.5) / 1e6 AS axis_high FROM e"""))
+def analyze_limits(spark, sf_dir):
+    return rounded(reports.analyze(prices(spark, sf_dir)).limits, ["axis_low", "axis_high"])
+
+
+@check("g7_analyze_header", growth_sql("""SELECT 'display-level' AS group_by,
+    CAST(sum(n) AS BIGINT) AS components_total, count(*) AS group_count, 0 AS min_sample_size,
+    false AS skip_small_samples
+    FROM (SELECT display_level, count(*) AS n FROM latest_growth WHERE selectable GROUP BY ALL)"""))
+def analyze_header(spark, sf_dir):
+    return reports.analyze(prices(spark, sf_dir)).header
+
+
+@check("p5_panel_warnings", growth_sql(""", cell AS (SELECT year || '-' || substr(period, 2) AS date,
+      display_level, count(*) AS n FROM growth WHERE selectable AND period <> 'M13' AND year = 1999
+      GROUP BY ALL),
+    month AS (SELECT date, sum(n) AS n FROM cell GROUP BY ALL)
+    SELECT 'period' AS scope, date AS label, CAST(n AS BIGINT) AS sample_size,
+      25 AS min_sample_size FROM month WHERE n < 25
+    UNION ALL SELECT 'group', date || ':' || display_level, n, 25 FROM cell WHERE n < 25"""))
+def panel_warnings(spark, sf_dir):
+    return reports.panel_warnings(prices(spark, sf_dir), "1999-01", "1999-12", 25)
 
 
 @check("g7_analyze_curves", _ANALYSIS + f""" SELECT label, CAST(i AS INTEGER) AS i,

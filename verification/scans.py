@@ -406,7 +406,7 @@ def summary_document(spark, sf_dir):
     header = lines.agg(F.count(F.lit(1)).alias("component_count"))
     path = scratch_path(spark, "document")
     exports.write_document(
-        exports.summary_document(reports.Report(groups, header, groups)), path
+        exports.summary_document(groups, header), path
     )
     schema = "groups array<struct<label:string,count:bigint>>"
     return spark.read.schema(schema).json(path).selectExpr("inline(groups)")
