@@ -59,8 +59,9 @@ def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
         "n AS group_n",
         "sw AS group_w",
     )
-    too_big = f"(cell_n > {task_rows} AND cell_lo < cell_hi AND {_any_cut(positions)})"
-    # Halving first keeps the width finite for any pair of doubles.
+    # Halving first keeps the width finite for any pair of doubles. The ends of a cell always fall
+    # into different parts, so every split makes progress.
+    too_big = f"(cell_n > {task_rows} AND cell_lo / 2 < cell_hi / 2 AND {_any_cut(positions)})"
     offset = "(_x / 2 - cell_lo / 2) / (cell_hi / 2 - cell_lo / 2)"
     while sample.largest_group > task_rows and not cells.filter(too_big).isEmpty():
         targets = cells.filter(too_big).select(*keys, "cell_lo", "cell_hi")

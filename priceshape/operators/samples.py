@@ -58,7 +58,8 @@ def make_sample(
     weight_col: str | Column | None = None,
     order_col: str | Column | None = None,
 ) -> Sample:
-    """Collect the per-group facts of ``df``; rows with a NULL or NaN value are left out.
+    """Collect the per-group facts of ``df``; rows whose value is NULL or not finite are left
+    out.
 
     A negative weight, or a group whose weights do not sum to a positive number, is an error.
     """
@@ -73,7 +74,8 @@ def make_sample(
     columns += [as_column(value_col).cast("double").alias(X), weight.alias(W)]
     if order_col is not None:
         columns.append(as_column(order_col).alias(ORDER))
-    rows = df.select(*columns).filter("_x IS NOT NULL AND NOT isnan(_x) AND _w IS NOT NULL")
+    # NaN compares as greater than infinity.
+    rows = df.select(*columns).filter("abs(_x) < double('Infinity') AND _w IS NOT NULL")
 
     aggregates = {
         "n": "count(1)",
