@@ -42,6 +42,10 @@ def multiset(names: list[str], rows) -> Counter:
     return Counter(tuple(plain(row[i]) for i in order) for row in rows)
 
 
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+         "BOOLEAN": "boolean"}
+
+
 def compare(spark, connection, name: str, sf_dir: str) -> str | None:
     """None when the results are equal, else a description of the difference."""
     found = QUERIES[name](spark, sf_dir)
@@ -53,6 +57,10 @@ def compare(spark, connection, name: str, sf_dir: str) -> str | None:
     expected = multiset(columns, result.fetchall())
     if sorted(columns) != sorted(found.columns):
         return f"columns {sorted(found.columns)} vs {sorted(columns)}"
+    kinds = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in result.description}
+    different = [f"{c}: {t} vs {kinds[c]}" for c, t in found.dtypes if t != kinds[c]]
+    if different:
+        return f"types {different}"
     if not expected:
         return "the oracle has no rows"
     if got == expected:
