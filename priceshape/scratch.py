@@ -18,11 +18,13 @@ _local_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder of this application; a temporary one only if the session names none."""
+    """Shared folder of this application; local sessions that name none get a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if configured:
         return f"{configured.rstrip('/')}/priceshape-{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="priceshape-")
     return _local_roots[app]
