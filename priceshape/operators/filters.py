@@ -66,7 +66,9 @@ def sample_guard(
 ) -> DataFrame:
     """Drop the rows of scopes with fewer than ``min_sample_size`` rows if ``skip`` is set.
 
-    The sizes come from an aggregation and are joined back, so a large scope is never gathered.
+    The sizes come from an aggregation and are joined back, so a large scope is never gathered. The
+    rows that stay are written: what follows reads them several times, and a join that feeds a
+    write can be split where a scope is hot.
     """
     if min_sample_size <= 0 or not skip:
         return components
@@ -74,7 +76,7 @@ def sample_guard(
     small = pin(sizes.filter(F.col("count") < min_sample_size), "small")
     renamed = small.select([F.col(c).alias(f"_s_{c}") for c in scope_cols])
     condition = " AND ".join(f"`{c}` <=> `_s_{c}`" for c in scope_cols)
-    return components.join(renamed, F.expr(condition), "left_anti")
+    return pin(components.join(renamed, F.expr(condition), "left_anti"), "guarded")
 
 
 def sample_warnings(

@@ -58,7 +58,7 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
 
     powers = ["_kernel" + " * _t" * k for k in range(TERMS)]
     cells = (
-        join_facts(sample.rows.filter("_w > 0"), frame, keys)
+        sample.attach(sample.rows.filter("_w > 0"), frame)
         .withColumn("_cell", F.expr(f"floor((_x - base) / (h * {CELL}D) + 0.5D)"))
         .filter(f"{first} <= {last}")
         .selectExpr(*keys, "_cell", "_w / sw AS _share", f"(_x - {centre}) / h AS _t")

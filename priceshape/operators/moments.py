@@ -17,7 +17,7 @@ def moments(sample: Sample, fisher: bool = True) -> DataFrame:
     if sample.weighted:
         centre = facts.selectExpr(*sample.keys, "swx / sw AS _mean")
         centred = (
-            join_facts(sample.rows, centre, sample.keys)
+            sample.attach(sample.rows, centre)
             .selectExpr(*sample.keys, "_w", "_x - _mean AS _d")
             .groupBy(*sample.keys)
             .agg(
@@ -55,5 +55,5 @@ def moments(sample: Sample, fisher: bool = True) -> DataFrame:
 def normalized_weights(sample: Sample) -> DataFrame:
     """Rows with ``weight`` scaled to sum to one within the group."""
     totals = sample.facts.select(*sample.keys, "sw")
-    joined = join_facts(sample.rows, totals, sample.keys)
+    joined = sample.attach(sample.rows, totals)
     return joined.selectExpr("*", "_w / sw AS weight").drop("sw")

@@ -66,7 +66,7 @@ def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
     while sample.largest_group > task_rows and not cells.filter(too_big).isEmpty():
         targets = cells.filter(too_big).select(*keys, "cell_lo", "cell_hi")
         split = (
-            join_facts(sample.rows, targets, keys, "_x BETWEEN cell_lo AND cell_hi")
+            sample.attach(sample.rows, targets, "_x BETWEEN cell_lo AND cell_hi")
             .withColumn("_sub", F.expr(f"least(floor({offset} * {SPLIT}), {SPLIT - 1})"))
             .groupBy(*keys, "cell_lo", "_sub")
             .agg(
@@ -107,7 +107,7 @@ def cut_statistics(
         task_rows = TASK_ROWS_OF_FEW if sample.total_rows <= FEW_ROWS else TASK_ROWS_OF_MANY
     cells = _cells(sample, positions, task_rows)
     cut = _any_cut(positions)
-    near = join_facts(sample.rows, cells.filter(cut), keys, "_x BETWEEN cell_lo AND cell_hi")
+    near = sample.attach(sample.rows, cells.filter(cut), "_x BETWEEN cell_lo AND cell_hi")
 
     ordered_by = ["_x"] + ([ORDER] if ORDER in sample.rows.columns else ["_w"])
     first_w = f"min_by(_w, struct({', '.join(ordered_by)}))" if sample.weighted else "min(_w)"

@@ -18,6 +18,12 @@ from priceshape.scratch import pin
 
 X, W, ORDER, ALL = "_x", "_w", "_order", "_all"
 
+# With more groups than this the facts may be too large to broadcast; groups of more than HOT_ROWS
+# rows, of which there are at most HOT_GROUPS, are then joined apart from the others.
+MANY_GROUPS = 20_000
+HOT_ROWS = 1_000_000
+HOT_GROUPS = 10_000
+
 
 @dataclass(frozen=True)
 class Sample:
@@ -32,6 +38,21 @@ class Sample:
     group_count: int
     total_rows: int
     largest_group: int
+    hot: DataFrame | None = None
+
+    def attach(self, rows: DataFrame, table: DataFrame, extra: str = "true") -> DataFrame:
+        """Rows of the sample with the columns of a per-group table.
+
+        A table of few groups is broadcast. One of many groups meets the rows in a shuffle by group,
+        in which a hot group would be a single task; so the hot groups, few by definition, are taken
+        out of it and broadcast.
+        """
+        if self.hot is None:
+            return join_facts(rows, table, self.keys, extra)
+        hot_table = pin(join_facts(table, self.hot, self.keys, how="left_semi"), "hot")
+        cold_rows = join_facts(rows, self.hot, self.keys, how="left_anti")
+        hot_part = join_facts(rows, hot_table, self.keys, extra)
+        return hot_part.unionByName(join_facts(cold_rows, table, self.keys, extra))
 
     def finish(self, df: DataFrame) -> DataFrame:
         """Drop the stand-in key of an ungrouped sample."""
@@ -105,7 +126,11 @@ def make_sample(
         facts = facts.withColumn("sw", F.expr(checked))
     facts = pin(facts, "facts")
     sizes = facts.selectExpr("count(1)", "coalesce(sum(n), 0)", "coalesce(max(n), 0)").first()
-    return Sample(rows, facts, keys, weight_col is not None, grouped, *sizes)
+    hot = None
+    if sizes[0] > MANY_GROUPS:
+        limit = max(HOT_ROWS, sizes[1] // HOT_GROUPS)
+        hot = pin(facts.filter(F.col("n") > limit).select(*keys), "hot")
+    return Sample(rows, facts, keys, weight_col is not None, grouped, *sizes, hot)
 
 
 def heaviest_value(sample: Sample, groups: DataFrame) -> DataFrame:
@@ -115,6 +140,6 @@ def heaviest_value(sample: Sample, groups: DataFrame) -> DataFrame:
     """
     order = ORDER if ORDER in sample.rows.columns else X
     first = F.expr(f"min_by(_x, struct(-_w, {order}))")
-    rows = join_facts(sample.rows, groups.select(*sample.keys), sample.keys)
+    rows = sample.attach(sample.rows, groups.select(*sample.keys))
     found = rows.groupBy(*sample.keys).agg(first.alias("heaviest"))
     return join_facts(found, groups, sample.keys)

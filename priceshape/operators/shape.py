@@ -30,7 +30,7 @@ def histogram(sample: Sample, bins: int = 30) -> DataFrame:
         ELSE _guess END"""
     guess = f"least(cast(floor((_x - low) / (high - low) * {bins}) AS int), {bins - 1})"
     filled = (
-        join_facts(sample.rows, frame, keys)
+        sample.attach(sample.rows, frame)
         .selectExpr(*keys, "_x", "_w", "low", "high", f"{guess} AS _guess")
         .selectExpr(*keys, "_w AS _bin_w", f"{bin_no} AS bin")
         .groupBy(*keys, "bin")

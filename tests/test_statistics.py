@@ -5,12 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceshape.operators import filters
+from priceshape.operators import samples as sample_module
 from priceshape.operators.kde import kde_curve, kde_mode
 from priceshape.operators.moments import moments
 from priceshape.operators.quantiles import linear_quantiles, quantiles
 from priceshape.operators.samples import make_sample
 from priceshape.operators.shape import axis_limits, histogram
-from priceshape.operators.summary import STATISTICS, describe, stat_summary
+from priceshape.operators.summary import STATISTICS, describe, stat_summary, summarize
 from tests.reference_stats import describe as expected_statistics
 
 
@@ -54,6 +55,25 @@ def test_summary_matches_definitions(spark, task_rows):
         assert by_key[key]["count"] == len(x)
 
 
+def test_hot_groups_among_many(spark, monkeypatch):
+    """With many groups the hot ones are joined apart; the results are the same."""
+    groups = samples()
+    monkeypatch.setattr(sample_module, "MANY_GROUPS", 3)
+    monkeypatch.setattr(sample_module, "HOT_ROWS", 300)
+    rows = rows_of(spark, groups)
+    sample = make_sample(rows, ["g"], "v", "w", "i")
+    hot = {r["g"] for r in sample.hot.collect()}
+    assert hot == {k for k, (x, _) in groups.items() if len(x) > 300}
+    table = describe(sample, task_rows=100)
+    by_key = {r["g"]: r for r in summarize(sample, table).collect()}
+    for key, (x, w) in groups.items():
+        want, _, _ = expected_statistics(x, w)
+        for name in STATISTICS:
+            assert by_key[key][name] == pytest.approx(want[name], rel=1e-8, abs=1e-8), (key, name)
+    bins = histogram(sample).groupBy("g").agg(F.sum("weight").alias("s")).collect()
+    assert len(bins) == len(groups) and all(r["s"] == pytest.approx(1) for r in bins)
+
+
 def test_unit_weights_and_bandwidth_options(spark):
     x = samples()["normal"][0]
     rows = rows_of(spark, {"a": (x, np.ones(len(x)))})
