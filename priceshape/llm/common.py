@@ -31,3 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def col(name: str) -> Column:
     """Column of exactly this name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches cut into small ones, so that what a task makes of them stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
