@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from priceshape.llm import chat, mixing, quality, sharding, simhash  # noqa: F401
+from priceshape.llm import chat, mixing, quality, sharding, simhash, tree_bpe, varbyte  # noqa: F401
 from priceshape.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
