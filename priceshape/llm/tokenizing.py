@@ -42,6 +42,9 @@ class Segments:
         self.keep_space = keep_space
         self.seen: dict[str, bytes] = {}
         self.long = self._whole
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.mark_id = max(added, default=None)
+        self.mark = added[self.mark_id].content if added else None
 
     def _whole(self, segment: str) -> bytes:
         return np.array(self.tokenizer.encode(segment, add_special_tokens=False).ids, "<u4").tobytes()
@@ -58,6 +61,23 @@ class Segments:
         first, *others = text.split(" ")
         return ([first] if first else []) + [" " + x for x in others]
 
+    def _learn(self, segments: list[str]) -> None:
+        """Encode new segments in one call: an added token between them keeps them apart, as the
+        library cuts a text at added tokens before anything else."""
+        apart = [x for x in segments if self.mark is None or self.mark in x]
+        for x in apart:
+            self.seen[x] = self._whole(x)
+        joined = [x for x in segments if x not in self.seen] if apart else segments
+        if not joined:
+            return
+        found = self.tokenizer.encode_batch_fast([self.mark.join(joined)], add_special_tokens=False)
+        ids = np.array(found[0].ids, "<u4")
+        ends = (np.flatnonzero(ids == self.mark_id) * 4).tolist() + [4 * len(ids)]
+        data, start = ids.tobytes(), 0
+        for x, end in zip(joined, ends, strict=True):
+            self.seen[x] = data[start:end]
+            start = end + 4
+
     def encode(self, text: str | None) -> bytes:
         parts = self.segments(text or "")
         new = [x for x in dict.fromkeys(parts) if x not in self.seen]
@@ -65,9 +85,7 @@ class Segments:
             self.seen.clear()
             new = list(dict.fromkeys(parts))
         small = [x for x in new if len(x) <= SHORT]
-        for x, e in zip(small, self.tokenizer.encode_batch_fast(small, add_special_tokens=False),
-                        strict=True):
-            self.seen[x] = np.array(e.ids, "<u4").tobytes()
+        self._learn(small)
         large = {x: self.long(x) for x in new if len(x) > SHORT}
         if large:
             return b"".join([large[x] if x in large else self.seen[x] for x in parts])
@@ -83,3 +101,60 @@ def once(make, *args):
     if key not in _made:
         _made[key] = make(*args)
     return _made[key]
+
+
+class Words(Segments):
+    """Encoder for a vocabulary with word ends that lower-cases and drops white space.
+
+    A new segment of plain Latin letters with a few signs after them is put together from the ids of
+    its lower-case letters and of its signs, which the split pattern parts anyway; both are
+    remembered, and the merges run on them directly. All other segments go through the library.
+    """
+
+    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+
+    def __init__(self, path: str):
+        super().__init__(path, keep_space=False)
+        self.seen = _Seen(self._one)
+        self.stems: dict[str, bytes] = {"": b""}
+        # The library's own alphabet for the bytes of these letters.
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+        pre = self.tokenizer.pre_tokenizer
+        self.written = {ord(c): pre.pre_tokenize_str(c)[0][0] for c in letters
+                        if c.isalpha() and not c.isascii()}
+
+    def _stem(self, text: str) -> bytes:
+        found = self.stems.get(text)
+        if found is None:
+            name = text if text.isascii() else text.translate(self.written)
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(name)], "<u4").tobytes()
+            if len(self.stems) > 2 * REMEMBERED:
+                self.stems = {"": b""}
+            if len(text) <= SHORT:
+                self.stems[text] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        return b"".join(map(self.seen.__getitem__, self.segments(text or "")))
+
+    def _one(self, segment: str) -> bytes:
+        plain = self._PLAIN.fullmatch(segment)
+        if plain:
+            return self._stem(plain[1].lower()) + self._stem(plain[2])
+        return self._whole(segment)
+
+
+class _Seen(dict):
+    """Remembers short segments as they are met."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, segment: str) -> bytes:
+        found = self.make(segment)
+        if len(segment) <= SHORT:
+            self[segment] = found
+        return found

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceshape.llm.common import col, query, slices, table
-from priceshape.llm.tokenizing import Segments, once
-from priceshape.scratch import scratch_path
+from priceshape.llm.tokenizing import Words, once
+from priceshape.scratch import pin, scratch_path
 
 #: Ids after which a block is closed; a document is never split.
 BLOCK_IDS = 65_536
@@ -63,10 +63,6 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return values
 
 
-def _segments(path: str) -> Segments:
-    return Segments(path, keep_space=False)
-
-
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str = "doc_id",
               text: str = "text") -> None:
     """Encode every whole text and write the file set.
@@ -79,7 +75,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str
     kind = docs.schema[key].dataType.simpleString()
 
     def encoded(batches):
-        encoder = once(_segments, path)
+        encoder = once(Words, path)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches):
             ids = [encoder.encode(t) + tail for t in batch.column("_text").to_pylist()]
@@ -137,7 +133,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str
         if held:
             yield closed()
 
-    rows.repartitionByRange(F.asc_nulls_first("_id"), "crc", "ids").sortWithinPartitions(
+    rows.repartitionByRange(F.asc_nulls_first("_id"), "crc").sortWithinPartitions(
         F.asc_nulls_first("_id"), "crc", "ids").mapInArrow(blocks, _blocks_schema(kind)).write.parquet(f"{folder}/blocks")
 
 
@@ -165,7 +161,7 @@ def read_ids(spark: SparkSession, folder: str, key: str = "doc_id", kind: str =
         .groupBy("part").agg(F.sum("n").alias("n"))
     # One row per range, not per document.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    starts = pin(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")), "starts")
     # Bounded by the vocabulary.
     ranked = np.array([r["id"] for r in spark.read.schema("rank long, id long").parquet(f"{folder}/ranks")
                        .orderBy("rank").collect()], dtype="<u4")
