@@ -1,6 +1,8 @@
 """All queries of this subpackage."""
 
-from priceshape.llm import chat, mixing, quality, sharding, simhash, tree_bpe, varbyte  # noqa: F401
+from priceshape.llm import (  # noqa: F401
+    chat, mixing, multi_index, quality, secrets, sharding, simhash, topk, tree_bpe, varbyte,
+)
 from priceshape.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
