@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Segments a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Segments a worker remembers, and stems of words; then it starts anew.
+REMEMBERED, STEMS = 200_000, 800_000
 #: Characters of a segment that go to the library whole.
 SHORT = 1024
 
@@ -128,7 +128,7 @@ class Words(Segments):
         if found is None:
             name = text if text.isascii() else text.translate(self.written)
             found = np.array([t.id for t in self.tokenizer.model.tokenize(name)], "<u4").tobytes()
-            if len(self.stems) > 2 * REMEMBERED:
+            if len(self.stems) > STEMS:
                 self.stems = {"": b""}
             if len(text) <= SHORT:
                 self.stems[text] = found

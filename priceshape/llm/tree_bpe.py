@@ -128,6 +128,7 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
         for batch in slices(batches):
             ids = [encoder.encode(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary())], ["_id", "ids"])
+        encoder.seen.clear()  # workers live on after the task
 
     def halves(batches):
         for batch in slices(batches, 16):
@@ -145,11 +146,14 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
             ids = [encoder.encode(t) for t in batch.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.binary())], ["_row", "_id", "leaf", "part", "ids"])
+        encoder.seen.clear()
 
     def whole(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")
         parts = list(zip(group.column("part").to_pylist(), group.column("ids").to_pylist(), strict=True))
-        ids = concatenate(once(TreeEncoder, path), parts)
+        encoder = once(TreeEncoder, path)
+        ids = concatenate(encoder, parts)
+        encoder.seen.clear()
         return pa.table({"_id": group.column("_id").slice(0, 1), "ids": pa.array([ids], pa.binary())})
 
     # The leaves of a text come out of one row of one task, so their number for the row is one.
