@@ -22,7 +22,7 @@ from priceshape.scratch import pin
 #: Vectors the codebooks are fitted on.
 SAMPLE = 16_384
 #: Entries of a cell, and queries that visit it, in one task.
-CHUNK = 8192
+CHUNK = 1024
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
