@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from priceshape.llm.components import forest
 from priceshape.scratch import pin
 
-#: Rows of a bucket that are compared in one matrix.
-LIMIT = 1024
+#: Rows of a bucket that one task compares, 256 at a time.
+LIMIT = 8192
 _ORDER = np.random.default_rng(5).permutation(64)  # bits in mixed order, the same in every run
 
 
@@ -39,7 +39,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-def _deal(radius: int, tables: int):
+def _deal(radius: int):
     """(table, used, id, fp) rows to rows of the next masks; ``bucket`` mixes table and kept bits."""
     known: dict[int, list[int]] = {}
 
@@ -67,12 +67,16 @@ def _deal(radius: int, tables: int):
 
 def _near(ids: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     """Forest of the pairs of one bucket within the radius."""
-    close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-    x, y = np.nonzero(np.triu(close, 1))
-    return forest(np.column_stack([ids[x], ids[y]])) if len(x) else np.empty((0, 2), np.int64)
+    edges = np.empty((0, 2), np.int64)
+    for i in range(0, len(fp), 256):
+        x, y = np.nonzero(np.bitwise_count(fp[i:i + 256, None] ^ fp[None, i:]) <= radius)
+        x, y = x[x < y] + i, y[x < y] + i
+        if len(x):
+            edges = forest(np.concatenate([edges, np.column_stack([ids[x], ids[y]])]))
+    return edges
 
 
-def _link(radius: int):
+def _link(radius: int, limit: int):
     """Sorted bucket rows to edges (kind 0: a, b) and rows of too large buckets (kind 1)."""
 
     def out(kind, a, b, t, used):
@@ -117,7 +121,7 @@ def _link(radius: int):
                 if held is not None:
                     rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
                     held = None
-                if large is None and len(rows[0]) <= LIMIT:
+                if large is None and len(rows[0]) <= limit:
                     held = rows
                     continue
                 first = large[1] if large else rows[3][0]
@@ -132,7 +136,7 @@ def _link(radius: int):
     return linked
 
 
-def close_pairs(rows: DataFrame, radius: int) -> DataFrame:
+def close_pairs(rows: DataFrame, radius: int, limit: int = LIMIT) -> DataFrame:
     """Edges ``a``, ``b`` between ids, such that exactly the components of the pairs within
     ``radius`` bits in some table are joined.
 
@@ -142,9 +146,9 @@ def close_pairs(rows: DataFrame, radius: int) -> DataFrame:
     """
     found, level = None, rows.select("t", F.lit(0).cast("long").alias("used"), "id", "fp")
     while True:
-        dealt = level.mapInArrow(_deal(radius, 0), "bucket long, t int, used long, id long, fp long")
+        dealt = level.mapInArrow(_deal(radius), "bucket long, t int, used long, id long, fp long")
         made = pin(dealt.repartition("bucket").sortWithinPartitions("bucket", "t", "used")
-                   .mapInArrow(_link(radius), "kind int, a long, b long, t int, used long"), "links")
+                   .mapInArrow(_link(radius, limit), "kind int, a long, b long, t int, used long"), "links")
         edges = made.where("kind = 0 AND a <> b").select("a", "b")
         found = edges if found is None else found.union(edges)
         level = made.where("kind = 1").select("t", "used", F.col("a").alias("id"), F.col("b").alias("fp"))
