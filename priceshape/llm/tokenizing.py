@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Segments a worker remembers, and stems of words; then it starts anew.
-REMEMBERED, STEMS = 200_000, 800_000
+#: Segments that a worker remembers, those of the word encoder and their stems; then it starts anew.
+REMEMBERED, WORDS, STEMS = 60_000, 400_000, 800_000
 #: Characters of a segment that go to the library whole.
 SHORT = 1024
 
@@ -135,7 +135,7 @@ class Words(Segments):
         return found
 
     def encode(self, text: str | None) -> bytes:
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > WORDS:
             self.seen.clear()
         return b"".join(map(self.seen.__getitem__, self.segments(text or "")))
 
