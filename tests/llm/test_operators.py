@@ -1,5 +1,6 @@
 """Each corpus operator against a plain version, with NULLs, empty and long texts, ties and repeats."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -263,8 +264,11 @@ def test_cells_come_in_ascending_order():
     assert sorted(cells) == list(range(35)) and sums == sorted(sums)
 
 
+LOADED = functools.cache(tokenizing.load)
+
+
 def library(path, text):
-    return np.array(tokenizing.load(path).encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    return np.array(LOADED(path).encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_tree_concatenation_is_exact():
