@@ -69,7 +69,7 @@ def parse_month(text: str) -> tuple[int, str, dt.date]:
     """``YYYY-MM`` argument -> (year, month code, first day); ValueError otherwise."""
     match = re.fullmatch(r"(\d{4})-(\d{1,2})", text)
     if not match:
-        raise ValueError(f"Invalid date {text!r}: expected YYYY-MM")
+        raise ValueError(f"{text!r} is not a month; write it like 2024-06")
     first = dt.date(int(match[1]), int(match[2]), 1)
     return first.year, f"M{first.month:02d}", first
 

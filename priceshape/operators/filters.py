@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from priceshape.functions.fields import item_code_length, strip
 from priceshape.scratch import pin
 
-# The names a lock may use for each series column.
+# The names a lock may use, and the series column of each.
 LOCK_NAMES = {
-    "area_code": ["area", "area_code"],
-    "item_code": ["item", "item_code"],
-    "seasonal": ["seasonal", "seasonality"],
-    "base_code": ["base", "base_code"],
-    "base_period": ["base_period"],
-    "periodicity_code": ["periodicity", "periodicity_code"],
+    "area": "area_code",
+    "area_code": "area_code",
+    "base": "base_code",
+    "base_code": "base_code",
+    "base_period": "base_period",
+    "item": "item_code",
+    "item_code": "item_code",
+    "periodicity": "periodicity_code",
+    "periodicity_code": "periodicity_code",
+    "seasonal": "seasonal",
+    "seasonality": "seasonal",
 }
 
 
 def parse_locks(expressions: Iterable[str]) -> dict[str, str]:
     """``KEY=VALUE`` texts -> {series column: required value}; ValueError on a malformed lock."""
-    column_of = {name: column for column, names in LOCK_NAMES.items() for name in names}
     locks: dict[str, str] = {}
     for text in filter(None, map(str.strip, expressions)):
         name, equals, value = (part.strip() for part in text.partition("="))
@@ -31,7 +35,7 @@ def parse_locks(expressions: Iterable[str]) -> dict[str, str]:
             raise ValueError(f"series lock {text!r} is not of the form KEY=VALUE")
         if not name or not value:
             raise ValueError(f"series lock {text!r} needs both a key and a value")
-        column = column_of.get(name.lower())
+        column = LOCK_NAMES.get(name.lower())
         if column is None:
             raise ValueError(f"unknown series lock key {name!r}; use one of {sorted(LOCK_NAMES)}")
         if column in locks:

@@ -25,7 +25,7 @@ CELL = 0.5
 REACH = 8.75
 TERMS = 16
 TIE = 1e-12
-GROUPS_PER_TASK = 64
+TASKS_PER_CORE = 4
 
 # Rule of thumb over std, q25, q75 and ess; the interquartile range counts only when positive.
 BANDWIDTH_RULE = """0.9D * greatest(0D, if(q75 - q25 <= 0, std, least(std, (q75 - q25) / 1.34D)))
@@ -34,6 +34,8 @@ BANDWIDTH_RULE = """0.9D * greatest(0D, if(q75 - q25 <= 0, std, least(std, (q75
 
 def grid_frame(table: DataFrame, keys: list[str], grid_points: int) -> DataFrame:
     """keys, h, sw, base, low, step from a table with ``h``, ``lo``, ``hi`` and ``sw``."""
+    if grid_points < 2:
+        raise ValueError("a density grid needs at least 2 points")
     return (
         table.filter("h > 0")
         .selectExpr(
@@ -72,9 +74,10 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
         series = f"({series}) * _u + _m{k} * {1.0 / math.factorial(k)!r}D"
     terms = [f"_m{k}" for k in range(TERMS)]
     # From here on everything of a group stays in the partition its cells are sent to. The cells
-    # are few but stand for many grid points, so the number of tasks follows the groups.
+    # are few but stand for many grid points, so Spark must not judge by their size; the number of
+    # tasks follows the cores, however many groups there are.
     cores = sample.rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(min(sample.group_count, cores), -(-sample.group_count // GROUPS_PER_TASK), 1)
+    tasks = max(min(sample.group_count, TASKS_PER_CORE * cores), 1)
     return (
         join_facts(cells, frame, keys)
         .repartition(tasks, *keys)

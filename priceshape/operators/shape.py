@@ -54,8 +54,7 @@ def axis_limits(
 
     An ungrouped sample without rows gives (-1, 1).
     """
-    clip = min(max(clip, 0.5), 0.9999)
-    tail = (1.0 - clip) / 2.0
+    tail = sorted((0.5 * (1.0 - 0.9999), 0.5 * (1.0 - clip), 0.25))[1]  # a share of 0.5 to 0.9999 stays
     keys = sample.keys
     ends = linear_quantiles(sample, {"_low": tail, "_high": 1.0 - tail}, task_rows=task_rows)
     limits = (
