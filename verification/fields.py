@@ -530,10 +530,11 @@ def right_tail_rows(spark, sf_dir):
     return rounded(top.select("series_id", "yoy"), ["yoy"])
 
 
-@check("s5_limit_sample", price_sql("""SELECT series_id, make_date(year, CAST(substr(period, 2) AS INTEGER), 1)
-    AS month_date, value FROM observation WHERE period <> 'M13' ORDER BY series_id, year, period LIMIT 5"""))
+@check("s5_limit_sample", price_sql("""SELECT series_id, CAST(make_date(year, CAST(substr(period, 2) AS INTEGER), 1)
+    AS VARCHAR) AS month_date, CAST(value AS DOUBLE) AS value FROM observation WHERE period <> 'M13' ORDER BY series_id, year, period LIMIT 5"""))
 def limit_sample(spark, sf_dir):
     year, period = code_columns()
     return prices(spark, sf_dir).observation.filter("period <> 'M13'").orderBy(
         "series_id", "year", "period").limit(5).select(
-        "series_id", pf.month_date(year, period).alias("month_date"), "value")
+        "series_id", pf.month_date(year, period).cast("string").alias("month_date"),
+        F.col("value").cast("double").alias("value"))
