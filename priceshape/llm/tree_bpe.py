@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceshape.llm.common import col, query, slices, table
-from priceshape.llm.tokenizing import _APART, Segments, once
+from priceshape.llm.tokenizing import _APART, Segments, load, once
 
 #: Characters of a part that one task encodes by itself.
 LEAF_CHARS = 16_384
@@ -168,12 +168,13 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
 def _bytes_of_ids(path: str) -> list[bytes]:
     """Bytes of each id: the vocabulary writes them in a printable alphabet, in which the printable
     bytes stand for themselves and the others, in order, for the characters from U+0100 on."""
-    encoder = once(TreeEncoder, path)
+    tokenizer = load(path)  # let go again: workers that only decode keep the bytes alone
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
     return [bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode()
-            for name in encoder.name]
+            for name in names]
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
