@@ -17,14 +17,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priceshape.operators.samples import Sample, expressions, heaviest_value, join_facts
+from priceshape.operators.samples import Sample, expressions, heaviest_value, join_facts, named
 
 GRID_POINTS = 2048
-EXTEND = 3.0
+EXTEND = 3.0  # bandwidths of the grid beyond the least and the greatest value
 CELL = 0.5
-REACH = 8.75
+REACH = 8.75  # farther off a kernel is below 2.4e-17 of its peak and counts as 0
 TERMS = 16
-TIE = 1e-12
+TIE = 1e-12  # relative difference from the peak up to which the first grid point is the mode
 TASKS_PER_CORE = 4
 
 # Rule of thumb over std, q25, q75 and ess; the interquartile range counts only when positive.
@@ -32,7 +32,9 @@ BANDWIDTH_RULE = """0.9D * greatest(0D, if(q75 - q25 <= 0, std, least(std, (q75
     * pow(ess, -0.2D)"""
 
 
-def grid_frame(table: DataFrame, keys: list[str], grid_points: int) -> DataFrame:
+def grid_frame(
+    table: DataFrame, keys: list[str], grid_points: int, extend: float = EXTEND
+) -> DataFrame:
     """keys, h, sw, base, low, step from a table with ``h``, ``lo``, ``hi`` and ``sw``."""
     if grid_points < 2:
         raise ValueError("a density grid needs at least 2 points")
@@ -43,8 +45,8 @@ def grid_frame(table: DataFrame, keys: list[str], grid_points: int) -> DataFrame
             "h",
             "sw",
             "lo AS base",
-            f"lo - {EXTEND}D * h AS low",
-            f"hi + {EXTEND}D * h AS high",
+            f"lo - {float(extend)!r}D * h AS low",
+            f"hi + {float(extend)!r}D * h AS high",
         )
         .selectExpr(*keys, "h", "sw", "base", "low", f"(high - low) / {grid_points - 1} AS step")
     )
@@ -94,36 +96,54 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
     )
 
 
-def mode_of(densities: DataFrame, keys: list[str]) -> DataFrame:
-    """keys + mode: the first grid point whose density is the greatest (ties within 1e-12)."""
+def mode_of(densities: DataFrame, keys: list[str], tie: float = TIE) -> DataFrame:
+    """keys + mode: the first grid point whose density is the greatest but for a share of ``tie``.
+
+    Points of equal density (as between two equal values) differ by rounding, which the order of a
+    sum decides; ``tie`` of 0 takes the greatest as it is.
+    """
     group = ", ".join(f"`{key}`" for key in keys)
     return (
         densities.selectExpr("*", f"max(density) OVER (PARTITION BY {group}) AS _peak")
-        .filter(f"density >= _peak * {1 - TIE!r}D")
+        .filter(f"density >= _peak * {1 - tie!r}D")
         .groupBy(*keys)
         .agg(F.min("grid_x").alias("mode"))
     )
 
 
-def kde_mode(sample: Sample, table: DataFrame, *, grid_points: int = GRID_POINTS) -> DataFrame:
+@named
+def kde_mode(
+    sample: Sample,
+    table: DataFrame,
+    *,
+    grid_points: int = GRID_POINTS,
+    extend: float = EXTEND,
+    tie: float = TIE,
+) -> DataFrame:
     """keys + mode. ``table`` has ``h`` and the sample facts; groups with ``h <= 0`` take the value
     of their first row of greatest weight."""
     keys = sample.keys
-    modes = mode_of(density(sample, grid_frame(table, keys, grid_points), grid_points), keys)
+    frame = grid_frame(table, keys, grid_points, extend)
+    modes = mode_of(density(sample, frame, grid_points), keys, tie)
     flat = heaviest_value(sample, table.filter("h <= 0").select(*keys))
     return modes.unionByName(flat.selectExpr(*keys, "heaviest AS mode"))
 
 
-def kde_curve(sample: Sample, table: DataFrame, *, grid_points: int = GRID_POINTS) -> DataFrame:
+@named
+def kde_curve(
+    sample: Sample, table: DataFrame, *, grid_points: int = GRID_POINTS, extend: float = EXTEND
+) -> DataFrame:
     """keys, i, grid_x, density for all grid points of all groups.
 
+    Values more than ``REACH`` bandwidths off count as 0, so the density is exactly 0 in wide gaps.
+
     A group with ``h <= 0`` has a grid from its least to its greatest value that is 0 everywhere
     but 1 at the point nearest the value of its first row of greatest weight.
     """
     keys = sample.keys
     points = f"explode(sequence(0, {grid_points - 1})) AS i"
     columns = [*keys, "i", "grid_x", "density"]
-    frame = grid_frame(table, keys, grid_points)
+    frame = grid_frame(table, keys, grid_points, extend)
     zeros = frame.selectExpr(*keys, "low", "step", points).selectExpr(
         *keys, "i", "low + i * step AS grid_x", "0D AS density"
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from priceshape.operators.samples import Sample, expressions, join_facts
+from priceshape.operators.samples import Sample, expressions, join_facts, named
 
 
+@named
 def moments(sample: Sample, fisher: bool = True) -> DataFrame:
     """keys + mean, variance, std, skewness, kurtosis, ess; one row per group.
 
@@ -52,6 +53,7 @@ def moments(sample: Sample, fisher: bool = True) -> DataFrame:
     )
 
 
+@named
 def normalized_weights(sample: Sample) -> DataFrame:
     """Rows with ``weight`` scaled to sum to one within the group."""
     totals = sample.facts.select(*sample.keys, "sw")

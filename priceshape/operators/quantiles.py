@@ -2,10 +2,15 @@
 
 The statistics need the running weight only around a few cut positions. A group is therefore cut
 into value-ordered cells that carry their weight sums. While a cell that holds a cut position has
-more rows than one task should sort, it is split again into equal-width cells by an aggregation
-with map-side combine. Only the rows of the final cut cells are sorted, at most ``task_rows`` per
-cell unless they are copies of one value, which need no order at all. Nothing is approximated: each
-split narrows a cell, so the loop ends with small cells or single values.
+more rows than one task should sort, it is split again by an aggregation with map-side combine. Only
+the rows of the final cut cells are sorted, at most ``task_rows`` per cell unless they are copies of
+one value, which need no order at all. Nothing is approximated: each split narrows a cell, so the
+loop ends with small cells or single values.
+
+A split cuts at ``SPLIT`` equal widths and, in the same pass, at ``SPLIT`` equal steps of the signed
+logarithm. The widths serve values of one size, the logarithm those of any size: two splits bring a
+cell over all doubles down to a few thousandths of its values, and five more to single values, so no
+data need more than seven passes.
 """
 
 from __future__ import annotations
@@ -13,14 +18,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from priceshape.operators.samples import ORDER, Sample, expressions, join_facts
+from priceshape.operators.samples import ORDER, Sample, expressions, join_facts, named
 from priceshape.scratch import pin
 
 SPLIT = 1024
-# Sorting every row is cheaper than another pass only while there are few rows in all.
-FEW_ROWS = 5_000_000
-TASK_ROWS_OF_FEW = 100_000
-TASK_ROWS_OF_MANY = 10_000
+# Rows of a cell that one task sorts.
+TASK_ROWS = 100_000
+
+
+def _log_scale(x: str) -> str:
+    """Signed logarithm: grows with ``x`` over all doubles, 0 at 0 (the least double is 2**-1074)."""
+    return f"coalesce(signum({x}) * (log2(abs({x})) + 1076D), 0D)"
+
+
+def _step(offset: str) -> str:
+    return f"least(floor({offset} * {SPLIT}), {SPLIT - 1})"
 
 
 def _any_cut(positions: list[str]) -> str:
@@ -64,11 +76,20 @@ def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
     too_big = f"(cell_n > {task_rows} AND cell_lo / 2 < cell_hi / 2 AND {_any_cut(positions)})"
     offset = "(_x / 2 - cell_lo / 2) / (cell_hi / 2 - cell_lo / 2)"
     while sample.largest_group > task_rows and not cells.filter(too_big).isEmpty():
-        targets = cells.filter(too_big).select(*keys, "cell_lo", "cell_hi")
+        targets = cells.filter(too_big).selectExpr(
+            *keys,
+            "cell_lo",
+            "cell_hi",
+            f"{_log_scale('cell_lo')} AS _log_lo",
+            f"{_log_scale('cell_hi')} AS _log_hi",
+        )
+        # The ends of a narrow cell may share a logarithm; its widths alone count then.
+        log_offset = f"({_log_scale('_x')} - _log_lo) / nullif(_log_hi - _log_lo, 0D)"
         split = (
             sample.attach(sample.rows, targets, "_x BETWEEN cell_lo AND cell_hi")
-            .withColumn("_sub", F.expr(f"least(floor({offset} * {SPLIT}), {SPLIT - 1})"))
-            .groupBy(*keys, "cell_lo", "_sub")
+            .withColumn("_sub", F.expr(_step(offset)))
+            .withColumn("_log_sub", F.expr(f"coalesce({_step(log_offset)}, 0)"))
+            .groupBy(*keys, "cell_lo", "_sub", "_log_sub")
             .agg(
                 *expressions(
                     {
@@ -87,6 +108,7 @@ def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
     return cells
 
 
+@named
 def cut_statistics(
     sample: Sample,
     positions: list[str],
@@ -103,9 +125,7 @@ def cut_statistics(
     without a cut (``cell_w``, ``cell_wx``, ``before``). Both see ``group_n`` and ``group_w``.
     """
     keys = sample.keys
-    if task_rows is None:
-        task_rows = TASK_ROWS_OF_FEW if sample.total_rows <= FEW_ROWS else TASK_ROWS_OF_MANY
-    cells = _cells(sample, positions, task_rows)
+    cells = _cells(sample, positions, task_rows or TASK_ROWS)
     cut = _any_cut(positions)
     near = sample.attach(sample.rows, cells.filter(cut), "_x BETWEEN cell_lo AND cell_hi")
 
@@ -175,6 +195,7 @@ def _kept(start: str, end: str, trim: float) -> str:
     return f"({clip(end)} - {clip(start)})"
 
 
+@named
 def quantiles(
     sample: Sample,
     probabilities: dict[str, float],
@@ -202,10 +223,11 @@ def quantiles(
         }
         total = [f"(_{name}_{part} + coalesce(_{name}_cell_{part}, 0D))" for part in ("wx", "w")]
         trimmed.append(f"{total[0]} / {total[1]} AS {name}")
-    result = cut_statistics(sample, positions, measures, cell_measures, task_rows=task_rows)
+    result = cut_statistics.keyed(sample, positions, measures, cell_measures, task_rows=task_rows)
     return result.selectExpr(*sample.keys, *probabilities, *trimmed)
 
 
+@named
 def linear_quantiles(
     sample: Sample, probabilities: dict[str, float], *, task_rows: int | None = None
 ) -> DataFrame:
@@ -223,5 +245,5 @@ def linear_quantiles(
         mixed.append(
             f"_{name}_floor + (_{name}_ceil - _{name}_floor) * _{name}_part AS {name}"
         )
-    result = cut_statistics(sample, positions, measures, task_rows=task_rows)
+    result = cut_statistics.keyed(sample, positions, measures, task_rows=task_rows)
     return result.selectExpr(*sample.keys, *mixed)

@@ -9,6 +9,7 @@ Formulas are SQL expressions: one expression is one call into the JVM, however l
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,8 @@ class Sample:
 
     rows: DataFrame
     facts: DataFrame
-    keys: list[str]
+    keys: list[str]  # names of the group columns inside: safe in any formula
+    names: list[str]  # their own names
     weighted: bool
     grouped: bool
     group_count: int
@@ -55,8 +57,33 @@ class Sample:
         return hot_part.unionByName(join_facts(cold_rows, table, self.keys, extra))
 
     def finish(self, df: DataFrame) -> DataFrame:
-        """Drop the stand-in key of an ungrouped sample."""
-        return df if self.grouped else df.drop(ALL)
+        """Give the group columns their own names, or drop the stand-in key of an ungrouped sample.
+
+        A result column of the same name (case aside) as a group column gets an underscore at its end.
+        """
+        if not self.grouped:
+            return df.drop(ALL)
+        own = dict(zip(self.keys, self.names, strict=True))
+        taken = {name.lower() for name in self.names}
+        columns = []
+        for c in df.columns:
+            name = own.get(c, c)
+            while c not in own and name.lower() in taken:
+                name += "_"
+            columns.append(F.col(f"`{c}`").alias(name))
+        return df.select(*columns)
+
+
+def named(statistic):
+    """A statistic of a sample with the group columns under their own names; its ``keyed`` form, for
+    further work on the sample, has them under ``sample.keys``."""
+
+    @functools.wraps(statistic)
+    def made(sample: Sample, *args, **options) -> DataFrame:
+        return sample.finish(statistic(sample, *args, **options))
+
+    made.keyed = statistic
+    return made
 
 
 def expressions(named: dict[str, str]) -> list[Column]:
@@ -79,18 +106,22 @@ def make_sample(
     weight_col: str | Column | None = None,
     order_col: str | Column | None = None,
 ) -> Sample:
-    """Collect the per-group facts of ``df``; rows whose value is NULL or not finite are left
-    out.
+    """Collect the per-group facts of ``df``; rows whose value is NULL or not finite, or whose weight
+    is NULL, take no part and are not counted.
 
-    A negative weight, or a group whose weights do not sum to a positive number, is an error.
+    Group columns may have any name. A negative weight, or a group whose weights do not sum to a
+    positive number, is an error.
     """
 
     def as_column(c):
         return F.col(c) if isinstance(c, str) else c
 
     grouped = bool(group_cols)
-    keys = list(group_cols) if grouped else [ALL]
-    columns = [F.col(key) for key in group_cols] or [F.lit(0).alias(ALL)]
+    keys = [f"_k{i}" for i in range(len(group_cols))] if grouped else [ALL]
+    columns = [
+        F.col("`" + name.replace("`", "``") + "`").alias(key)
+        for key, name in zip(keys, group_cols)
+    ] or [F.lit(0).alias(ALL)]
     weight = F.lit(1.0) if weight_col is None else as_column(weight_col).cast("double")
     columns += [as_column(value_col).cast("double").alias(X), weight.alias(W)]
     if order_col is not None:
@@ -130,7 +161,9 @@ def make_sample(
     if sizes[0] > MANY_GROUPS:
         limit = max(HOT_ROWS, sizes[1] // HOT_GROUPS)
         hot = pin(facts.filter(F.col("n") > limit).select(*keys), "hot")
-    return Sample(rows, facts, keys, weight_col is not None, grouped, *sizes, hot)
+    return Sample(
+        rows, facts, keys, list(group_cols), weight_col is not None, grouped, *sizes, hot
+    )
 
 
 def heaviest_value(sample: Sample, groups: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from priceshape.operators.quantiles import linear_quantiles
-from priceshape.operators.samples import Sample, expressions, join_facts
+from priceshape.operators.samples import Sample, expressions, join_facts, named
 
 
+@named
 def histogram(sample: Sample, bins: int = 30) -> DataFrame:
     """keys, bin, bin_low, bin_high, weight: equal bins over the range, the last one closed.
 
@@ -47,6 +48,7 @@ def histogram(sample: Sample, bins: int = 30) -> DataFrame:
     )
 
 
+@named
 def axis_limits(
     sample: Sample, *, clip: float = 0.995, padding: float = 0.05, task_rows: int | None = None
 ) -> DataFrame:
@@ -56,7 +58,7 @@ def axis_limits(
     """
     tail = sorted((0.5 * (1.0 - 0.9999), 0.5 * (1.0 - clip), 0.25))[1]  # a share of 0.5 to 0.9999 stays
     keys = sample.keys
-    ends = linear_quantiles(sample, {"_low": tail, "_high": 1.0 - tail}, task_rows=task_rows)
+    ends = linear_quantiles.keyed(sample, {"_low": tail, "_high": 1.0 - tail}, task_rows=task_rows)
     limits = (
         join_facts(ends, sample.facts.select(*keys, "lo", "hi"), keys)
         .selectExpr(

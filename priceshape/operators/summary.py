@@ -37,19 +37,20 @@ def describe(
     bandwidth: float | None = None,
     task_rows: int | None = None,
 ) -> DataFrame:
-    """All statistics but the mode, with the facts the density grid needs; a written table.
+    """All statistics but the mode, with the facts the density grid needs; a written table with the
+    group columns under ``sample.keys`` (``sample.finish`` gives them their own names).
 
     ``bandwidth`` of None or 0 selects the rule of thumb.
     """
     keys = sample.keys
-    ranks = quantiles(
+    ranks = quantiles.keyed(
         sample,
         {"q25": 0.25, "weighted_median": 0.5, "q75": 0.75},
         {"trimmed_mean": trim},
         task_rows=task_rows,
     )
     facts = sample.facts.select(*keys, "n", "sw", "lo", "hi", "positive_lo")
-    table = join_facts(join_facts(ranks, moments(sample), keys), facts, keys)
+    table = join_facts(join_facts(ranks, moments.keyed(sample), keys), facts, keys)
     h = f"{float(bandwidth)!r}D" if bandwidth else BANDWIDTH_RULE
     return pin(
         table.selectExpr(
@@ -84,7 +85,7 @@ def summarize(
     """keys, count and the nine statistics; one row per group of the ``describe`` table."""
     keys = sample.keys
     if bandwidth and bandwidth < 0:
-        with_mode = join_facts(kde_mode(sample, table, grid_points=grid_points), table, keys)
+        with_mode = join_facts(kde_mode.keyed(sample, table, grid_points=grid_points), table, keys)
     else:
         # A rule-of-thumb bandwidth of zero means that all positive-weight values are equal.
         frame = grid_frame(table, keys, grid_points)

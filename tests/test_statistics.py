@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceshape.operators import filters
+from priceshape.operators import quantiles as quantiles_module
 from priceshape.operators import samples as sample_module
 from priceshape.operators.kde import kde_curve, kde_mode
 from priceshape.operators.moments import moments
@@ -12,6 +13,7 @@ from priceshape.operators.quantiles import linear_quantiles, quantiles
 from priceshape.operators.samples import make_sample
 from priceshape.operators.shape import axis_limits, histogram
 from priceshape.operators.summary import STATISTICS, describe, stat_summary, summarize
+from priceshape.scratch import pin
 from tests.reference_stats import describe as expected_statistics
 
 
@@ -62,7 +64,7 @@ def test_hot_groups_among_many(spark, monkeypatch):
     monkeypatch.setattr(sample_module, "HOT_ROWS", 300)
     rows = rows_of(spark, groups)
     sample = make_sample(rows, ["g"], "v", "w", "i")
-    hot = {r["g"] for r in sample.hot.collect()}
+    hot = {r["g"] for r in sample.finish(sample.hot).collect()}
     assert hot == {k for k, (x, _) in groups.items() if len(x) > 300}
     table = describe(sample, task_rows=100)
     by_key = {r["g"]: r for r in summarize(sample, table).collect()}
@@ -173,6 +175,47 @@ def test_equal_weights_give_type_four_quantiles(spark, task_rows):
         assert [row[k] for k in wanted] == pytest.approx(want, rel=1e-9), row["g"]
 
 
+def test_rounds_do_not_follow_the_range(spark, monkeypatch):
+    """Values over 600 decades of either sign need no more passes than values of one size."""
+    rounds = []
+    monkeypatch.setattr(
+        quantiles_module, "pin", lambda df, label: (rounds.append(label), pin(df, label))[1])
+    rng = np.random.default_rng(11)
+    n = 20_000
+    wide = rng.choice([-1.0, 1.0], n) * 10.0 ** rng.uniform(-300, 300, n)
+    close = 1.0 + rng.random(n) * 1e-13
+    for x, most in ((wide, 7), (close, 7), (rng.normal(0.03, 0.05, n), 2)):
+        rounds.clear()
+        rows = spark.createDataFrame([(float(v),) for v in x], "v double").repartition(4)
+        got = quantiles(make_sample(rows, [], "v"), {"a": 0.1, "m": 0.5, "z": 0.99}, task_rows=200)
+        want = np.quantile(x, [0.1, 0.5, 0.99], method="interpolated_inverted_cdf")
+        assert list(got.first()) == pytest.approx(want, rel=1e-14)
+        assert len(rounds) <= most
+
+
+@pytest.mark.parametrize("name", ["event type", "a-b", "a.b", "n", "lo", "h", "i", "mean", "mode",
+                                  "Count", "_x", "weight"])
+def test_any_group_name(spark, name):
+    rows = spark.createDataFrame([(k, float(v)) for k in "pq" for v in range(9)], "k string, v double")
+    sample = make_sample(rows.withColumnRenamed("k", name), [name], "v")
+    table = describe(sample)
+    for found in (summarize(sample, table, grid_points=64), moments(sample),
+                  quantiles(sample, {"q": 0.5}), kde_mode(sample, table, grid_points=64),
+                  kde_curve(sample, table, grid_points=8), histogram(sample, bins=3),
+                  axis_limits(sample)):
+        assert len(set(map(str.lower, found.columns))) == len(found.columns)
+        assert found.columns[0] == name and {r[0] for r in found.collect()} == {"p", "q"}
+
+
+def test_mode_without_a_tie_is_the_greatest(spark):
+    x = samples()["normal"][0]
+    sample = make_sample(rows_of(spark, {"a": (x, np.ones(len(x)))}), ["g"], "v")
+    _, points, heights = expected_statistics(x, grid=512)
+    for tie in (0.0, 1e-12):
+        got = kde_mode(sample, describe(sample), grid_points=512, tie=tie).first()["mode"]
+        assert got == pytest.approx(points[np.argmax(heights)], rel=1e-12)
+
+
 def test_infinite_values_are_left_out(spark):
     rows = spark.sql("SELECT explode(array(1D, 2D, 3D, double('Infinity'), -double('Infinity'))) v")
     sample = make_sample(rows, [], "v")
