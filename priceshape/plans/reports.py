@@ -325,6 +325,18 @@ def metric_frame(report: DataFrame) -> DataFrame:
     )
 
 
+def timeseries_frame(series: DataFrame) -> DataFrame:
+    """Chart-ready columns of a monthly time series: real date, percent texts as numbers.
+
+    ``chart_range`` over the number columns gives the axis of the chart.
+    """
+    numbers = [f"{name}_percent" for name in PERCENT_STATISTICS]
+    return series.select(
+        F.to_date("date", "yyyy-MM").alias("date"),
+        *[percent_number(F.col(name)).alias(name) for name in numbers],
+    )
+
+
 def chart_range(df: DataFrame, columns: list[str], margin: float = 0.0) -> DataFrame:
     """One row: the least and the greatest value over several columns, widened by a margin."""
     lows = [F.min(c) for c in columns]

@@ -43,7 +43,9 @@ def summary_document(
         F.struct(*label_order("label")).alias("_order"),
         "label",
         "count",
-        F.struct(*STATISTICS, *percents).alias("stats"),
+        F.struct(
+            *[name for name in STATISTICS if name != "weighted_kde_bandwidth"], *percents
+        ).alias("stats"),
         F.expr(f"transform(examples, e -> {example})").alias("examples"),
     )
     listed = entries.agg(

@@ -201,6 +201,17 @@ def series_view(spark, sf_dir):
     return plain_view(spark.sql(f"SELECT id, name, date, value FROM {name}"))
 
 
+@check("g14_timeseries_frame", growth_sql(
+    sample("growth WHERE selectable AND period <> 'M13'", f"{DATE} || '-01' AS date")
+    + stat_tables("date") + " SELECT date, "
+    + ", ".join(f"CAST(rtrim(printf('%.2f%%', {c} * 100), '%') AS DOUBLE) AS {c}_percent"
+                for c in reports.PERCENT_STATISTICS) + " FROM stat"))
+def timeseries_frame(spark, sf_dir):
+    found = reports.timeseries_frame(
+        reports.metrics_timeseries(prices(spark, sf_dir), START, END))
+    return found.withColumn("date", F.col("date").cast("string"))
+
+
 @check("g14_metric_frame", growth_sql(
     sample("growth WHERE selectable AND period <> 'M13' AND year = 2000",
            f"{DATE} || '-01' AS date, CAST(display_level AS VARCHAR) AS group_label")

@@ -102,7 +102,8 @@ def weighted_trimmed_mean(spark, sf_dir):
 
 @check("a11_kde_bandwidth", event_sql({"h": "h"}))
 def kde_bandwidth(spark, sf_dir):
-    return rounded(describe(weighted_events(spark, sf_dir)).select("event_type", "h"), ["h"])
+    sample = weighted_events(spark, sf_dir)
+    return rounded(sample.finish(describe(sample)).select("event_type", "h"), ["h"])
 
 
 @check("a12_kde_mode", event_sql({"mode": "weighted_kde_mode"}))
@@ -170,7 +171,15 @@ def summary_unit_weights(spark, sf_dir):
     return rounded(found, STAT_COLUMNS)
 
 
-@check("a14_summary_ties", f"""WITH sample AS (SELECT l_returnflag, l_linestatus, l_discount AS x,
+@check("a14_summary_group_name", f"""{UNIT_SAMPLE}{stat_tables('event_type')}
+    SELECT event_type AS "event type", n AS count, {stat_select()} FROM stat""")
+def summary_group_name(spark, sf_dir):
+    """A group column whose name is no plain identifier."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "event type")
+    return rounded(stat_summary(events, ["event type"], "value"), STAT_COLUMNS)
+
+
+@check("a14_summary_ties",f"""WITH sample AS (SELECT l_returnflag, l_linestatus, l_discount AS x,
       1.0::DOUBLE AS w, l_orderkey * 100 + l_linenumber AS o FROM lineitem)
     {stat_tables('l_returnflag, l_linestatus')}
     SELECT l_returnflag, l_linestatus, n AS count, {stat_select()} FROM stat""")
@@ -274,8 +283,8 @@ def running_weight(spark, sf_dir):
 def value_order(spark, sf_dir):
     from priceshape.operators.filters import top_k
 
-    rows = weighted_events(spark, sf_dir).rows
-    first = top_k(rows, ["event_type"], [F.col("_x"), F.col("_order")], 20)
+    sample = weighted_events(spark, sf_dir)
+    first = top_k(sample.finish(sample.rows), ["event_type"], [F.col("_x"), F.col("_order")], 20)
     return first.selectExpr("event_type", "_x AS value", "_w AS weight")
 
 
