@@ -38,3 +38,9 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def map_rows(rows: DataFrame, task) -> DataFrame:
+    """``mapInArrow`` to the same columns, which may have any names (``task`` goes by position)."""
+    plain = rows.toDF(*[f"_c{i}" for i in range(len(rows.columns))])
+    return plain.mapInArrow(task, plain.schema).toDF(*rows.columns)

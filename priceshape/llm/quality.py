@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceshape.llm.boosting import Trees, fit
-from priceshape.llm.common import col, query, slices, table
+from priceshape.llm.common import col, map_rows, query, slices, table
 
 #: Labelled rows that the trees are trained on.
 SAMPLE = 20_000
@@ -126,7 +126,7 @@ def keep_quality(docs: DataFrame, model: Trees, cut: float = CUT, text: str = "t
             p = model.score(_matrix(batch.column(at).to_pylist()).astype(np.float32))
             yield batch.filter(pa.array(p >= cut))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_rows(docs, kept)
 
 
 @query("op9_quality_trees")
