@@ -41,36 +41,3 @@ def read_snapshot(spark: SparkSession, folder: str) -> Tables:
         table = spark.read.schema(json_schema(name)).json(f"{folder}/{name}")
         parts[name] = _from_json(table, name)
     return Tables(**parts)
-
-
-# Section and field names of a snapshot kept as one document.
-_SECTIONS = {
-    "area": ("areas", {"code": "area_code", "name": "area_name"}),
-    "item": ("items", {"code": "item_code", "name": "item_name"}),
-    "period": ("periods", {"code": "period_code", "abbr": "period_abbr", "name": "period_name"}),
-    "footnote": ("footnotes", {"code": "footnote_code", "text": "footnote_text"}),
-    "series": ("series", {}),
-    "observation": ("observations", {}),
-}
-
-
-def read_snapshot_document(spark: SparkSession, path: str) -> Tables:
-    """Snapshot kept as one JSON document with a list per table.
-
-    A document is one record, so one task reads it; large data belongs in the folder form.
-    """
-    fields, renames = [], {}
-    for name, (section, names) in _SECTIONS.items():
-        short = {column: key for key, column in names.items()}
-        renames[name] = short
-        entry = T.StructType(
-            [T.StructField(short.get(f.name, f.name), f.dataType) for f in json_schema(name).fields]
-        )
-        fields.append(T.StructField(section, T.ArrayType(entry)))
-    document = spark.read.schema(T.StructType(fields)).json(path, multiLine=True)
-    parts = {}
-    for name, (section, _) in _SECTIONS.items():
-        table = document.selectExpr(f"inline({section})")
-        back = {key: column for column, key in renames[name].items()}
-        parts[name] = _from_json(table.withColumnsRenamed(back), name)
-    return Tables(**parts)

@@ -3,8 +3,10 @@
 A store is a folder of immutable Parquet directories and a small ``CURRENT`` file that lists the
 directories of the present state. A change writes new directories first and replaces ``CURRENT``
 last, so readers see all of it or nothing and a lost executor or a failed job changes nothing.
-Observations are kept in directories per year: an append adds a directory, an upsert rewrites only
-the years it touches. There is one writer at a time.
+Observations are kept in directories per year and, below it, bucket of the series id: an append adds
+directories, an upsert or a delete rewrites only the buckets it touches. What a change wrote is checked
+before it is published. There is one writer at a time. The files are listed through the JVM, so a
+session of Spark Connect cannot open a store.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceshape.operators.dedup import last_wins, upsert
@@ -37,24 +39,36 @@ def with_defaults(table: DataFrame, name: str) -> DataFrame:
     return table.select(columns)
 
 
-def ordered_observations(df: DataFrame) -> DataFrame:
-    """Observations in key order, cut into ranges; a repeated key fails the job.
+#: Buckets of a year in a new store; the number stays with the store.
+BUCKETS = 8
+
+
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("series_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def ordered_observations(df: DataFrame, buckets: int) -> DataFrame:
+    """Observations with their bucket, by year, bucket and key, cut into ranges; a repeated key fails
+    the job.
 
     The shuffle that orders the rows also brings equal keys together, so the check needs no pass of
     its own.
     """
-    keys = ["year", "series_id", "period"]
-    checked = """if(count(1) OVER (PARTITION BY year, series_id, period) > 1,
+    keys = ["year", "bucket", "series_id", "period"]
+    checked = """if(count(1) OVER (PARTITION BY year, bucket, series_id, period) > 1,
         raise_error(concat('observation: repeated key ', series_id, ' ', year, ' ', period)),
         series_id) AS series_id"""
-    others = [c for c in SCHEMAS["observation"].fieldNames() if c != "series_id"]
-    ranged = df.repartitionByRange(*keys).selectExpr(checked, *others)
+    columns = SCHEMAS["observation"].fieldNames()
+    others = [c for c in columns if c != "series_id"]
+    ranged = df.select(*columns, bucket_of(buckets)).repartitionByRange(*keys).selectExpr(
+        checked, *others, "bucket")
     return ranged.sortWithinPartitions(*keys)
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
+        self.buckets = buckets
         self.root = root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -62,12 +76,16 @@ class Store:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.root).getFileSystem(conf)
 
-    # The current directories: {table: [dir, ...]} and for observations {year: [dir, ...]}.
+    # The current directories: {table: [dir, ...]} and for observations {year: [dir, ...]}, each of
+    # which ends with its bucket.
+
+    def _nothing(self) -> dict:
+        return {"buckets": self.buckets, "tables": {}, "observation": {}}
 
     def _manifest(self) -> dict:
         pointer = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(pointer):
-            return {"tables": {}, "observation": {}}
+            return self._nothing()
         stream = self._fs.open(pointer)
         try:
             return json.loads(self._io.toString(stream, "UTF-8"))
@@ -92,16 +110,31 @@ class Store:
         df.select(SCHEMAS[name].fieldNames()).write.parquet(path)
         return path
 
+    def _folders(self, path: str, prefix: str) -> list[str]:
+        """Folders below ``path`` whose names begin with ``prefix``; none where there is no path."""
+        if not self._fs.exists(self._path(path)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
+        return [f"{path}/{name}" for name in names if name.startswith(prefix)]
+
     def _write_observations(self, df: DataFrame) -> dict[str, list[str]]:
-        """Write one directory per year; returns {year: [dir]}."""
+        """Write one directory per year and bucket; returns {year: [dir, ...]}."""
         path = f"{self.root}/observation/batch={uuid.uuid4().hex}"
-        df.select(SCHEMAS["observation"].fieldNames()).write.partitionBy("year").parquet(path)
-        years = {}
-        for status in self._fs.listStatus(self._path(path)):
-            name = status.getPath().getName()
-            if name.startswith("year="):
-                years[name.removeprefix("year=")] = [f"{path}/{name}"]
-        return years
+        columns = [*SCHEMAS["observation"].fieldNames(), "bucket"]
+        df.select(columns).write.partitionBy("year", "bucket").parquet(path)
+        return {year.rpartition("year=")[2]: self._folders(year, "bucket=")
+                for year in self._folders(path, "year=")}
+
+    def _rewrite(self, manifest: dict, places: set[tuple[str, int]], rows: DataFrame) -> dict:
+        """The manifest with ``rows`` in place of all that stands in the given years and buckets."""
+        written = self._write_observations(rows.withColumn("bucket", bucket_of(manifest["buckets"])).hint(
+            "rebalance", F.col("year"), F.col("bucket")))
+        listed = {}
+        for year in sorted({*manifest["observation"], *written}):
+            kept = [p for p in manifest["observation"].get(year, []) if (year, _bucket(p)) not in places]
+            if kept or written.get(year):
+                listed[year] = [*kept, *written.get(year, [])]
+        return {**manifest, "observation": listed}
 
     # Reading
 
@@ -115,9 +148,9 @@ class Store:
         # A column the files lack reads as NULL.
         return with_defaults(self.spark.read.schema(SCHEMAS[name]).parquet(*paths), name)
 
-    def _read_observations(self, manifest: dict, years: list[str] | None = None) -> DataFrame:
+    def _read_observations(self, manifest: dict, places: set[tuple[str, int]] | None = None) -> DataFrame:
         listed = manifest["observation"]
-        paths = [p for y in sorted(listed) if years is None or y in years for p in listed[y]]
+        paths = [p for y in sorted(listed) for p in listed[y] if places is None or (y, _bucket(p)) in places]
         schema = SCHEMAS["observation"]
         if not paths:
             return self.spark.createDataFrame([], schema)
@@ -152,19 +185,27 @@ class Store:
             return dict(zip(tables, paths, strict=True))
 
     def load(self, tables: Tables, *, truncate: bool = True) -> None:
-        """Replace all tables, or append to them; a key that occurs twice is an error."""
-        manifest = {"tables": {}, "observation": {}} if truncate else self._manifest()
+        """Replace all tables, or append to them; a key that occurs twice is an error.
+
+        The incoming tables are read once: everything is written first and the checks read what was
+        written. A load that fails leaves unpublished directories, which ``vacuum`` deletes.
+        """
+        before = self._nothing() if truncate else self._manifest()
+        dimensions = self._write_dimensions({n: t for n, t in tables.items() if n != "observation"})
+        added = {
+            "buckets": before["buckets"],
+            "tables": {name: [path] for name, path in dimensions.items()},
+            "observation": self._write_observations(
+                ordered_observations(tables.observation, before["buckets"])),
+        }
+        incoming = self._tables(added)
         problems = []
-        for name, table in tables.items():
-            if name != "observation":
-                repeated = table.groupBy(*KEYS[name]).count().filter("count > 1")
-                problems.append(
-                    repeated.select(F.lit(f"{name}: a key occurs more than once").alias("p"))
-                )
-        if manifest["tables"]:
-            years = _years(tables.observation) if manifest["observation"] else []
-            current = self._tables(manifest, self._read_observations(manifest, years))
-            for name, table in tables.items():
+        for name in dimensions:
+            repeated = incoming.get(name).groupBy(*KEYS[name]).count().filter("count > 1")
+            problems.append(repeated.select(F.lit(f"{name}: a key occurs more than once").alias("p")))
+        if before["tables"]:
+            current = self._tables(before, self._read_observations(before, _places(added)))
+            for name, table in incoming.items():
                 clash = table.join(current.get(name), KEYS[name], "left_semi")
                 problems.append(
                     clash.select(F.lit(f"{name}: keys to load are already in the store").alias("p"))
@@ -172,14 +213,13 @@ class Store:
         found = reduce(DataFrame.union, problems).limit(1).collect()
         if found:
             raise ValueError(found[0]["p"])
-        added = self._write_dimensions({n: t for n, t in tables.items() if n != "observation"})
-        for name, path in added.items():
-            manifest["tables"][name] = [*manifest["tables"].get(name, []), path]
-        for year, paths in self._write_observations(
-            ordered_observations(tables.observation)
-        ).items():
-            manifest["observation"][year] = [*manifest["observation"].get(year, []), *paths]
-        self._check_and_publish(manifest, tables.observation)
+        manifest = {"buckets": before["buckets"]}
+        for part in ("tables", "observation"):
+            manifest[part] = {
+                name: [*before[part].get(name, []), *added[part].get(name, [])]
+                for name in sorted({*before[part], *added[part]})
+            }
+        self._check_and_publish(manifest, incoming.observation)
 
     def _upsert_dimensions(self, incoming: Tables, manifest: dict) -> dict:
         merged = {
@@ -194,20 +234,16 @@ class Store:
         written = {name: [path] for name, path in self._write_dimensions(merged).items()}
         return {**manifest, "tables": written}
 
-    def _upsert_years(self, incoming: DataFrame, manifest: dict) -> dict:
-        """Rewrite the years of a written table of unique observations.
-
-        Rows already in the store are filtered and copied where they lie, only the incoming ones
-        are ordered.
-        """
-        years = _years(incoming)
-        if not years:
+    def _upsert_buckets(self, incoming: DataFrame, manifest: dict) -> dict:
+        """Rewrite the years and buckets of a written table of unique observations."""
+        buckets = manifest["buckets"]
+        touched = incoming.select("year", bucket_of(buckets)).distinct().collect()
+        places = {(str(r["year"]), r["bucket"]) for r in touched}
+        if not places:
             return manifest
-        keys = KEYS["observation"]
-        existing = self._read_observations(manifest, years)
-        merged = upsert(existing, ordered_observations(incoming), keys)
-        written = self._write_observations(merged)
-        return {**manifest, "observation": {**manifest["observation"], **written}}
+        existing = self._read_observations(manifest, places)
+        checked = ordered_observations(incoming, buckets).drop("bucket").select(existing.columns)
+        return self._rewrite(manifest, places, upsert(existing, checked, KEYS["observation"]))
 
     def _check_and_publish(self, manifest: dict, observation: DataFrame) -> None:
         """Publish unless a reference is broken. Only the given observations are looked at: no
@@ -223,17 +259,65 @@ class Store:
     def upsert_observations(self, incoming: DataFrame, order: list[str] | None = None) -> None:
         """Insert or replace observations; of repeated keys the last in ``order`` counts."""
         incoming = _storable(incoming, order)
-        self._check_and_publish(self._upsert_years(incoming, self._manifest()), incoming)
+        self._check_and_publish(self._upsert_buckets(incoming, self._manifest()), incoming)
 
     def merge(self, incoming: Tables) -> None:
         """Upsert everything in one step, visible at once."""
         observation = _storable(incoming.observation, None)
         manifest = self._upsert_dimensions(incoming, self._manifest())
-        self._check_and_publish(self._upsert_years(observation, manifest), observation)
+        self._check_and_publish(self._upsert_buckets(observation, manifest), observation)
+
+    def delete(self, series: DataFrame) -> None:
+        """Delete the given series and, with them, their observations, visible at once."""
+        manifest = self._manifest()
+        ids = pin(series.select("series_id").distinct(), "deleted")
+        hit = {r["bucket"] for r in ids.select(bucket_of(manifest["buckets"])).distinct().collect()}
+        places = {(year, bucket) for year, bucket in _places(manifest) if bucket in hit}
+        if not hit:
+            return
+        kept = delete_series(self._tables(manifest, self._read_observations(manifest, places)), ids)
+        path = self._write_table("series", kept.series)
+        changed = {**manifest, "tables": {**manifest["tables"], "series": [path]}}
+        self._publish(self._rewrite(changed, places, kept.observation))
+
+    def compact(self) -> None:
+        """One directory for every table and bucket that appends have spread over several."""
+        manifest = self._manifest()
+        tables = {name: [self._write_table(name, self._read_table(name, manifest))] if len(paths) > 1 else paths
+                  for name, paths in manifest["tables"].items()}
+        places = set()
+        for year, paths in manifest["observation"].items():
+            found = [_bucket(p) for p in paths]
+            places |= {(year, b) for b in found if found.count(b) > 1}
+        changed = {**manifest, "tables": tables}
+        if places:
+            changed = self._rewrite(changed, places, self._read_observations(manifest, places))
+        if changed != manifest:
+            self._publish(changed)
+
+    def vacuum(self) -> None:
+        """Remove the directories of the store that the present state does not name.
+
+        Readers that took an earlier state lose their files, and so would a change that is being
+        written: call it when neither is there.
+        """
+        manifest = self._manifest()
+        kept = {p for part in ("tables", "observation") for paths in manifest[part].values() for p in paths}
+        for name in SCHEMAS:
+            for batch in self._folders(f"{self.root}/{name}", ""):
+                parts = [p for year in self._folders(batch, "year=") for p in self._folders(year, "bucket=")]
+                if batch in kept or kept.issuperset(parts) and parts:
+                    continue
+                for path in [p for p in parts if p not in kept] if kept.intersection(parts) else [batch]:
+                    self._fs.delete(self._path(path), True)
+
+
+def _bucket(path: str) -> int:
+    return int(path.rpartition("bucket=")[2])
 
 
-def _years(observations: DataFrame) -> list[str]:
-    return [str(r["year"]) for r in observations.select("year").distinct().collect()]
+def _places(manifest: dict) -> set[tuple[str, int]]:
+    return {(year, _bucket(p)) for year, paths in manifest["observation"].items() for p in paths}
 
 
 def _storable(observations: DataFrame, order: list[str] | None) -> DataFrame:

@@ -1,6 +1,5 @@
 """Flat files, snapshots, store maintenance and the landing refresh."""
 
-import json
 import pathlib
 from dataclasses import replace
 
@@ -163,6 +162,72 @@ def test_upsert_rewrites_only_touched_years(spark, tables, path):
     assert store._manifest()["observation"] == after
 
 
+def test_upsert_leaves_other_buckets_alone(spark, tables, path):
+    ids = [f"S{i:03d}" for i in range(40)]
+    many = make_tables(spark, [series_row(i, "AA0") for i in ids], [("AA0", "Item", 0, True, 1)],
+                       [(i, 2020, "M01", "1", None) for i in ids])
+    store = Store(spark, f"{path}/store", buckets=4)
+    store.load(many)
+    before = store._manifest()["observation"]["2020"]
+    assert len(before) == 4
+    store.upsert_observations(frame(spark, "observation", [("S007", 2020, "M01", "9", None)]))
+    after = Store(spark, f"{path}/store")._manifest()  # the number of buckets stays with the store
+    assert after["buckets"] == 4 and len(set(before) & set(after["observation"]["2020"])) == 3
+    found = values(store.read().observation)
+    assert len(found) == 40 and found["S007", 2020, "M01"] == (9.0, ())
+
+
+def test_load_reads_its_source_once(spark, tables, path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    for truncate, rows in ((True, tables.observation), (False, frame(
+            spark, "observation", [("S000", 2022, "M01", "7", None)]))):
+        before, n = seen.value, rows.count()
+        # Ordering by range samples its input, so the rows are put behind a shuffle.
+        source = rows.mapInArrow(counted, rows.schema).repartition(2)
+        none = {n: t.filter(F.lit(False)) for n, t in tables.items()}
+        load = replace(tables if truncate else replace(tables, **none), observation=source)
+        Store(spark, f"{path}/store").load(load, truncate=truncate)
+        assert seen.value - before == n
+
+
+def test_delete_cascades_and_compact_and_vacuum_keep_the_rows(spark, path):
+    ids = [f"S{i:03d}" for i in range(12)]
+    full = make_tables(spark, [series_row(i, "AA0") for i in ids], [("AA0", "Item", 0, True, 1)],
+                       [(i, y, "M01", "1", None) for i in ids for y in (2020, 2021)])
+    store = Store(spark, f"{path}/store", buckets=2)
+    store.load(full)
+    none = {n: t.filter(F.lit(False)) for n, t in full.items()}
+    store.load(replace(full, **{**none, "observation": frame(
+        spark, "observation", [(i, 2021, "M02", "2", None) for i in ids])}), truncate=False)
+    assert len(store._manifest()["observation"]["2021"]) == 4
+    wanted = values(store.read().observation)
+    store.compact()
+    listed = store._manifest()
+    assert all(len(p) == 2 for p in listed["observation"].values())
+    assert all(len(p) == 1 for p in listed["tables"].values())
+    assert values(store.read().observation) == wanted and len(wanted) == 36
+    store.compact()
+    assert store._manifest() == listed
+    gone = store.read().series.filter("series_id < 'S006'")
+    store.delete(gone)
+    store.vacuum()
+    left = store.read()
+    assert {r["series_id"] for r in left.series.collect()} == set(ids[6:])
+    assert values(left.observation) == {k: v for k, v in wanted.items() if k[0] >= "S006"}
+    folders = {str(p) for p in pathlib.Path(f"{path}/store/observation").glob("batch=*/year=*/bucket=*")}
+    assert folders == {p for paths in store._manifest()["observation"].values() for p in paths}
+    store.delete(left.series.filter("series_id = 'none'"))
+    assert values(store.read().observation) == values(left.observation)
+    store.delete(left.series)
+    assert store.read().observation.count() == 0 and store.read().series.count() == 0
+
+
 def test_sync_and_merge(spark, tables, path):
     store = Store(spark, f"{path}/store")
     store.load(tables)
@@ -185,27 +250,6 @@ def test_snapshot_round_trip(spark, tables, path):
         assert sorted(map(str, back.get(name).collect())) == sorted(map(str, table.collect()))
 
 
-def test_snapshot_document(spark, tmp_path):
-    document = {
-        "areas": [{"code": "0000", "name": "All"}],
-        "items": [{"code": "AA", "name": "x", "display_level": 1, "selectable": True,
-                   "sort_sequence": 3}],
-        "periods": [{"code": "M01", "abbr": "JAN", "name": "January"}],
-        "footnotes": [{"code": "A", "text": "t"}],
-        "series": [{"series_id": "S", "series_title": "", "area_code": "0000", "item_code": "AA",
-                    "begin_year": 1990}],
-        "observations": [
-            {"series_id": "S", "year": 2000, "period": "M01", "value": "1.50", "footnotes": ["A"]},
-            {"series_id": "S", "year": 2000, "period": "M02", "value": "NaN", "footnotes": []},
-        ],
-    }
-    (tmp_path / "d.json").write_text(json.dumps(document, indent=2))
-    tables = snapshot.read_snapshot_document(spark, f"{tmp_path}/d.json")
-    assert tuple(tables.item.first()) == ("AA", "x", 1, True, 3)
-    assert values(tables.observation) == {
-        ("S", 2000, "M01"): (1.5, ("A",)), ("S", 2000, "M02"): (None, ())}
-
-
 def test_duplicate_policies(spark):
     rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("k", 3, None), ("m", 1, "c")],
                                  "key string, n int, v string")
