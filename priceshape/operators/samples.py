@@ -12,16 +12,17 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceshape.scratch import pin
 
 X, W, ORDER, ALL = "_x", "_w", "_order", "_all"
 
-# With more groups than this the facts may be too large to broadcast; groups of more than HOT_ROWS
-# rows, of which there are at most HOT_GROUPS, are then joined apart from the others.
-MANY_GROUPS = 20_000
+# Where a table of per-group facts is too large to broadcast, groups of more than HOT_ROWS rows, of
+# which there are at most HOT_GROUPS, are joined apart from the others. A row of facts takes FACT_BYTES
+# besides its keys.
+FACT_BYTES = 200
 HOT_ROWS = 1_000_000
 HOT_GROUPS = 10_000
 
@@ -45,9 +46,10 @@ class Sample:
     def attach(self, rows: DataFrame, table: DataFrame, extra: str = "true") -> DataFrame:
         """Rows of the sample with the columns of a per-group table.
 
-        A table of few groups is broadcast. One of many groups meets the rows in a shuffle by group,
-        in which a hot group would be a single task; so the hot groups, few by definition, are taken
-        out of it and broadcast.
+        A table below the broadcast threshold of the session is broadcast. A larger one meets the rows
+        in a shuffle by group, in which a hot group would be a single task; so the hot groups, few by
+        definition, are taken out of it and broadcast. Where broadcasting is switched off, adaptive
+        execution splits what remains of a hot group.
         """
         if self.hot is None:
             return join_facts(rows, table, self.keys, extra)
@@ -99,6 +101,14 @@ def join_facts(
     return rows.join(renamed, F.expr(condition), how).drop(*[f"_f_{key}" for key in keys])
 
 
+def broadcast_threshold(spark: SparkSession) -> int:
+    """Bytes up to which the session broadcasts a join side; -1 where it broadcasts none."""
+    text = spark.conf.get("spark.sql.autoBroadcastJoinThreshold").strip().lower()
+    number = text.rstrip("bkmgtpi")
+    power = "bkmgtp".index((text[len(number):] or "b")[0])
+    return int(number) * 1024**power
+
+
 def make_sample(
     df: DataFrame,
     group_cols: list[str],
@@ -156,16 +166,44 @@ def make_sample(
             ELSE sw END"""
         facts = facts.withColumn("sw", F.expr(checked))
     facts = pin(facts, "facts")
-    sizes = facts.selectExpr("count(1)", "coalesce(sum(n), 0)", "coalesce(max(n), 0)").first()
+    width = " + ".join(f"coalesce(octet_length(cast({key} AS string)), 0)" for key in keys)
+    *sizes, key_bytes = facts.selectExpr(
+        "count(1)", "coalesce(sum(n), 0)", "coalesce(max(n), 0)", f"coalesce(sum({width}), 0)"
+    ).first()
+    groups, rows_in_all, _ = sizes
+    bytes_in_all, most = key_bytes + FACT_BYTES * groups, broadcast_threshold(df.sparkSession)
     hot = None
-    if sizes[0] > MANY_GROUPS:
-        limit = max(HOT_ROWS, sizes[1] // HOT_GROUPS)
+    if bytes_in_all > most:
+        fitting = most // 2 * groups // bytes_in_all if most > 0 else HOT_GROUPS
+        limit = max(HOT_ROWS, rows_in_all // max(1, min(HOT_GROUPS, fitting)))
         hot = pin(facts.filter(F.col("n") > limit).select(*keys), "hot")
     return Sample(
         rows, facts, keys, list(group_cols), weight_col is not None, grouped, *sizes, hot
     )
 
 
+@named
+def value_order(sample: Sample) -> DataFrame:
+    """Every row with its place in the value order of its group, ties by the order column (else by
+    weight): ``_x``, ``_w``, the order column, ``rank`` (from 1) and ``cum`` (running weight).
+
+    The rows are cut into ranges of values, so a group of any size is ordered by many tasks; what lies
+    before a range comes from a table of one row per group and range.
+    """
+    keys, own = sample.keys, [c for c in (ORDER,) if c in sample.rows.columns]
+    order = [X, *(own or [W])]
+    placed = pin(sample.rows.repartitionByRange(*keys, *order).withColumn(
+        "_part", F.spark_partition_id()), "ranges")
+    listed = ", ".join(keys)
+    earlier = f"OVER (PARTITION BY {listed} ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    before = placed.groupBy(*keys, "_part").agg(*expressions({"n": "count(1)", "w": "sum(_w)"})).selectExpr(
+        *keys, "_part AS _p", f"coalesce(sum(n) {earlier}, 0) AS _rows", f"coalesce(sum(w) {earlier}, 0) AS _weight")
+    inside = f"""OVER (PARTITION BY {listed}, _part ORDER BY {", ".join(order)}
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    return join_facts(placed, before, keys, "_part = _p").selectExpr(
+        *keys, X, W, *own, f"_rows + row_number() {inside} AS rank", f"_weight + sum(_w) {inside} AS cum")
+
+
 def heaviest_value(sample: Sample, groups: DataFrame) -> DataFrame:
     """Value of the first row (by order column, else by value) of greatest weight, per given group.
 

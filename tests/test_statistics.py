@@ -10,7 +10,7 @@ from priceshape.operators import samples as sample_module
 from priceshape.operators.kde import kde_curve, kde_mode
 from priceshape.operators.moments import moments
 from priceshape.operators.quantiles import linear_quantiles, quantiles
-from priceshape.operators.samples import make_sample
+from priceshape.operators.samples import make_sample, value_order
 from priceshape.operators.shape import axis_limits, histogram
 from priceshape.operators.summary import STATISTICS, describe, stat_summary, summarize
 from priceshape.scratch import pin
@@ -58,11 +58,15 @@ def test_summary_matches_definitions(spark, task_rows):
 
 
 def test_hot_groups_among_many(spark, monkeypatch):
-    """With many groups the hot ones are joined apart; the results are the same."""
+    """Where the facts are too large to broadcast the hot groups are joined apart; the results are the
+    same."""
     groups = samples()
-    monkeypatch.setattr(sample_module, "MANY_GROUPS", 3)
+    monkeypatch.setattr(sample_module, "FACT_BYTES", 100_000_000)
     monkeypatch.setattr(sample_module, "HOT_ROWS", 300)
+    monkeypatch.setattr(sample_module, "broadcast_threshold", lambda _: 2 * 100_000_100 * (len(groups) - 1))
     rows = rows_of(spark, groups)
+    assert make_sample(rows, ["g"], "v", "w", "i").hot is None
+    monkeypatch.setattr(sample_module, "broadcast_threshold", lambda _: -1)
     sample = make_sample(rows, ["g"], "v", "w", "i")
     hot = {r["g"] for r in sample.finish(sample.hot).collect()}
     assert hot == {k for k, (x, _) in groups.items() if len(x) > 300}
@@ -76,6 +80,47 @@ def test_hot_groups_among_many(spark, monkeypatch):
     assert len(bins) == len(groups) and all(r["s"] == pytest.approx(1) for r in bins)
 
 
+def test_broadcast_threshold(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        for text, size in (("-1", -1), ("10485760b", 10 << 20), ("20MB", 20 << 20), ("3k", 3 << 10), ("17", 17)):
+            spark.conf.set(name, text)
+            assert sample_module.broadcast_threshold(spark) == size
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_hot_group_with_wide_keys_and_no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sample_module, "HOT_ROWS", 1000)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        rows = spark.range(9000).selectExpr(
+            "repeat(cast(if(id % 3 = 0, 0, id) AS string), 40) AS g", "cast(id AS double) AS v")
+        sample = make_sample(rows, ["g"], "v")
+        assert sample.hot.count() == 1
+        found = quantiles(sample, {"q50": 0.5}, task_rows=100)
+        assert found.count() == 6001
+        assert found.filter("g = repeat('0', 40)").first()["q50"] == 4497  # the 1500th of its 3000 values
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_value_order(spark):
+    rows = spark.range(3000).selectExpr("id % 2 AS g", "id % 7 AS v", "id % 3 AS w", "id AS o")
+    found = {(r["g"], r["_order"]): (r["rank"], r["cum"])
+             for r in value_order(make_sample(rows, ["g"], "v", "w", "o")).collect()}
+    for g in (0, 1):
+        cum = 0
+        for rank, i in enumerate(sorted(range(g, 3000, 2), key=lambda i: (i % 7, i)), 1):
+            cum += i % 3
+            assert found[g, i] == (rank, cum)
+    assert len(found) == 3000
+    assert value_order(make_sample(rows.limit(0), [], "v")).count() == 0
+
+
 def test_unit_weights_and_bandwidth_options(spark):
     x = samples()["normal"][0]
     rows = rows_of(spark, {"a": (x, np.ones(len(x)))})
