@@ -29,12 +29,17 @@ def read_csv_report(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     )
 
 
+#: Groups that a document may hold.
+MAX_GROUPS = 10_000
+
+
 def summary_document(
     groups: DataFrame, header: DataFrame, locks: dict[str, str] | None = None
 ) -> DataFrame:
     """One row with the JSON document of a run: its fields and the group summaries.
 
-    There is one entry per display level or code length, a number that does not grow with the data.
+    There is one entry per display level or code length, a number that does not grow with the data;
+    more than ``MAX_GROUPS`` are an error.
     """
     percents = [percent_text(name).alias(f"{name}_percent") for name in PERCENT_STATISTICS]
     example = "struct(e.series_id, e.item_code, e.item_name, e.series_title, e.yoy,"
@@ -48,12 +53,13 @@ def summary_document(
         ).alias("stats"),
         F.expr(f"transform(examples, e -> {example})").alias("examples"),
     )
-    listed = entries.agg(
+    listed = entries.limit(MAX_GROUPS + 1).agg(
         F.sort_array(F.collect_list(F.struct("_order", "label", "count", "stats", "examples")))
         .alias("g")
     ).select(
         F.lit(0).alias("_one"),
-        F.expr("transform(g, x -> struct(x.label, x.count, x.stats, x.examples))").alias("groups"),
+        F.expr(f"""if(size(g) > {MAX_GROUPS}, raise_error('more than {MAX_GROUPS} groups in a document'),
+            transform(g, x -> struct(x.label, x.count, x.stats, x.examples)))""").alias("groups"),
     )
     fields = header.select(
         F.lit(0).alias("_one"), F.current_timestamp().alias("generated_at"), "*"

@@ -85,6 +85,10 @@ def right_tail(spark, sf_dir):
     return rounded(views.right_tail(prices(spark, sf_dir), "2000-06"), ["yoy"])
 
 
+def percent_sql(column: str, name: str) -> str:
+    return f"printf('%.2f%%', {column} * 100) AS {name}_percent"
+
+
 def _panel_sql(where: str, key: str, group_by: str, selectable: str, keep: str) -> str:
     named = {
         "mode": "weighted_kde_mode", "mean": "weighted_mean", "median": "weighted_median",
@@ -92,6 +96,7 @@ def _panel_sql(where: str, key: str, group_by: str, selectable: str, keep: str)
         "kurtosis": "weighted_kurtosis", "effective_sample_size": "effective_sample_size",
     }
     columns = ", ".join(f"{r(e)} AS {n}" for n, e in named.items())
+    columns += ", " + percent_sql("weighted_kde_mode", "mode")
     return growth_sql(
         sample(f"growth WHERE {where}", f"{DATE} AS date, {key} AS group_label")
         + stat_tables("date, group_label")
@@ -107,18 +112,17 @@ PANEL_ROUNDED = ["mode", "mean", "median", "trimmed_mean", "std", "skewness", "k
     "selectable AND period <> 'M13'", "CAST(display_level AS VARCHAR)", "display-level", "true",
     "true"))
 def panel(spark, sf_dir):
-    found = reports.panel(prices(spark, sf_dir), START, END).drop("mode_percent")
-    return rounded(found, PANEL_ROUNDED)
+    return rounded(reports.panel(prices(spark, sf_dir), START, END), PANEL_ROUNDED)
 
 
 @check("g5_panel_code_length", _panel_sql(
-    "period <> 'M13' AND year >= 2000", "length(item_code) || ' chars'", "item-code-length",
+    "period <> 'M13'", "length(item_code) || ' chars'", "item-code-length",
     "false", "n >= 40"))
 def panel_code_length(spark, sf_dir):
     found = reports.panel(
-        prices(spark, sf_dir), "2000-01", END, group_by="item-code-length", selectable_only=False,
+        prices(spark, sf_dir), START, END, group_by="item-code-length", selectable_only=False,
         min_sample_size=40, skip_small_samples=True)
-    return rounded(found.drop("mode_percent"), PANEL_ROUNDED)
+    return rounded(found, PANEL_ROUNDED)
 
 
 TIME_COLUMNS = [c for c in STAT_COLUMNS if c != "weighted_kde_bandwidth"]
@@ -128,11 +132,11 @@ TIME_COLUMNS = [c for c in STAT_COLUMNS if c != "weighted_kde_bandwidth"]
     sample("growth WHERE selectable AND period <> 'M13'", f"{DATE} AS date, year, period")
     + stat_tables("date, year, period")
     + f""" SELECT date, year, period, true AS selectable_only, 'flatfiles' AS source,
-    n AS component_count, {stat_select(TIME_COLUMNS)} FROM stat"""))
+    n AS component_count, {stat_select(TIME_COLUMNS)}, {', '.join(percent_sql(c, c) for c in reports.PERCENT_STATISTICS)}
+    FROM stat"""))
 def metrics_timeseries(spark, sf_dir):
     found = reports.metrics_timeseries(prices(spark, sf_dir), START, END)
-    texts = [f"{c}_percent" for c in reports.PERCENT_STATISTICS]
-    return rounded(found.drop(*texts), TIME_COLUMNS)
+    return rounded(found, TIME_COLUMNS)
 
 
 _ANALYSIS = growth_sql(
@@ -165,14 +169,13 @@ def analyze_header(spark, sf_dir):
 
 
 @check("p5_panel_warnings", growth_sql(""", cell AS (SELECT year || '-' || substr(period, 2) AS date,
-      display_level, count(*) AS n FROM growth WHERE selectable AND period <> 'M13' AND year = 1999
-      GROUP BY ALL),
+      display_level, count(*) AS n FROM growth WHERE selectable AND period <> 'M13' GROUP BY ALL),
     month AS (SELECT date, sum(n) AS n FROM cell GROUP BY ALL)
     SELECT 'period' AS scope, date AS label, CAST(n AS BIGINT) AS sample_size,
       25 AS min_sample_size FROM month WHERE n < 25
     UNION ALL SELECT 'group', date || ':' || display_level, n, 25 FROM cell WHERE n < 25"""))
 def panel_warnings(spark, sf_dir):
-    return reports.panel_warnings(prices(spark, sf_dir), "1999-01", "1999-12", 25)
+    return reports.panel_warnings(prices(spark, sf_dir), START, END, 25)
 
 
 @check("g7_analyze_curves", _ANALYSIS + f""" SELECT label, CAST(i AS INTEGER) AS i,
@@ -213,7 +216,7 @@ def timeseries_frame(spark, sf_dir):
 
 
 @check("g14_metric_frame", growth_sql(
-    sample("growth WHERE selectable AND period <> 'M13' AND year = 2000",
+    sample("growth WHERE selectable AND period <> 'M13'",
            f"{DATE} || '-01' AS date, CAST(display_level AS VARCHAR) AS group_label")
     + stat_tables("date, group_label")
     + f""" SELECT date, group_label, {r('weighted_kde_mode')} AS mode, {r('weighted_mean')} AS mean,
@@ -222,6 +225,6 @@ def timeseries_frame(spark, sf_dir):
     CAST(rtrim(printf('%.2f%%', weighted_kde_mode * 100), '%') AS DOUBLE) AS mode_percent
     FROM stat"""))
 def metric_frame(spark, sf_dir):
-    found = reports.metric_frame(reports.panel(prices(spark, sf_dir), "2000-01", "2000-12"))
+    found = reports.metric_frame(reports.panel(prices(spark, sf_dir), START, END))
     return rounded(found.withColumn("date", F.col("date").cast("string")),
                    ["mode", "mean", "median", "trimmed_mean", "band_low", "band_high"])

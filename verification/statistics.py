@@ -9,7 +9,7 @@ from priceshape.operators import growth
 from priceshape.operators.kde import kde_curve, kde_mode
 from priceshape.operators.moments import moments, normalized_weights
 from priceshape.operators.quantiles import cut_statistics, linear_quantiles, quantiles
-from priceshape.operators.samples import make_sample
+from priceshape.operators.samples import make_sample, value_order
 from priceshape.operators.shape import axis_limits, histogram
 from priceshape.operators.summary import describe, stat_summary
 from priceshape.plans import reports
@@ -260,7 +260,16 @@ def linear(spark, sf_dir):
     return rounded(found, ["p10", "p50"], "1e4")
 
 
-@check("w1_running_weight", """WITH c AS (SELECT event_type, value, sum(user_id % 5) OVER (
+@check("w1_running_weight", """SELECT event_type, event_id, row_number() OVER v AS rank,
+    CAST(sum(user_id % 5) OVER v AS DOUBLE) AS cum FROM events WINDOW v AS (
+      PARTITION BY event_type ORDER BY value, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_weights(spark, sf_dir):
+    return value_order(weighted_events(spark, sf_dir)).selectExpr(
+        "event_type", "_order AS event_id", "rank", "cum")
+
+
+@check("w1_weight_at_cut", """WITH c AS (SELECT event_type, value, sum(user_id % 5) OVER (
       PARTITION BY event_type ORDER BY value, event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c,
       sum(user_id % 5) OVER (PARTITION BY event_type) AS sw FROM events)
@@ -277,15 +286,11 @@ def running_weight(spark, sf_dir):
     )
 
 
-@check("s4_value_order", """SELECT event_type, value, CAST(w AS DOUBLE) AS weight FROM (
-    SELECT event_type, value, user_id % 5 AS w, row_number() OVER (PARTITION BY event_type
-      ORDER BY value, event_id) AS n FROM events) WHERE n <= 20""")
-def value_order(spark, sf_dir):
-    from priceshape.operators.filters import top_k
-
-    sample = weighted_events(spark, sf_dir)
-    first = top_k(sample.finish(sample.rows), ["event_type"], [F.col("_x"), F.col("_order")], 20)
-    return first.selectExpr("event_type", "_x AS value", "_w AS weight")
+@check("s4_value_order", """SELECT event_type, value, CAST(user_id % 5 AS DOUBLE) AS weight,
+    row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS rank FROM events""")
+def values_in_order(spark, sf_dir):
+    return value_order(weighted_events(spark, sf_dir)).selectExpr(
+        "event_type", "_x AS value", "_w AS weight", "rank")
 
 
 # Grouping, counting, latest periods
