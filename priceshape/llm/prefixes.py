@@ -1,0 +1,171 @@
+"""Prefix filter: candidates for a Jaccard similarity of sets, without losing a pair.
+
+With the elements of all sets in one order, two sets of similarity s or more have their first common
+element among the first n - ceil(s n) + 1 of either (n: size of the set). So each set is dealt to
+the buckets of these elements, and only sets that share a bucket are candidates. Of two sets whose
+first common element stands at i and j, at most min(n - i, m - j) elements are common; pairs for
+which that is too few are left out.
+
+Any order is right; with rare elements first the buckets are small. The order comes from the counts in
+a sample of the texts, ties and unseen elements by value.
+
+A bucket of more than ``PAIRWISE`` sets is not written out as pairs but as a star, and what hangs
+together is compared by blocks; the elements that are frequent in the sample have their buckets
+salted, and the first sets of the parts are joined afterwards.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from priceshape.llm.common import slices
+from priceshape.scratch import pin
+
+#: Texts of the sample, and elements of it that the order knows.
+SAMPLE, KNOWN = 4096, 1 << 17
+#: Sets of a bucket that are written out as pairs.
+PAIRWISE = 32
+#: Count in the sample from which an element's bucket is salted, and parts of such a bucket.
+SALTED, PARTS = 16, 16
+
+SetOf = Callable[[str], np.ndarray]
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _counted(set_of: SetOf):
+    def counted(batches):
+        for batch in slices(batches):
+            found = np.concatenate([np.empty(0, np.uint64), *map(set_of, batch.column("text").to_pylist())])
+            token, count = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "count"])
+
+    return counted
+
+
+def _prefixes(set_of: SetOf, similarity: float, known: np.ndarray, counts: np.ndarray):
+    """Rows to their prefix: ``token``, ``part`` (-1: not salted), ``h``, ``n`` and place. A text that
+    a task has already seen gives no rows."""
+
+    def made(batches):
+        seen = set()
+        for batch in slices(batches):
+            cols = [[], [], [], [], []]
+            for h1, h2, text in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "text")), strict=True):
+                if (h1, h2) in seen:
+                    continue
+                seen.add((h1, h2))
+                own = set_of(text)
+                length = prefix_length(len(own), similarity)
+                count = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    count = np.where(known[at] == own, counts[at], 0)
+                first = np.argsort(count, kind="stable")[:length]
+                cols[0].append(own[first].view(np.int64))
+                cols[1].append(np.where(count[first] >= SALTED, h1 % PARTS, -1))
+                cols[2].append(np.full(length, h1, np.int64))
+                cols[3].append(np.full(length, len(own)))
+                cols[4].append(np.arange(length))
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(t)) for c, t in zip(
+                        cols, (np.int64, np.int32, np.int64, np.int32, np.int32), strict=True)],
+                    ["token", "part", "h", "n", "place"])
+
+    return made
+
+
+def _paired(h: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket that can be similar if its element is their first common one."""
+    x, y = np.triu_indices(len(h), 1)
+    common = np.minimum(n[x] - place[x], n[y] - place[y])
+    can = (common * (1 + similarity) >= similarity * (n[x] + n[y]) - 1e-6) & (h[x] != h[y])
+    return h[x[can]], h[y[can]]
+
+
+def _link(similarity: float):
+    """Sorted bucket rows to pairs (kind 0), star edges (kind 1), and first sets of salted parts with
+    their element (kind 2)."""
+
+    def linked(batches):
+        held: list | None = None  # the last bucket so far, while it is small
+        large: tuple | None = None  # token, part and first set of the bucket that is being handed on
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            out = [[], [], []]
+
+            def put(kind, a, b, out=out):
+                for o, x in zip(out, (np.full(len(a), kind, np.int32), a, b), strict=True):
+                    o.append(x)
+
+            ends = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+            starts = np.concatenate([[0], ends])
+            ends = np.concatenate([ends, [len(cols[0])]])
+            wanted = (ends - starts > 1) | (cols[1][starts] >= 0)
+            wanted[0] = wanted[-1] = True
+            for i in np.flatnonzero(wanted):
+                rows = [c[starts[i]:ends[i]] for c in cols]
+                now = (rows[0][0], rows[1][0])
+                if large is not None and large[:2] != now:
+                    large = None
+                if held is not None:
+                    if (held[0][0], held[1][0]) == now:
+                        rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+                    else:
+                        put(0, *_paired(*held[2:], similarity))
+                    held = None
+                if large is None and now[1] < 0 and len(rows[0]) <= PAIRWISE:
+                    if i == len(starts) - 1:
+                        held = rows
+                    else:
+                        put(0, *_paired(*rows[2:], similarity))
+                    continue
+                if large is None:
+                    large = (*now, rows[2][0])
+                    if now[1] >= 0:
+                        put(2, rows[0][:1], rows[2][:1])
+                put(1, rows[2], np.full(len(rows[2]), large[2]))
+            if out[0]:
+                yield _batch(*map(np.concatenate, out))
+        if held is not None:
+            a, b = _paired(*held[2:], similarity)
+            yield _batch(np.zeros(len(a), np.int32), a, b)
+
+    def _batch(kind, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+    return linked
+
+
+def prefix_candidates(texts: DataFrame, count: int, set_of: SetOf, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Single candidate pairs, and edges whose components hold all other candidates (``a``, ``b``: ``h1``).
+
+    ``texts``: ``h1``, ``h2`` (hashes of the text) and ``text``, about ``count`` different ones;
+    ``set_of`` gives the sorted set of a text. Pairs of equal ``h1`` are left out.
+    """
+    sample = texts.where(F.pmod("h1", F.lit(max(1, count // SAMPLE))) == 0)
+    counted = sample.mapInArrow(_counted(set_of), "token long, count long").groupBy("token").agg(
+        F.sum("count").alias("count")).where("count > 1").orderBy(F.desc("count"), "token").limit(KNOWN).toPandas()
+    known = counted["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    dealt = texts.mapInArrow(
+        _prefixes(set_of, similarity, known[order], counted["count"].to_numpy(np.int64)[order]),
+        "token long, part int, h long, n int, place int")
+    made = pin(dealt.repartition("token", "part").sortWithinPartitions("token", "part", "h").mapInArrow(
+        _link(similarity), "kind int, a long, b long"), "prefixes")
+    firsts = made.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("h"))
+    least = firsts.groupBy("token").agg(F.min("h").alias("least"))
+    joined = firsts.join(least, "token").select(F.col("h").alias("a"), F.col("least").alias("b"))
+    pairs = made.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs, made.where("kind = 1").select("a", "b").union(joined).where("a <> b").distinct()

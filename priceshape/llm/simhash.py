@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from priceshape.llm.common import col, query, slices, table
 from priceshape.llm.components import components
 from priceshape.llm.covering import close_pairs
+from priceshape.llm.prefixes import prefix_candidates
 from priceshape.scratch import pin
 
 SEED = 42
@@ -113,20 +116,28 @@ def _sketched(batches):
             ["h1", "h2", "fps"])
 
 
+def _shingle_set(text: str, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text), shingle).astype(np.uint64))
+
+
 def _with_shingles(shingle: int):
     def made(batches):
         for batch in slices(batches):
-            sets = [np.unique(shingle_hashes(words_of(t), shingle).astype(np.uint64)).tobytes()
+            sets = [_shingle_set(t, shingle).tobytes()
                     for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("cand"), batch.column("blocks"), batch.column("fps"),
-                 pa.array(sets, pa.binary())], ["id", "cand", "blocks", "fps", "sets"])
+                 batch.column("root"), pa.array(sets, pa.binary())],
+                ["id", "cand", "blocks", "fps", "root", "sets"])
 
     return made
 
 
-def _verify(similarity: float):
-    """Rows of two blocks of a candidate component to the forest of the truly similar pairs."""
+def _verify(similarity: float, radius: int | None):
+    """Rows of two blocks of a candidate component to the forest of the truly similar pairs.
+
+    Rows of equal ``root`` are known to belong together. Without a ``radius`` all others are compared.
+    """
 
     def verified(frame):
         import pandas as pd
@@ -136,14 +147,17 @@ def _verify(similarity: float):
         fps = np.array(frame["fps"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(ids), -1)
         sets = [np.frombuffer(s, np.uint64) for s in frame["sets"]]
         sizes = np.array([len(s) for s in sets])
-        close = np.zeros((len(ids), len(ids)), bool)
-        for k in range(fps.shape[1]):
-            close |= np.bitwise_count(fps[:, k][:, None] ^ fps[:, k][None, :]) <= RADIUS
+        known = frame["root"].to_numpy()
+        close = np.full((len(ids), len(ids)), radius is None)
+        for k in range(fps.shape[1] if radius is not None else 0):
+            close |= np.bitwise_count(fps[:, k][:, None] ^ fps[:, k][None, :]) <= radius
+        close &= known[:, None] != known[None, :]
         # Sets whose sizes differ too much cannot be similar enough.
         close &= np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :])
         if len(set(side)) > 1:
             close &= side[:, None] != side[None, :]
-        root = list(range(len(ids)))
+        first: dict[int, int] = {}
+        root = [first.setdefault(r, i) for i, r in enumerate(known.tolist())]
 
         def find(i):
             while root[i] != i:
@@ -166,6 +180,64 @@ def _verify(similarity: float):
     return verified
 
 
+def _texts(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h1``, ``h2`` and ``text`` of the wanted classes."""
+    return hashed.select("h1", "h2", "text").join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi") \
+        .groupBy("h1", "h2").agg(F.min("text").alias("text"))
+
+
+def _similar_in_components(hashed: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int,
+                           similarity: float, radius: int | None) -> DataFrame:
+    """Edges that join the similar pairs of classes inside the components of the candidate edges.
+
+    Classes of equal ``root`` are known to belong together. With a ``radius`` only pairs of close
+    fingerprints are compared.
+    """
+    grouped = components(candidates)
+    roots = grouped.select("root").distinct()
+    members = pin(grouped.select(F.col("node").alias("id"), F.col("root").alias("cand")).union(
+        roots.select("root", F.col("root"))), "members")
+    sizes = members.groupBy("cand").agg(F.count("*").alias("n"))
+    wanted = pin(classes.join(members, "id").join(sizes, "cand").select(
+        "id", "cand", "h1", "h2", "fps", "root", F.expr(f"CAST((n + {BLOCK - 1}) div {BLOCK} AS INT)").alias("blocks")), "wanted")
+    sets = wanted.join(_texts(hashed, wanted), ["h1", "h2"]).select(
+        "id", "cand", "blocks", "fps", "root", "text").mapInArrow(
+        _with_shingles(shingle), "id long, cand long, blocks int, fps array<long>, root long, sets binary")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("cand", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                         F.col("own").alias("side"), "id", "fps", "root", "sets")
+    return pin(pairs.groupBy("cand", "i", "j").applyInPandas(_verify(similarity, radius), "a long, b long"), "similar")
+
+
+def _shingle_arrays(shingle: int):
+    def made(batches):
+        for batch in slices(batches):
+            sets = [_shingle_set(t, shingle).view(np.int64)
+                    for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "sets"])
+
+    return made
+
+
+def _similar_pairs(hashed: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
+                   similarity: float) -> DataFrame:
+    """The similar ones of single pairs (``a``, ``b``: ``h1`` of two classes) of unequal ``root``, as edges."""
+    named = classes.select("h1", "id", "root")
+    ends = pairs.distinct().join(named.toDF("a", "ia", "ra"), "a").join(named.toDF("b", "ib", "rb"), "b")
+    open_ = pin(ends.where("ra <> rb").select("ia", "ib").distinct(), "pairs")
+    wanted = classes.join(open_.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), "id", "left_semi")
+    wanted = pin(wanted.select("id", "h1", "h2"), "wanted")
+    sets = pin(wanted.join(_texts(hashed, wanted), ["h1", "h2"]).select("id", "text").mapInArrow(
+        _shingle_arrays(shingle), "id long, sets array<long>"), "sets")
+    both = open_.join(sets.toDF("ia", "sa"), "ia").join(sets.toDF("ib", "sb"), "ib").select(
+        "ia", "ib", F.size("sa").alias("na"), F.size("sb").alias("nb"),
+        F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return pin(both.where(F.col("common") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("common")))
+               .select(F.col("ia").alias("a"), F.col("ib").alias("b")), "similar")
+
+
 def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
                            key: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of equal texts and the groups they form: ``h1``, ``h2`` (hashes of the text), ``least``
@@ -173,8 +245,10 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
 
     Two classes are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
     ``similarity`` or more; groups are the connected components. Covering tables over
-    ``SKETCHES`` SimHashes of the word sets find the candidates (every pair within ``RADIUS`` bits in
-    one of them), and each candidate is checked on the whole shingle sets. Empty texts are one class.
+    ``SKETCHES`` SimHashes of the word sets (every pair within ``RADIUS`` bits in one of them) join
+    most of a group cheaply. A prefix filter over the shingles, which loses no pair (``prefixes``),
+    gives the candidates between the groups so far. Every candidate is checked on the whole shingle
+    sets. Empty texts are one class.
     """
     hashed = docs.select(
         F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("h1"),
@@ -186,27 +260,24 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float
     # The number is given once, when the table is written.
     classes = pin(folded.join(sketch, ["h1", "h2"]).withColumn("id", F.monotonically_increasing_id()),
                   "classes")
-    candidates = close_pairs(classes.select("id", F.posexplode("fps").alias("t", "fp")).select(
+    close = close_pairs(classes.select("id", F.posexplode("fps").alias("t", "fp")).select(
         "t", "id", "fp"), RADIUS)
-    grouped = components(candidates)
-    roots = grouped.select("root").distinct()
-    members = pin(grouped.select(F.col("node").alias("id"), F.col("root").alias("cand")).union(
-        roots.select("root", F.col("root"))), "members")
-    sizes = members.groupBy("cand").agg(F.count("*").alias("n"))
-    wanted = pin(classes.join(members, "id").join(sizes, "cand").select(
-        "id", "cand", "h1", "h2", "fps", F.expr(f"CAST((n + {BLOCK - 1}) div {BLOCK} AS INT)").alias("blocks")), "wanted")
-    texts = hashed.select("h1", "h2", "text").join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi") \
-        .groupBy("h1", "h2").agg(F.min("text").alias("text"))
-    sets = wanted.join(texts, ["h1", "h2"]).select("id", "cand", "blocks", "fps", "text").mapInArrow(
-        _with_shingles(shingle), "id long, cand long, blocks int, fps array<long>, sets binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("cand", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         F.col("own").alias("side"), "id", "fps", "sets")
-    edges = pin(pairs.groupBy("cand", "i", "j").applyInPandas(_verify(similarity), "a long, b long"), "similar")
-    linked = components(edges)
-    return classes.join(linked, classes["id"] == linked["node"], "left").select(
-        "h1", "h2", "least", F.coalesce("root", "id").alias("root"))
+    edges = _similar_in_components(hashed, classes.withColumn("root", F.col("id")), close, shingle, similarity, RADIUS)
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        linked = components(edges)
+        return classes.join(linked, classes["id"] == linked["node"], "left").select(
+            "h1", "h2", "least", "fps", "id", F.coalesce("root", "id").alias("root"))
+
+    grouped = pin(rooted(edges), "grouped")
+    sets = functools.partial(_shingle_set, shingle=shingle)
+    pairs, frequent = prefix_candidates(hashed.select("h1", "h2", "text"), classes.count(), sets, similarity)
+    edges = edges.union(_similar_pairs(hashed, grouped, pairs, shingle, similarity))
+    if frequent.take(1):
+        ids = grouped.select("h1", "id")
+        named = frequent.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b").select("ia", "ib")
+        edges = edges.union(_similar_in_components(hashed, grouped, named, shingle, similarity, None))
+    return rooted(edges).select("h1", "h2", "least", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,

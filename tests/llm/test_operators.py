@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from priceshape.llm import (
-    boosting, charnet, chat, components, covering, mixing, multi_index, quality, secrets, sharding,
-    simhash, tokenizing, topk, tree_bpe, varbyte,
+    boosting, charnet, chat, components, covering, mixing, multi_index, prefixes, quality, secrets,
+    sharding, simhash, tokenizing, topk, tree_bpe, varbyte,
 )
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -202,6 +202,31 @@ def test_near_duplicates_by_brute_force(spark, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def cut_extended_and_short_texts():
+    rng, texts = random.Random(11), []
+    for k in range(40):
+        base = [f"{w}{rng.randrange(10_000)}" for w in words(100 + k, 80).split()]
+        texts += [" ".join(base), " ".join(base[:rng.randrange(62, 80)]),
+                  " ".join(base + [f"more{k}x{i}" for i in range(rng.randrange(1, 22))]),
+                  " ".join(["front"] * rng.randrange(1, 9) + base)]
+        short = [f"s{k}w{i}" for i in range(13)]
+        texts += [" ".join(short), " ".join(short[:-1] + ["other"]), " ".join(short[:4]), "  ".join(short[:4])]
+    # A long passage that many texts share, so that its bucket is compared by blocks.
+    passage = words(77, 60)
+    return texts + [passage + "".join(f" p{k}q{i}" for i in range(1 + k % 9)) for k in range(90)]
+
+
+@pytest.mark.parametrize("salted", [16, 10**9])
+def test_near_duplicates_lose_no_cut_extended_or_short_copy(spark, monkeypatch, salted):
+    monkeypatch.setattr(prefixes, "SALTED", salted)
+    texts = cut_extended_and_short_texts()
+    sets = [set(simhash.shingle_hashes(simhash.words_of(t), 5).tolist()) for t in texts]
+    roots = plain_groups(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect())
+    assert kept == sorted(i for i in range(len(texts)) if roots[i] == i)
+
+
 def test_one_of_the_empty_texts_stays(docs):
     kept = simhash.drop_near_duplicates(docs)
     ids = [r.doc_id for r in kept.collect()]
