@@ -114,9 +114,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     from a source differ from its target by less than ``repeats`` + 1 blocks. An empty table gives
     no rows; other columns are left out.
     """
+    return _mix(docs, weights, share, repeats, shards, block_words, seed, text, source, key).select(
+        F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_size").alias("size"),
+        "source_size", "target", "taken", "shard_words")
+
+
+def _mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
+         repeats: int = 2, shards: int = 8, block_words: int = 64, seed: int = 4,
+         text: str = "text", source: str = "source", key: str = "doc_id",
+         carry: Sequence[str] = ()) -> DataFrame:
+    """What ``mix_sources`` gives, with the place of each row in its source's line (``_order`` and
+    ``_from``) and the columns ``carry`` of the row."""
     spark = docs.sparkSession
     slim = pin(docs.select(
-        col(key).alias("_key"), col(source).cast("string").alias("_source"),
+        *[col(c) for c in carry], col(key).alias("_key"), col(source).cast("string").alias("_source"),
         word_count(text).alias("_size"),
         F.xxhash64(F.lit(seed), col(key), F.xxhash64(col(text))).alias("_order")), "words")
     totals = slim.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n"))
@@ -148,7 +159,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     earlier = Window.partitionBy("_sid").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_sid", "_bucket",
                          F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_sid", "_bucket").orderBy("_order", "_key", "_size").rowsBetween(
+    inside = Window.partitionBy("_sid", "_bucket").orderBy("_order", "_key", "_size", *map(col, carry)).rowsBetween(
         Window.unboundedPreceding, -1)
     lined = known.join(starts, ["_sid", "_bucket"]).withColumn(
         "_from", F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
@@ -169,7 +180,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         aggregate(_pieces, 0L, (a, p) -> a + p.words * aggregate(sequence(0, {repeats - 1}), 0L,
           (b, t) -> b + IF(p.rank + t * _blocks < _upto[{shards - 1}], 1L, 0L)))""")
     return lined.withColumn("_pieces", pieces).select(
-        F.col("_key").alias(key), F.col("_source").alias("source"), F.col("_size").alias("size"),
+        *[col(c) for c in carry], "_key", "_source", "_size", "_order", "_from",
         "source_size", "target", taken.alias("taken"), per_shard.alias("shard_words"))
 
 
@@ -177,17 +188,23 @@ def mixed_documents(docs: DataFrame, seed: int = 4, key: str = "doc_id", **mix)
     """The rows of ``docs``, each as often as the mix takes it, with all their columns.
 
     Whole documents only: the part of a last copy is rounded up with the probability of that part,
-    by a seeded hash of the key. Documents without words are in no mix.
+    by a seeded hash of key, text and place in the source's line. Each row has its own count, whatever
+    other rows share its key. Documents without words are in no mix.
     """
-    chosen = mix_sources(docs, seed=seed, key=key, **mix)
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    # The number is given once, when the table is written.
+    numbered = pin(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    chosen = _mix(numbered, seed=seed, key=key, carry=[row], **mix)
     draw = F.expr("shiftrightunsigned(_draw, 11) / 9007199254740992D")
     copies = chosen.where("taken > 0").select(
-        F.col(key).alias("_doc"), "size", "taken", F.xxhash64(F.lit(seed + 1), key).alias("_draw"),
-    ).select("_doc", (F.expr("taken div size") + (draw < F.expr("(taken % size) / size")).cast("int"))
-             .cast("int").alias("_copies")).groupBy("_doc").agg(F.max("_copies").alias("_copies"))
-    joined = docs.join(copies, col(key).eqNullSafe(copies["_doc"])).where("_copies > 0")
+        row, "_size", "taken", F.xxhash64(F.lit(seed + 1), "_order", "_from").alias("_draw"),
+    ).select(row, (F.expr("taken div _size") + (draw < F.expr("(taken % _size) / _size")).cast("int"))
+             .cast("int").alias("_copies")).where("_copies > 0")
+    joined = numbered.join(copies.withColumnRenamed(row, "_taken_row"), col(row) == F.col("_taken_row"))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
-        *[docs[col_name(c)] for c in docs.columns])
+        *[numbered[col_name(c)] for c in docs.columns])
 
 
 def col_name(name: str) -> str:

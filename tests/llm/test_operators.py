@@ -1,5 +1,6 @@
 """Each corpus operator against a plain version, with NULLs, empty and long texts, ties and repeats."""
 
+import collections
 import functools
 import hashlib
 import random
@@ -100,6 +101,24 @@ def test_mix(docs, empty):
     assert mixed.columns == docs.columns and mixed.where("trim(text) = ''").count() == 0
 
 
+def test_mixed_rows_of_one_key_keep_their_own_count(spark):
+    # Row k has k words, so its length names it; a third shares one key, others have none.
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else 1000 + k, " ".join(f"w{k}" for _ in range(k)), f"s{k % 2}")
+            for k in range(1, 91)] + [(None, None, "s0"), (None, " ", "s1"), (7, "", "s1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r["size"]: r.taken for r in mixing.mix_sources(frame, block_words=8, share=0.5).collect() if r["size"]}
+    got = collections.Counter(len((r.text or "").split()) for r in
+                              mixing.mixed_documents(frame, block_words=8, share=0.5).collect())
+    assert got[0] == 0 and len(taken) == 90 and min(taken.values()) == 0
+    assert all(got[k] in (t // k, -(-t // k)) for k, t in taken.items())
+
+
+def test_mixed_copies_of_a_row_are_rounded_apart(spark):
+    frame = spark.createDataFrame([(7, "a b c d", "s")] * 400, "doc_id long, text string, source string")
+    rows = mixing.mixed_documents(frame, block_words=3, share=0.5).count()
+    assert abs(4 * rows - 800) <= 160
+
+
 def test_preferences(spark):
     turn = lambda *x: [dict(role=r, text=t) for r, t in x]
     u, a = ("user", "hi"), ("assistant", "yes")
