@@ -172,7 +172,7 @@ def _verify(similarity: float, radius: int | None):
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             union = sizes[i] + sizes[j] - common
-            if union and common >= similarity * union:
+            if common >= similarity * union:
                 root[max(a, b)] = min(a, b)
                 edges.append((ids[i], ids[j]))
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")

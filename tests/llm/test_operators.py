@@ -252,6 +252,15 @@ def test_one_of_the_empty_texts_stays(docs):
     assert kept.columns == docs.columns and ids.count(0) == 1 and 1 not in ids and 3 in ids and 4 not in ids
 
 
+def test_texts_without_words_are_one_group(spark):
+    frame = spark.createDataFrame([(1, ""), (2, " "), (3, None), (4, "\n\t"), (5, "a b"), (6, " \n ")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(frame).collect()) == [1, 5]
+
+
+def test_blank_copy_goes(docs):
+    assert 5 not in [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
+
+
 def test_secrets_base_and_network(docs, empty):
     found = {r.doc_id: r for r in secrets.find_secrets(secrets.scan(docs), None).select(
         "doc_id", "n_assign", "n_access", "n_hex", secrets.spans_text("findings").alias("spans")).collect()}
