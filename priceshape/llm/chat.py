@@ -57,12 +57,14 @@ def format_preferences(pairs: DataFrame, trained: str = "assistant") -> DataFram
     ``pairs`` has ``pair_id``, ``chosen`` and ``rejected`` (arrays of role and text). The longest
     common prefix of turns is rendered once as ``prompt`` (its turns in ``prompt_turns``); what
     follows on either side is a completion with the spans that count for the loss: text and closing
-    mark of the trained role's turns. NULL conversations count as empty. Conversations that are
+    mark of the trained role's turns. NULL conversations, roles and texts count as empty. Conversations that are
     equal, or of which one is a prefix of the other, give an empty completion without spans. Repeated
     pairs give repeated rows; other columns are left out. Work and memory are per pair.
     """
     def side(name: str) -> Column:
-        return F.coalesce(col(name), F.expr("CAST(array() AS ARRAY<STRUCT<role: STRING, text: STRING>>)"))
+        turns = F.coalesce(col(name), F.expr("CAST(array() AS ARRAY<STRUCT<role: STRING, text: STRING>>)"))
+        return F.transform(turns, lambda t: F.struct(
+            F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
     both = pairs.select("pair_id", side("chosen").alias("chosen"), side("rejected").alias("rejected"))
     shorter = F.least(F.size("chosen"), F.size("rejected"))

@@ -134,6 +134,21 @@ def test_preferences(spark):
     assert (got[4].prompt_turns, got[4].rejected) == (1, "")
 
 
+def test_preferences_with_null_fields(spark):
+    kind = "array<struct<role:string,text:string>>"
+    pairs = spark.createDataFrame(
+        [(1, [("user", "hi"), ("assistant", None)], [("user", "hi"), ("assistant", "no")]),
+         (2, [(None, "x"), ("assistant", "yes")], [(None, "x"), (None, None)]),
+         (3, [("user", None)], [("user", None)]), (4, [None], [("user", "a")])],
+        f"pair_id long, chosen {kind}, rejected {kind}")
+    got = {r.pair_id: r for r in chat.format_preferences(pairs).collect()}
+    line = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert (got[1].prompt_turns, got[1].chosen, got[1].rejected) == (1, line("assistant", ""), line("assistant", "no"))
+    assert (got[2].prompt, got[2].chosen, got[2].rejected) == (line("", "x"), line("assistant", "yes"), line("", ""))
+    assert (got[3].prompt_turns, got[3].prompt, got[3].chosen) == (1, line("user", ""), "")
+    assert (got[4].prompt_turns, got[4].chosen, got[4].rejected) == (0, line("", ""), line("user", "a"))
+
+
 def test_conversations_with_nulls(spark):
     turns = spark.createDataFrame([(1, 1, "b", None), (1, 0, None, "x"), (1, 1, "a", "y"), (None, 0, "u", "z")],
                                   "conv_id long, turn long, role string, text string")
