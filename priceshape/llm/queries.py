@@ -1,7 +1,7 @@
 """All queries of this subpackage."""
 
 from priceshape.llm import (  # noqa: F401
-    chat, mixing, multi_index, negatives, quality, repair, secrets, sharding, simhash, topk, tree_bpe, varbyte,
+    chat, language, mixing, multi_index, negatives, quality, repair, secrets, sharding, simhash, topk, tree_bpe, varbyte,
 )
 from priceshape.llm.common import ORACLES, QUERIES
 
