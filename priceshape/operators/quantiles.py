@@ -1,16 +1,14 @@
 """Exact weighted quantiles and trimmed means without sorting whole groups.
 
-The statistics need the running weight only around a few cut positions. A group is therefore cut
-into value-ordered cells that carry their weight sums. While a cell that holds a cut position has
-more rows than one task should sort, it is split again by an aggregation with map-side combine. Only
-the rows of the final cut cells are sorted, at most ``task_rows`` per cell unless they are copies of
-one value, which need no order at all. Nothing is approximated: each split narrows a cell, so the
-loop ends with small cells or single values.
-
-A split cuts at ``SPLIT`` equal widths and, in the same pass, at ``SPLIT`` equal steps of the signed
-logarithm. The widths serve values of one size, the logarithm those of any size: two splits bring a
-cell over all doubles down to a few thousandths of its values, and five more to single values, so no
-data need more than seven passes.
+The statistics need the running weight only around a few cut positions. Groups of more rows than one
+task should sort are read twice. The first read gives each cut position a bracket of values
+(``brackets.py``). The second cuts the group at the ends of the brackets into value-ordered cells: a
+cell between brackets leaves its sums alone, of a bracket the distinct values are kept, with their
+weights. Only those are sorted, by cells of at most ``task_rows``; where a bracket has more values, it
+is split further, on what was kept, by aggregations with map-side combine. Nothing is approximated.
+
+Such a split cuts at ``SPLIT`` equal widths and, in the same pass, at ``SPLIT`` equal steps of the
+signed logarithm, so any cell over all doubles comes down to single values within seven passes.
 """
 
 from __future__ import annotations
@@ -18,12 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from priceshape.operators.brackets import brackets
 from priceshape.operators.samples import ORDER, Sample, expressions, join_facts, named
 from priceshape.scratch import pin
 
 SPLIT = 1024
 # Rows of a cell that one task sorts.
 TASK_ROWS = 100_000
+# Share of the weight by which brackets are wider than their positions, as sums in another order may
+# differ by rounding. Where they differ by more, the next share is tried; with the last one every row
+# is kept.
+SLACKS = (1e-9, 1e-4, 2.0)
 
 
 def _log_scale(x: str) -> str:
@@ -54,10 +57,42 @@ def _placed(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
-    """Value-ordered cells per group, fine enough around every cut position."""
+def _kept_rows(sample: Sample, positions: list[str], task_rows: int, slack: float) -> DataFrame:
+    """One read of all rows, cut at the ends of the brackets: a written table of the distinct values
+    inside brackets (``_near``) and one row per cell between them.
+
+    The class of a row is the number of ends at or below it, so rows of a class lie side by side.
+    """
+    keys = sample.keys
+    ends = brackets(sample, positions, task_rows, slack)
+    rows = sample.attach(sample.rows, ends)
+    count = range(len(positions))
+    class_no = " + ".join([f"if(_x >= _a{i}, 1, 0) + if(_x > _b{i}, 1, 0)" for i in count])
+    near = " OR ".join([f"coalesce(_x BETWEEN _a{i} AND _b{i}, false)" for i in count])
+    order = f"struct(_x, {ORDER if ORDER in sample.rows.columns else '_w'})"
+    return pin(
+        rows.selectExpr("*", f"{class_no} AS _class", f"({near}) AS _near")
+        .groupBy(*keys, "_class", "_near", F.expr("if(_near, _x, NULL)").alias("_value"))
+        .agg(*expressions({
+            "_lo": "min(_x)", "_hi": "max(_x)", "_first": f"min_by(_w, {order})",
+            "_weight": "sum(_w)", "_wx": "sum(_w * _x)"}))
+        .selectExpr(*keys, "_class", "_near", "_lo", "_hi", "_lo AS _x", "_weight AS _w", "_wx", "_first"),
+        "kept")
+
+
+def _start(sample: Sample, positions: list[str], task_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows to finish with (``_x``, ``_w`` and the weight of the first copy, ``_first``) and the first
+    cells of every group."""
     keys = sample.keys
     totals = sample.facts.selectExpr(*keys, "n AS group_n", "sw AS group_w")
+    for slack in SLACKS if sample.largest_group > task_rows else ():
+        kept = _kept_rows(sample, positions, task_rows, slack)
+        sums = kept.groupBy(*keys, "_class", "_near").agg(*expressions({
+            "cell_lo": "min(_lo)", "cell_hi": "max(_hi)", "cell_n": "count(1)", "cell_w": "sum(_w)",
+            "cell_wx": "sum(_wx)"})).drop("_class")
+        cells = pin(join_facts(_placed(sums, keys), totals, keys), "cells")
+        if cells.filter(f"NOT _near AND {_any_cut(positions)}").isEmpty():
+            return kept.filter("_near").select(*keys, "_x", "_w", "_first"), cells.drop("_near")
     cells = sample.facts.selectExpr(
         *keys,
         "lo AS cell_lo",
@@ -71,6 +106,15 @@ def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
         "n AS group_n",
         "sw AS group_w",
     )
+    return sample.rows.withColumn("_first", F.col("_w")), cells
+
+
+def _cells(
+    sample: Sample, rows: DataFrame, cells: DataFrame, positions: list[str], task_rows: int
+) -> DataFrame:
+    """Value-ordered cells per group, fine enough around every cut position."""
+    keys = sample.keys
+    totals = sample.facts.selectExpr(*keys, "n AS group_n", "sw AS group_w")
     # Halving first keeps the width finite for any pair of doubles. The ends of a cell always fall
     # into different parts, so every split makes progress.
     too_big = f"(cell_n > {task_rows} AND cell_lo / 2 < cell_hi / 2 AND {_any_cut(positions)})"
@@ -86,7 +130,7 @@ def _cells(sample: Sample, positions: list[str], task_rows: int) -> DataFrame:
         # The ends of a narrow cell may share a logarithm; its widths alone count then.
         log_offset = f"({_log_scale('_x')} - _log_lo) / nullif(_log_hi - _log_lo, 0D)"
         split = (
-            sample.attach(sample.rows, targets, "_x BETWEEN cell_lo AND cell_hi")
+            sample.attach(rows, targets, "_x BETWEEN cell_lo AND cell_hi")
             .withColumn("_sub", F.expr(_step(offset)))
             .withColumn("_log_sub", F.expr(f"coalesce({_step(log_offset)}, 0)"))
             .groupBy(*keys, "cell_lo", "_sub", "_log_sub")
@@ -125,12 +169,13 @@ def cut_statistics(
     without a cut (``cell_w``, ``cell_wx``, ``before``). Both see ``group_n`` and ``group_w``.
     """
     keys = sample.keys
-    cells = _cells(sample, positions, task_rows or TASK_ROWS)
+    rows, cells = _start(sample, positions, task_rows or TASK_ROWS)
+    cells = _cells(sample, rows, cells, positions, task_rows or TASK_ROWS)
     cut = _any_cut(positions)
-    near = sample.attach(sample.rows, cells.filter(cut), "_x BETWEEN cell_lo AND cell_hi")
+    near = sample.attach(rows, cells.filter(cut), "_x BETWEEN cell_lo AND cell_hi")
 
-    ordered_by = ["_x"] + ([ORDER] if ORDER in sample.rows.columns else ["_w"])
-    first_w = f"min_by(_w, struct({', '.join(ordered_by)}))" if sample.weighted else "min(_w)"
+    ordered_by = ["_x"] + ([ORDER] if ORDER in rows.columns else ["_w"])
+    first_w = f"min_by(_first, struct({', '.join(ordered_by)}))" if sample.weighted else "min(_first)"
     columns = [*keys, "_x", "_w", "cum", "prev_cum", "prev_x", "step_end", "group_n", "group_w"]
     # Copies of one value: interpolation needs no more than the weight of the first of them.
     copies = (
@@ -155,7 +200,10 @@ def cut_statistics(
             "*",
             f"coalesce(lag(cum) OVER ({by_value}), before) AS prev_cum",
             f"coalesce(lag(_x) OVER ({by_value}), below, _x) AS prev_x",
-            "cum AS step_end",
+        )
+        .selectExpr(
+            "*",
+            "if(_first = _w, cum, prev_cum + _first) AS step_end",
         )
     )
     rows = distinct.select(columns).unionByName(copies.select(columns))

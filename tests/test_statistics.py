@@ -1,9 +1,13 @@
 """Statistics against plain definitions on small samples, with skew and edge cases."""
 
+import os
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from priceshape.operators import brackets as brackets_module
 from priceshape.operators import filters
 from priceshape.operators import quantiles as quantiles_module
 from priceshape.operators import samples as sample_module
@@ -379,3 +383,69 @@ def test_locks():
         "area_code": "0000", "periodicity_code": "R"}
     with pytest.raises(ValueError):
         filters.parse_locks(["area=1", "area_code=2"])
+
+
+def counted_reads(rows, folder):
+    """``rows`` that leave a line per task that reads them, and the number of whole reads so far."""
+    parts = rows.rdd.getNumPartitions()
+
+    def noted(batches):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w"):
+            pass
+        yield from batches
+
+    return rows.mapInArrow(noted, rows.schema), lambda: len(os.listdir(folder)) / parts
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_two_reads_whatever_the_values(spark, tmp_path, weighted):
+    """A third of the rows in one group, values over 600 decades: the summary and one read more."""
+    rng = np.random.default_rng(2)
+    n = 24_000
+    x = rng.choice([-1.0, 1.0], n) * 10.0 ** rng.uniform(-300, 300, n)
+    x[::7] = 0.25
+    w = rng.integers(0, 5, n) * rng.random(n) if weighted else np.ones(n)
+    g = np.where(np.arange(n) % 3 == 0, 0, 1 + np.arange(n) % 90)
+    frame = spark.createDataFrame(
+        list(zip(g.tolist(), x.tolist(), w.tolist(), strict=True)), "g int, v double, w double").repartition(6)
+    rows, reads = counted_reads(pin(frame, "rows"), str(tmp_path))
+    sample = make_sample(rows, ["g"], "v", "w" if weighted else None)
+    before = reads()
+    got = {r["g"]: r for r in quantiles(sample, {"a": 0.0, "m": 0.5, "y": 0.99, "z": 1.0}, {"t": 0.08}, task_rows=120).collect()}
+    assert reads() - before == 2
+    assert len(got) == len(set(g.tolist()))
+    for key, row in got.items():
+        own = g == key
+        order = np.argsort(x[own], kind="stable")
+        sx, sw = x[own][order], w[own][order]
+        cum, total = np.cumsum(sw), sw.sum()
+        kept = np.clip(cum, 0.08 * total, 0.92 * total) - np.clip(cum - sw, 0.08 * total, 0.92 * total)
+        assert row["t"] == pytest.approx((kept * sx).sum() / kept.sum(), rel=1e-9)
+        assert row["z"] == pytest.approx(sx[-1] if sw[-1] > 0 or not weighted else row["z"])
+        at = int(np.searchsorted(cum, 0.5 * total, side="right"))
+        assert sx[max(at - 1, 0)] <= row["m"] <= sx[at]
+
+
+def test_runs_bound_the_weight_below_any_value():
+    rng = np.random.default_rng(8)
+    n = 200_000
+    x, w = rng.standard_cauchy(n), rng.random(n) ** 4
+    x[:5000], w[7] = 0.5, 0.02 * w.sum()
+    g = np.zeros(n, np.int64)
+    parts = [brackets_module.runs(g[s], x[s], x[s], w[s]) for s in np.array_split(rng.permutation(n), 5)]
+    assert all(len(p[0]) <= 2 * brackets_module.PARTS + 4 for p in parts)
+    for lists in (parts, [brackets_module.runs(*map(np.concatenate, zip(*parts, strict=True)))]):
+        _, lo, hi, weight = map(np.concatenate, zip(*lists, strict=True))
+        assert weight.sum() == pytest.approx(w.sum())
+        for v in np.quantile(x, np.linspace(0.01, 0.99, 25)):
+            below = w[x < v].sum()
+            least, most = weight[hi < v].sum(), weight[lo <= v].sum()
+            assert least <= below * (1 + 1e-12) and below <= most * (1 + 1e-12)
+            assert most - least - w[x == v].sum() <= 3 * w.sum() / brackets_module.PARTS + w[7]
+
+
+def test_weights_of_very_different_size(spark):
+    """Sums that lose more than the first room to rounding still end with the plain result."""
+    rows = spark.range(400).selectExpr("cast(id AS double) AS v", "if(id = 200, 1e20, 1D) AS w")
+    got = quantiles(make_sample(rows, [], "v", "w"), {"m": 0.5, "z": 1.0}, task_rows=10).first()
+    assert got["m"] == pytest.approx(199.5) and got["z"] == 399.0
