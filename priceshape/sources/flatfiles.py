@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from priceshape.functions.fields import (
     to_bool,
     to_value,
 )
-from priceshape.operators.dedup import last_wins, union_first_wins
+from priceshape.operators.dedup import first_wins, last_wins, union_first_wins
 from priceshape.schemas import DIMENSIONS, KEYS, SCHEMAS, Tables
 
 # File names of the survey. The order of the data files is their priority.
@@ -73,23 +75,35 @@ def _column_name(header: str) -> str:
     return "period" if name == "period_code" else name
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All-text table with normalised names, trimmed cells and no blank rows.
 
-    ``_block`` and ``_row`` give the order of the rows in the file.
+    ``_block`` and ``_row`` give the order of the rows in the file. Several files are one scan; their
+    header lines must be the same but for padding and case, which the scan checks file by file.
     """
-    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"')
+    several = not isinstance(path, str)
+    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', enforceSchema=not several,
+                         ignoreLeadingWhiteSpace=several, ignoreTrailingWhiteSpace=several)
     cells = [strip(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(_column_name(c))
              for c in raw.columns]
     names = [_column_name(c) for c in raw.columns]
     table = raw.select(
         *cells,
+        *([_file_number(path).alias("_file")] if several else []),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
     return table.filter(F.concat(*names) != "")
 
 
+def _file_number(paths: list[str]) -> Column:
+    """Place of the row's file in ``paths``, by its name or that of its folder."""
+    names = F.array(*[F.lit(quote(path.rstrip("/").rsplit("/", 1)[-1], safe="+$&,:;=@!~*'()")) for path in paths])
+    steps = F.split(F.col("_metadata.file_path"), "/")
+    place = [F.array_position(names, F.element_at(steps, -k)) for k in (1, 2)]
+    return F.greatest(*place) - 1
+
+
 def _text(table: DataFrame, name: str) -> Column:
     if name in table.columns:
         return F.col(name)
@@ -117,18 +131,20 @@ def read_dimension(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def _observation_rows(table: DataFrame, year: Column, value: Column) -> DataFrame:
+    order = [c for c in ("_file", *FILE_ORDER) if c in table.columns]
     return table.select(
         "series_id",
         year.alias("year"),
         "period",
         value.alias("value"),
         footnote_list(_text(table, "footnote_codes")).alias("footnotes"),
-        *FILE_ORDER,
+        *order,
     )
 
 
-def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    """One observation file; a value or year that is no number fails the query."""
+def read_observations(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One observation file, or several with the same header line in one scan (``_file`` is then the
+    place in the list); a value or year that is no number fails the query."""
     table = read_tsv(spark, path)
     return _observation_rows(
         table, strict_int(F.col("year"), "year"), strict_value(F.col("value"))
@@ -151,10 +167,17 @@ def read_observation_files(
     files: list[str] | None = None,
     *,
     current_only: bool = False,
+    same_header: bool = True,
 ) -> DataFrame:
-    """Observations of several files (default: all); on a common key the earlier file wins."""
-    names = files or (CURRENT_FILES if current_only else DATA_FILES)
-    parts = [read_observations(spark, f"{folder}/{name}") for name in names]
+    """Observations of several files (default: all); on a common key the earlier file wins.
+
+    Files with the same header line are read in one scan; another header fails the query. With
+    ``same_header=False`` each file is a scan of its own and may have columns in an order of its own.
+    """
+    paths = [f"{folder}/{name}" for name in files or (CURRENT_FILES if current_only else DATA_FILES)]
+    if same_header and len({path.rstrip("/").rsplit("/", 1)[-1] for path in paths}) == len(paths):
+        return first_wins(read_observations(spark, paths), KEYS["observation"], ["_file", *FILE_ORDER])
+    parts = [read_observations(spark, path) for path in paths]
     return union_first_wins(parts, KEYS["observation"], FILE_ORDER)
 
 

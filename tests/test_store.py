@@ -71,6 +71,39 @@ def test_first_row_of_a_file_wins_and_last_code_wins(spark, tmp_path):
     assert flatfiles.read_dimension(spark, f"{tmp_path}/a", "area").first()["area_name"] == "new"
 
 
+def test_files_in_one_scan(spark, tmp_path):
+    """The place in the list decides, however the files are split or named; folders count as files."""
+    head = "series_id\tyear\tperiod\tvalue\tfootnote_codes\n"
+    names = ["cu.data.1.All", "cu.data.11.US", "a b%c", "cu.data.1"]
+    for i, name in enumerate(names):
+        text = "".join(f"S{k}\t2000\tM01\t{i}.5\tA\n" for k in range(i * 2, 9))
+        if i == 3:
+            (tmp_path / name).mkdir()
+            (tmp_path / name / "part-0.csv").write_text(head + text)
+            (tmp_path / name / "part-1.csv").write_text(head + "S99\t2000\tM01\t7\t\nS0\t2000\tM01\t8\t\n")
+        else:
+            (tmp_path / name).write_text(head + text)
+    for order in (names, names[::-1]):
+        for same in (True, False):
+            found = flatfiles.read_observation_files(spark, str(tmp_path), order, same_header=same)
+            want = {f"S{k}": min((order.index(n), f"{i}.5") for i, n in enumerate(names) if k >= i * 2)[1] for k in range(9)}
+            if order[0] == "cu.data.1":
+                want["S0"] = "8"
+            assert {r["series_id"]: float(r["value"]) for r in found.collect()} == {
+                **{k: float(v) for k, v in want.items()}, "S99": 7.0}
+            plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan csv") == (1 if same else len(names))
+
+
+def test_files_with_other_columns_fail_or_are_read_apart(spark, tmp_path):
+    (tmp_path / "a").write_text("series_id\tyear\tperiod\tvalue\nA\t2000\tM01\t1\n")
+    (tmp_path / "b").write_text("value\tseries_id\tyear\tperiod\n3\tB\t2000\tM01\n")
+    with pytest.raises(Exception, match="header"):
+        flatfiles.read_observation_files(spark, str(tmp_path), ["a", "b"]).collect()
+    apart = flatfiles.read_observation_files(spark, str(tmp_path), ["a", "b"], same_header=False)
+    assert values(apart) == {("A", 2000, "M01"): (1.0, ()), ("B", 2000, "M01"): (3.0, ())}
+
+
 def test_absent_columns_and_bad_values(spark, tmp_path):
     (tmp_path / "i").write_text("item_code\titem_name\nAA\tx\n")
     assert tuple(flatfiles.read_dimension(spark, f"{tmp_path}/i", "item").first()) == (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,9 +58,14 @@ def flat_folder(spark: SparkSession, sf_dir: str) -> str:
     brand = "cast(split_part(series_id, '#', 2) AS int)"
     for i in range(rest):
         parts.append((f"{brand} % {rest} = {i} OR ({brand} + 1) % {rest} = {i}", i + 2))
-    for file, (condition, shift) in zip(flatfiles.DATA_FILES, parts, strict=True):
+
+    def write(file, part):
+        condition, shift = part
         rows = text.filter(condition).withColumn("value", F.expr(f"value + {shift}"))
         write_padded(as_text(rows), f"{folder}/{file}")
+
+    with ThreadPoolExecutor(8) as pool:  # many small jobs side by side
+        list(pool.map(write, flatfiles.DATA_FILES, parts))
     _folders[key] = folder
     return folder
 
