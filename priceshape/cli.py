@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 
 from priceshape.operators.filters import parse_locks
 from priceshape.plans import jobs, reports
@@ -43,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
         ),
     }
     for name, sub in analysing.items():
-        sub.add_argument("--source", choices=["database", "flatfiles"], default="database")
+        sub.add_argument("--source", choices=["database", "flatfiles", "snapshot", "document"], default="database")
         sub.add_argument("--data-file", action="append", dest="files")
         sub.add_argument("--current-only", action="store_true")
         sub.add_argument("--include-unselectable", action="store_false", dest="selectable_only")
@@ -122,8 +121,8 @@ def analyse(spark, args: argparse.Namespace) -> None:
         report.warnings.show(truncate=False)
         if not args.output:
             locks = parse_locks(args.series_lock)
-            document = exports.summary_document(report.groups, report.header, locks).first()["document"]
-            print(json.dumps(json.loads(document), indent=2))
+            for line in exports.summary_text(report.groups, report.header, locks):
+                print(line)
 
 
 if __name__ == "__main__":

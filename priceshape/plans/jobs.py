@@ -9,15 +9,19 @@ from priceshape.plans import reports
 from priceshape.schemas import Tables
 from priceshape.sources import exports
 from priceshape.sources.flatfiles import read_dataset
-from priceshape.sources.snapshot import write_snapshot
+from priceshape.sources.snapshot import (
+    read_document_snapshot, read_snapshot, write_document_snapshot, write_snapshot,
+)
 from priceshape.sources.store import Store, export_ordered
 
 
-def fetch_dataset(spark: SparkSession, folder: str, output: str | None = None, **options) -> Tables:
-    """Read flat files and, if asked, write them as a JSON snapshot."""
+def fetch_dataset(
+    spark: SparkSession, folder: str, output: str | None = None, *, document: bool = False, **options
+) -> Tables:
+    """Read flat files and, if asked, write them as a JSON snapshot, in folders or as one document."""
     tables = read_dataset(spark, folder, **options)
     if output:
-        write_snapshot(tables, output)
+        (write_document_snapshot if document else write_snapshot)(tables, output)
     return tables
 
 
@@ -62,7 +66,8 @@ def load_tables(
     files: list[str] | None = None,
     current_only: bool = False,
 ) -> Tables:
-    """Tables from a store (``database``) or from flat files (``flatfiles``)."""
+    """Tables from a store (``database``), flat files (``flatfiles``) or a snapshot (``snapshot`` in
+    folders, ``document`` as one JSON document)."""
     if source == "database":
         if files or current_only:
             raise ValueError("file selection applies to flat files only")
@@ -71,11 +76,14 @@ def load_tables(
         if files and current_only:
             raise ValueError("give either files or current_only")
         return read_dataset(spark, location, files, current_only=current_only)
+    if source in ("snapshot", "document"):
+        return (read_snapshot if source == "snapshot" else read_document_snapshot)(spark, location)
     raise ValueError(f"unknown source {source!r}")
 
 
-def export_snapshot(spark: SparkSession, root: str, output: str) -> None:
-    write_snapshot(export_ordered(Store(spark, root).read()), output)
+def export_snapshot(spark: SparkSession, root: str, output: str, *, document: bool = False) -> None:
+    write = write_document_snapshot if document else write_snapshot
+    write(export_ordered(Store(spark, root).read()), output)
 
 
 def compute_report(
@@ -84,7 +92,7 @@ def compute_report(
     parsed = parse_locks(locks)
     report = reports.compute(tables, locks=parsed, **options)
     if output:
-        exports.write_document(exports.summary_document(report.groups, report.header, parsed), output)
+        exports.write_summary(output, report.groups, report.header, parsed)
     return report
 
 
@@ -115,8 +123,7 @@ def export_analysis(tables: Tables, folder: str, locks=(), **options) -> reports
     result = reports.analyze(tables, locks=parsed, **options)
     if result.limits.isEmpty() and not options.get("skip_small_samples"):
         raise ValueError("no growth components to analyse")
-    document = exports.summary_document(result.summaries, result.header, parsed)
-    exports.write_document(document, f"{folder}/summary")
+    exports.write_summary(f"{folder}/summary", result.summaries, result.header, parsed)
     result.limits.write.parquet(f"{folder}/limits")
     result.curves.write.partitionBy("label").parquet(f"{folder}/curves")
     result.histograms.write.partitionBy("label").parquet(f"{folder}/histograms")

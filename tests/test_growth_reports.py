@@ -70,7 +70,7 @@ def test_lock_leaves_one_series(two_series):
     report = reports.compute(two_series, locks=locks)
     header = report.header.first()
     assert (header["component_count"], header["group_count"]) == (1, 1)
-    document = json.loads(exports.summary_document(report.groups, report.header, locks).first()["document"])
+    document = json.loads("".join(exports.summary_text(report.groups, report.header, locks)))
     assert document["series_locks"] == {"area_code": "1111"}
     group = document["groups"][0]
     assert group["label"] == "1" and group["count"] == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,10 +13,10 @@ from priceshape.operators import dedup, integrity
 from priceshape.plans import jobs, reports
 from priceshape.schemas import KEYS, Tables
 from priceshape.scratch import scratch_path
-from priceshape.sources import exports, flatfiles, snapshot
+from priceshape.sources import documents, exports, flatfiles, snapshot
 from priceshape.sources.store import Store, delete_series, with_defaults
 from priceshape.streaming.refresh import refresh_from_landing
-from verification.base import check, price_sql, prices, table
+from verification.base import check, price_sql, prices, r, rounded, table
 
 _folders: dict[tuple[str, str], str] = {}
 
@@ -185,16 +185,12 @@ def store_scan(spark, sf_dir):
     return flat_observations(prices(spark, sf_dir).observation)
 
 
-@check(
-    "r10_snapshot_scan",
-    price_sql("""SELECT series_id, series_title, item_name, display_level, selectable, year, period,
+SNAPSHOT = price_sql("""SELECT series_id, series_title, item_name, display_level, selectable, year, period,
       CAST(value AS DOUBLE) AS value, coalesce(footnotes, '') AS footnotes
-      FROM observation JOIN series USING (series_id) JOIN item USING (item_code)"""),
-)
-def snapshot_scan(spark, sf_dir):
-    path = scratch_path(spark, "snapshot")
-    snapshot.write_snapshot(prices(spark, sf_dir), path)
-    back = snapshot.read_snapshot(spark, path)
+      FROM observation JOIN series USING (series_id) JOIN item USING (item_code)""")
+
+
+def _snapshot_rows(back: Tables) -> DataFrame:
     joined = back.observation.join(back.series, "series_id").join(back.item, "item_code")
     return joined.select(
         "series_id", "series_title", "item_name", "display_level", "selectable", "year", "period",
@@ -203,6 +199,21 @@ def snapshot_scan(spark, sf_dir):
     )
 
 
+@check("r10_snapshot_scan", SNAPSHOT)
+def snapshot_scan(spark, sf_dir):
+    path = scratch_path(spark, "snapshot")
+    snapshot.write_snapshot(prices(spark, sf_dir), path)
+    return _snapshot_rows(snapshot.read_snapshot(spark, path))
+
+
+@check("r10_document_scan", SNAPSHOT)
+def document_scan(spark, sf_dir):
+    """The snapshot as one JSON document, written by many tasks and read by ranges of bytes."""
+    path = scratch_path(spark, "document")
+    snapshot.write_document_snapshot(prices(spark, sf_dir), path)
+    return _snapshot_rows(snapshot.read_document_snapshot(spark, path))
+
+
 @check(
     "k9_snapshot_write",
     price_sql("SELECT series_id, year, period, CAST(value AS VARCHAR) AS value FROM observation"),
@@ -239,6 +250,14 @@ def csv_export(spark, sf_dir):
     return back.withColumn("date", F.col("date").cast("string"))
 
 
+@check("k10_csv_one_header", REPORT_SQL)
+def csv_one_header(spark, sf_dir):
+    report, path = _report(spark, sf_dir), scratch_path(spark, "csv")
+    exports.write_csv(report, path, ["date", "label"], one_header=True)
+    back = exports.read_csv_report(spark, path, report.schema)
+    return back.withColumn("date", F.col("date").cast("string"))
+
+
 @check("r11_csv_report_scan",
        "SELECT min(date) AS first, max(date) AS last, count(*) AS rows, "
        f"CAST(sum(count) AS BIGINT) AS items FROM ({REPORT_SQL})")
@@ -406,22 +425,36 @@ def landing_refresh(spark, sf_dir):
 
 @check(
     "k13_summary_document",
-    """SELECT l_returnflag AS label, count(*) AS count FROM lineitem GROUP BY ALL""",
+    f"""WITH lines AS (SELECT l_suppkey % 300 AS label, CAST(l_discount AS DOUBLE) AS v FROM lineitem),
+      groups AS (SELECT label, count(*) AS n, avg(v) AS m, stddev_pop(v) AS s FROM lines GROUP BY label)
+      SELECT 'group ' || label || ' {{"}}' AS label, n AS count,
+        row_number() OVER (ORDER BY label) - 1 AS place, {r("m")} AS weighted_mean, {r("s")} AS weighted_std,
+        CASE WHEN m < 0 THEN '-' ELSE '' END || printf('%.2f%%', round(abs(m) * 100, 2)) AS weighted_mean_percent,
+        count(*) OVER () AS component_count, 'L' || label AS example
+      FROM groups""",
 )
 def summary_document(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    groups = reports.stat_summary(
-        lines.selectExpr("l_returnflag AS label", "l_discount AS value"), ["label"], "value"
-    ).withColumn("examples", F.array().cast(
-        "array<struct<series_id:string,item_code:string,item_name:string,series_title:string,"
-        "yoy:double,yoy_percent:string>>"))
-    header = lines.agg(F.count(F.lit(1)).alias("component_count"))
+    """Three hundred groups through the written document, with braces and quotes in their labels."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('group ', l_suppkey % 300, ' {\"}') AS label", "l_suppkey % 300 AS no", "cast(l_discount AS double) AS value")
+    numbers = lines.select("label", "no").distinct()
+    groups = reports.stat_summary(lines, ["label"], "value").join(numbers, "label").withColumn("examples", F.expr(
+        """array(named_struct('series_id', concat('L', no), 'item_code', 'I', 'item_name', '}', 'series_title', '',
+           'yoy', 0.5D, 'yoy_percent', '50%'))""")).drop("no")
+    header = groups.agg(F.count(F.lit(1)).alias("component_count"))
     path = scratch_path(spark, "document")
-    exports.write_document(
-        exports.summary_document(groups, header), path
-    )
-    schema = "groups array<struct<label:string,count:bigint>>"
-    return spark.read.schema(schema).json(path).selectExpr("inline(groups)")
+    exports.write_summary(path, groups, header, {"area_code": "0000"})
+    fields = spark.read.text(path).where("value LIKE '{%'").selectExpr(
+        "from_json(concat(value, '}'), 'component_count bigint') AS f")
+    schema = """label string, count bigint, stats struct<weighted_mean:double,weighted_std:double,
+        weighted_mean_percent:string>, examples array<struct<series_id:string>>"""
+    found = documents.read_objects(spark, path).where("section = 'groups'").select(
+        "place", F.from_json("object", schema).alias("o"))
+    first = Window.orderBy("place")
+    rows = found.join(fields).select(
+        "o.label", "o.count", (F.row_number().over(first) - 1).cast("long").alias("place"), "o.stats.*",
+        F.col("f.component_count").alias("component_count"), F.expr("o.examples[0].series_id").alias("example"))
+    return rounded(rows, ["weighted_mean", "weighted_std"])
 
 
 @check(
