@@ -1,9 +1,7 @@
-"""SimHash fingerprints, their links by covering hashing, and near-duplicate removal on top."""
+"""SimHash fingerprints, their links by covering hashing, and the removal of near-duplicates."""
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,7 +11,6 @@ from pyspark.sql import functions as F
 from priceshape.llm.common import col, query, slices, table
 from priceshape.llm.components import components
 from priceshape.llm.covering import close_pairs
-from priceshape.llm.prefixes import prefix_candidates
 from priceshape.scratch import pin
 
 SEED = 42
@@ -64,6 +61,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
     return rows.mapInArrow(made, f"_id {kind}, fp long").withColumnRenamed("_id", key)
 
 
+def _roots(distinct: DataFrame, radius: int) -> DataFrame:
+    """``fp`` and ``root`` (the smallest fingerprint it is linked to) of distinct fingerprints."""
+    links = close_pairs(distinct.select(F.lit(0).alias("t"), F.col("fp").alias("id"), "fp"), radius)
+    roots = pin(components(links), "roots")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id",
                    text: str = "text") -> DataFrame:
     """Groups of documents linked by fingerprints that differ in at most ``radius`` bits.
@@ -76,227 +80,40 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str
     """
     made = pin(fingerprints(docs, shingle, key, text), "fingerprints")
     folded = pin(made.groupBy("fp").agg(F.min(col(key)).alias("_least")), "folded")
-    links = close_pairs(folded.select(F.lit(0).alias("t"), F.col("fp").alias("id"), "fp"), radius)
-    roots = pin(components(links), "roots")
-    rooted = folded.join(roots, folded["fp"] == roots["node"], "left").select(
-        "fp", "_least", F.coalesce("root", "fp").alias("_root"))
+    rooted = folded.join(_roots(folded.select("fp"), radius).withColumnRenamed("root", "_root"), "fp")
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = pin(rooted.join(least, "_root").select("fp", "component_id"), "components")
     return made.join(named, "fp").select(
         col(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-duplicates of a given Jaccard similarity.
-
-#: Fingerprints per text and their radius. They are over the set of words, of which one changed word
-#: touches a single one (of five-word shingles it touches five), so a pair of similarity 0.8 differs
-#: in about 4 of 64 bits.
-SKETCHES, RADIUS = 4, 4
-#: Documents of a candidate component that are compared in one task with those of another block.
-BLOCK = 512
-
-
-def _word_fingerprints(words: list[bytes]) -> list[int]:
-    unique = list(dict.fromkeys(words))
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in unique]), ">u8").astype(np.uint64)
-    out = []
-    for k in range(SKETCHES):
-        x = h * np.uint64(2 * k * 0x9E3779B97F4A7C15 + 0xD1342543DE82EF95 & 2**64 - 1)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        out.append(majority(x ^ (x >> np.uint64(29))))
-    return out
-
-
-def _sketched(batches):
-    for batch in slices(batches):
-        made = [_word_fingerprints(words_of(t)) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("h1"), batch.column("h2"), pa.array(made, pa.list_(pa.int64()))],
-            ["h1", "h2", "fps"])
-
-
-def _shingle_set(text: str, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), shingle).astype(np.uint64))
-
-
-def _with_shingles(shingle: int):
-    def made(batches):
-        for batch in slices(batches):
-            sets = [_shingle_set(t, shingle).tobytes()
-                    for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("cand"), batch.column("blocks"), batch.column("fps"),
-                 batch.column("root"), pa.array(sets, pa.binary())],
-                ["id", "cand", "blocks", "fps", "root", "sets"])
-
-    return made
-
-
-def _verify(similarity: float, radius: int | None):
-    """Rows of two blocks of a candidate component to the forest of the truly similar pairs.
-
-    Rows of equal ``root`` are known to belong together. Without a ``radius`` all others are compared.
-    """
-
-    def verified(frame):
-        import pandas as pd
-
-        ids = frame["id"].to_numpy()
-        side = frame["side"].to_numpy()
-        fps = np.array(frame["fps"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(ids), -1)
-        sets = [np.frombuffer(s, np.uint64) for s in frame["sets"]]
-        sizes = np.array([len(s) for s in sets])
-        known = frame["root"].to_numpy()
-        close = np.full((len(ids), len(ids)), radius is None)
-        for k in range(fps.shape[1] if radius is not None else 0):
-            close |= np.bitwise_count(fps[:, k][:, None] ^ fps[:, k][None, :]) <= radius
-        close &= known[:, None] != known[None, :]
-        # Sets whose sizes differ too much cannot be similar enough.
-        close &= np.minimum(sizes[:, None], sizes[None, :]) >= similarity * np.maximum(sizes[:, None], sizes[None, :])
-        if len(set(side)) > 1:
-            close &= side[:, None] != side[None, :]
-        first: dict[int, int] = {}
-        root = [first.setdefault(r, i) for i, r in enumerate(known.tolist())]
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        edges = []
-        for i, j in np.argwhere(np.triu(close, 1)).tolist():
-            a, b = find(i), find(j)
-            if a == b:
-                continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            union = sizes[i] + sizes[j] - common
-            if common >= similarity * union:
-                root[max(a, b)] = min(a, b)
-                edges.append((ids[i], ids[j]))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    return verified
-
-
-def _texts(hashed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``h1``, ``h2`` and ``text`` of the wanted classes."""
-    return hashed.select("h1", "h2", "text").join(wanted.select("h1", "h2"), ["h1", "h2"], "left_semi") \
-        .groupBy("h1", "h2").agg(F.min("text").alias("text"))
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, key: str = "doc_id",
+                         text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group of ``simhash_groups``, all columns kept.
 
-
-def _similar_in_components(hashed: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int,
-                           similarity: float, radius: int | None) -> DataFrame:
-    """Edges that join the similar pairs of classes inside the components of the candidate edges.
-
-    Classes of equal ``root`` are known to belong together. With a ``radius`` only pairs of close
-    fingerprints are compared.
+    The row of the smallest key stays, a NULL key last; of rows that share it, that of the smallest
+    text hash, and of rows that are equal in key and text any one. Texts without words, NULL included,
+    are one group with whatever else is near fingerprint zero. Columns may have any names.
     """
-    grouped = components(candidates)
-    roots = grouped.select("root").distinct()
-    members = pin(grouped.select(F.col("node").alias("id"), F.col("root").alias("cand")).union(
-        roots.select("root", F.col("root"))), "members")
-    sizes = members.groupBy("cand").agg(F.count("*").alias("n"))
-    wanted = pin(classes.join(members, "id").join(sizes, "cand").select(
-        "id", "cand", "h1", "h2", "fps", "root", F.expr(f"CAST((n + {BLOCK - 1}) div {BLOCK} AS INT)").alias("blocks")), "wanted")
-    sets = wanted.join(_texts(hashed, wanted), ["h1", "h2"]).select(
-        "id", "cand", "blocks", "fps", "root", "text").mapInArrow(
-        _with_shingles(shingle), "id long, cand long, blocks int, fps array<long>, root long, sets binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("cand", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                         F.col("own").alias("side"), "id", "fps", "root", "sets")
-    return pin(pairs.groupBy("cand", "i", "j").applyInPandas(_verify(similarity, radius), "a long, b long"), "similar")
-
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at, body = (f"c{docs.columns.index(c)}" for c in (key, text))
+    words = F.coalesce(col(body), F.lit(""))
+    hashes = {"h1": F.xxhash64(words), "h2": F.xxhash64(F.lit(7), words)}
+    rows = plain.select(col(at).alias("key"), *[h.alias(n) for n, h in hashes.items()], col(body).alias("text"))
 
-def _shingle_arrays(shingle: int):
     def made(batches):
         for batch in slices(batches):
-            sets = [_shingle_set(t, shingle).view(np.int64)
-                    for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "sets"])
-
-    return made
-
-
-def _similar_pairs(hashed: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int,
-                   similarity: float) -> DataFrame:
-    """The similar ones of single pairs (``a``, ``b``: ``h1`` of two classes) of unequal ``root``, as edges."""
-    named = classes.select("h1", "id", "root")
-    ends = pairs.distinct().join(named.toDF("a", "ia", "ra"), "a").join(named.toDF("b", "ib", "rb"), "b")
-    open_ = pin(ends.where("ra <> rb").select("ia", "ib").distinct(), "pairs")
-    wanted = classes.join(open_.select(F.explode(F.array("ia", "ib")).alias("id")).distinct(), "id", "left_semi")
-    wanted = pin(wanted.select("id", "h1", "h2"), "wanted")
-    sets = pin(wanted.join(_texts(hashed, wanted), ["h1", "h2"]).select("id", "text").mapInArrow(
-        _shingle_arrays(shingle), "id long, sets array<long>"), "sets")
-    both = open_.join(sets.toDF("ia", "sa"), "ia").join(sets.toDF("ib", "sb"), "ib").select(
-        "ia", "ib", F.size("sa").alias("na"), F.size("sb").alias("nb"),
-        F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return pin(both.where(F.col("common") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("common")))
-               .select(F.col("ia").alias("a"), F.col("ib").alias("b")), "similar")
-
-
-def near_duplicate_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
-                           key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Classes of equal texts and the groups they form: ``h1``, ``h2`` (hashes of the text), ``least``
-    (smallest key) and ``root`` (equal for the classes of a group).
-
-    Two classes are linked if the Jaccard similarity of their sets of ``shingle``-word shingles is
-    ``similarity`` or more; groups are the connected components. Covering tables over
-    ``SKETCHES`` SimHashes of the word sets (every pair within ``RADIUS`` bits in one of them) join
-    most of a group cheaply. A prefix filter over the shingles, which loses no pair (``prefixes``),
-    gives the candidates between the groups so far. Every candidate is checked on the whole shingle
-    sets. Empty texts are one class.
-    """
-    hashed = docs.select(
-        F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("h1"),
-        F.xxhash64(F.lit(7), F.coalesce(col(text), F.lit(""))).alias("h2"),
-        col(key).alias("key"), F.coalesce(col(text), F.lit("")).alias("text"))
-    folded = hashed.groupBy("h1", "h2").agg(F.min("key").alias("least"))
-    sketch = hashed.select("h1", "h2", "text").mapInArrow(
-        _sketched, "h1 long, h2 long, fps array<long>").groupBy("h1", "h2").agg(F.min("fps").alias("fps"))
-    # The number is given once, when the table is written.
-    classes = pin(folded.join(sketch, ["h1", "h2"]).withColumn("id", F.monotonically_increasing_id()),
-                  "classes")
-    close = close_pairs(classes.select("id", F.posexplode("fps").alias("t", "fp")).select(
-        "t", "id", "fp"), RADIUS)
-    edges = _similar_in_components(hashed, classes.withColumn("root", F.col("id")), close, shingle, similarity, RADIUS)
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        linked = components(edges)
-        return classes.join(linked, classes["id"] == linked["node"], "left").select(
-            "h1", "h2", "least", "fps", "id", F.coalesce("root", "id").alias("root"))
-
-    grouped = pin(rooted(edges), "grouped")
-    sets = functools.partial(_shingle_set, shingle=shingle)
-    pairs, frequent = prefix_candidates(hashed.select("h1", "h2", "text"), classes.count(), sets, similarity)
-    edges = edges.union(_similar_pairs(hashed, grouped, pairs, shingle, similarity))
-    if frequent.take(1):
-        ids = grouped.select("h1", "id")
-        named = frequent.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b").select("ia", "ib")
-        edges = edges.union(_similar_in_components(hashed, grouped, named, shingle, similarity, None))
-    return rooted(edges).select("h1", "h2", "least", "root")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
-                         key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which none of the group has a smaller key, with all their columns.
-
-    One row of each group stays: that of the smallest key, a NULL key last; of rows that are equal in
-    key and text one stays. Texts without words are one group.
-    """
-    classes = near_duplicate_classes(docs, shingle, similarity, key, text)
-    kept = pin(classes.groupBy("root").agg(F.min(F.struct(
-        F.col("least").isNull().alias("n"), "least", "h1", "h2")).alias("k")).select(
-        F.col("k.least").alias("_least"), F.col("k.h1").alias("_h1"), F.col("k.h2").alias("_h2")), "kept")
-    marked = docs.withColumns({
-        "_h1": F.xxhash64(F.coalesce(col(text), F.lit(""))),
-        "_h2": F.xxhash64(F.lit(7), F.coalesce(col(text), F.lit(""))), "_least": col(key)})
-    once = marked.dropDuplicates(["_h1", "_h2", "_least"])
-    same = (once["_h1"] == kept["_h1"]) & (once["_h2"] == kept["_h2"]) & once["_least"].eqNullSafe(kept["_least"])
-    return once.join(kept, same, "left_semi").select(*[col(c) for c in docs.columns])
+            fp = [majority(shingle_hashes(words_of(t), shingle)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fp, pa.int64())], ["key", "h1", "h2", "fp"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    found = pin(rows.mapInArrow(made, f"key {kind}, h1 long, h2 long, fp long"), "fingerprints")
+    named = found.join(_roots(found.select("fp").distinct(), radius), "fp")
+    kept = pin(named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "h1", "h2")).alias("k"))
+               .select("k.key", "k.h1", "k.h2"), "kept")
+    once = plain.withColumns({**hashes, "key": col(at)}).dropDuplicates(["h1", "h2", "key"])
+    same = (once["h1"] == kept["h1"]) & (once["h2"] == kept["h2"]) & once["key"].eqNullSafe(kept["key"])
+    return once.join(kept, same, "left_semi").select(plain.columns).toDF(*docs.columns)
 
 
 @query("op5_simhash_covering")
