@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates (five-word shingles, 0.8)."""
+    """Keep the smallest doc_id of each group of fingerprints linked at 3 bits or fewer (three-word shingles)."""
     return simhash.drop_near_duplicates(docs)
 
 
