@@ -13,8 +13,8 @@ import re
 
 import numpy as np
 
-#: Segments that a worker remembers, those of the word encoder and their stems; then it starts anew.
-REMEMBERED, WORDS, STEMS = 60_000, 400_000, 800_000
+#: Segments and stems that a worker remembers; then it starts anew.
+WORDS, STEMS = 400_000, 800_000
 #: Characters of a segment that go to the library whole.
 SHORT = 1024
 

@@ -1,97 +1,159 @@
 """Byte-level BPE by tree concatenation.
 
 A text longer than ``leaf_chars`` is halved until its parts are short enough; the parts are encoded
-in parallel tasks, and neighbours are put together by encoding a window around the join anew, which
-grows until both sides agree with it. The same is done inside a piece that the split pattern leaves
-whole, there on tokens: a sequence of BPE tokens is the encoding of its text if each pair of
-neighbours is, so a window whose encoding begins and ends with the old outer tokens settles a join.
+in parallel tasks, and neighbours are put together by encoding a window around the join anew. A window
+of text ends where pieces of the split pattern end whatever stands around them, and grows until there
+are such places on both sides. A piece that the pattern leaves whole across the join, however long, is
+joined on tokens: a sequence of BPE tokens is the encoding of its text if each pair of neighbours is,
+so a window of tokens whose encoding begins and ends with the old outer tokens settles the join, and
+it grows until it does. What lies outside the windows is never encoded again.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceshape.llm.common import col, query, slices, table
-from priceshape.llm.tokenizing import _APART, Segments, load, once
+from priceshape.llm.tokenizing import load, once
+
+#: Characters of a part that one task encodes by itself, and of a window of text; a longer one is
+#: joined by its pieces.
+LEAF_CHARS, WINDOW = 16_384, 4_096
 
-#: Characters of a part that one task encodes by itself.
-LEAF_CHARS = 16_384
+#: Letters that every version of the character tables has; all white space and ASCII digits are that.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-яぁ-ゖァ-ヺ一-龥가-힣"
+#: Signs that every version has as neither letter nor digit.
+SIGNS = "!-/:-@\\[-`{-~、-〃〈-】！-／："
+#: Places where a piece ends and another begins: before white space after anything else, and where a
+#: run of letters or digits ends. No piece of the split pattern goes on there.
+_SAFE = regex.compile(
+    rf"(?<=\P{{White_Space}})(?=\p{{White_Space}})|(?<=[{LETTERS}])(?=[0-9{SIGNS}])|(?<=[0-9])(?=[{LETTERS}{SIGNS}])")
 
-_START = re.compile(r"(?<=\S)\s")
+#: Texts that are one piece.
+_ONE = regex.compile(rf" ?(?:[{LETTERS}]+|[0-9]+|[{SIGNS}]+)|\p{{White_Space}}+")
 
 
-class TreeEncoder(Segments):
-    """Whole-text encoder whose long unsplit pieces go by halves."""
+class TreeEncoder:
+    """Encoder of texts and joins for a byte-level vocabulary in the tokenizers library's format.
+
+    The merges run in tiktoken, which merges any two neighbours whose bytes form a token, the lowest id
+    first. That is the library's result if merges are listed by id and every token is the encoding of
+    its own bytes: the first merge that the library does not list would form a token out of two parts
+    at which the library, encoding that token alone, would have stopped. Both are checked; other
+    vocabularies go through the library itself.
+    """
 
     def __init__(self, path: str):
-        super().__init__(path, keep_space=True)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = {t.content: i for i, t in added.items()}
-        self.by_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
-        self.name = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.long = self.pieces
-
-    def merge(self, text: str) -> list[int]:
+        self.tokenizer = load(path)
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.by_added = regex.compile(
+            "(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.margin = max(map(len, self.added), default=1)
+        count = self.tokenizer.get_vocab_size()
+        self.name = [self.tokenizer.id_to_token(i) for i in range(count)]
+        self.bytes = _bytes_of_ids(self.tokenizer)
+        self.length = np.array([len(x) for x in self.bytes], np.int64)
+        self.coder = None
+        plain = [i for i in range(count) if self.name[i] not in self.added]
+        if (self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer)
+                and "use_regex=True" in str(self.tokenizer.pre_tokenizer) and sorted(plain)[:256] == list(range(256))
+                and all(self.length[:256] == 1) and all(self.merge(self.name[i]) == [i] for i in plain)):
+            self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                                           mergeable_ranks={self.bytes[i]: i for i in plain})
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; none for NULL."""
+        if not text:
+            return b""
+        if self.coder is None:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.by_added is None or not self.by_added.search(text):
+            return self._plain(text)
+        return b"".join([np.array([self.added[x]], "<u4").tobytes() if x in self.added else self._plain(x)
+                         for x in self.by_added.split(text) if x])
+
+    def _plain(self, text: str) -> bytes:
+        return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+    def merge(self, name: str) -> list[int]:
         """Ids of a piece in the alphabet of the vocabulary, without any split."""
-        return [t.id for t in self.tokenizer.model.tokenize(text)]
+        return [t.id for t in self.tokenizer.model.tokenize(name)]
 
-    def tree(self, text: str, leaf: int = 512) -> list[int]:
-        if len(text) <= leaf:
-            return self.merge(text)
-        half = len(text) // 2
-        return self.join(self.tree(text[:half], leaf), self.tree(text[half:], leaf))
+    def pieces(self, text: str) -> list[str]:
+        if _ONE.fullmatch(text):
+            return [text]
+        return [text[start:end] for _, (start, end) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of one piece from those of its two parts."""
         width = 4
         while True:
             a, b = left[-width:], right[:width]
-            new = self.merge("".join([self.name[i] for i in a + b]))
+            new = self.merge("".join([self.name[i] for i in (*a.tolist(), *b.tolist())]))
             if ((width >= len(left) or new[0] == a[0])
                     and (width >= len(right) or new[-1] == b[-1])):
-                return left[:-width] + new + right[width:]
+                return np.concatenate([left[:max(0, len(left) - width)], np.array(new, "<u4"), right[width:]])
             width *= 2
 
-    def pieces(self, segment: str) -> bytes:
-        """A long segment: cut at added tokens, then by the split pattern, long pieces by halves."""
-        ids: list[int] = []
-        for part in self.by_added.split(segment) if self.by_added else [segment]:
-            if part in self.added:
-                ids.append(self.added[part])
-            elif part:
-                for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part):
-                    ids += self.tree(piece)
-        return np.array(ids, "<u4").tobytes()
+    def _place(self, text: str, at: int, back: bool) -> int:
+        """The next safe place before (or after) ``at``, no part of an added token; else an end of the text."""
+        step = 64
+        while 0 < at < len(text):
+            low, high = (max(0, at - step), at) if back else (at, min(len(text), at + step))
+            found = [m.start() for m in _SAFE.finditer(text, low, min(len(text), high + 1)) if low <= m.start() <= high]
+            for place in reversed(found) if back else found:
+                around = max(0, place - self.margin)
+                cut = self.by_added and any(around + m.start() < place < around + m.end() for m in self.by_added.finditer(
+                    text[around:place + self.margin], overlapped=True))
+                if 0 < place < len(text) and not cut:
+                    return place
+            at, step = (low, step * 2) if back else (high, step * 2)
+        return 0 if back else len(text)
+
+    def _tail(self, ids: np.ndarray, size: int) -> int:
+        """Number of tokens at the end that make up ``size`` bytes."""
+        return int(np.searchsorted(np.cumsum(self.length[ids[::-1]]), size)) + 1 if size else 0
 
     def join_texts(self, left: tuple[str, bytes], right: tuple[str, bytes]) -> tuple[str, bytes]:
         """Two neighbouring parts and their ids to those of the whole."""
         (a, a_ids), (b, b_ids) = left, right
-        whole, width = a + b, 64
-        if _APART.search(whole):
-            return whole, self.encode(whole)
-        while True:
-            starts = [m.start() for m in _START.finditer(a, max(0, len(a) - width))]
-            # A start directly at the join may belong to either side, so the window goes past it.
-            ends = [m.start() for m in _START.finditer(b, 0, width) if m.start() > 0]
-            at_start, at_end = width >= len(a), width >= len(b)
-            if (starts or at_start) and (ends or at_end):
-                i, k = (starts[0] if starts else 0), (ends[-1] if ends else len(b))
-                if at_start and not starts:
-                    i = 0
-                if not ends:
-                    k = len(b)
-                old_a, old_b = self.encode(a[i:]), self.encode(b[:k])
-                if a_ids.endswith(old_a) and b_ids.startswith(old_b):
-                    new = self.encode(a[i:] + b[:k])
-                    return whole, a_ids[:len(a_ids) - len(old_a)] + new + b_ids[len(old_b):]
-            if at_start and at_end:
-                return whole, self.encode(whole)
-            width *= 2
+        if not a or not b:
+            return a + b, a_ids + b_ids
+        i = self._place(a, max(0, len(a) - self.margin), True)
+        k = self._place(b, min(len(b), self.margin), False)
+        middle = a[i:] + b[:k]
+        if len(middle) > WINDOW and not (self.by_added and self.by_added.search(middle)):
+            joined = self._join_pieces(a[i:], b[:k], np.frombuffer(a_ids, "<u4"), np.frombuffer(b_ids, "<u4"))
+            if joined is not None:
+                return a + b, joined
+        old_a, old_b = self.encode(a[i:]), self.encode(b[:k])
+        return a + b, a_ids[:len(a_ids) - len(old_a)] + self.encode(middle) + b_ids[len(old_b):]
+
+    def _join_pieces(self, tail: str, head: str, a_ids: np.ndarray, b_ids: np.ndarray) -> bytes | None:
+        """Join where no safe place is near: the pieces of both sides that stay are left alone, and one
+        piece across the join is joined on tokens. None if the pieces change otherwise."""
+        a, b, whole = self.pieces(tail), self.pieces(head), self.pieces(tail + head)
+        same = 0
+        while same < min(len(a), len(whole)) and a[same] == whole[same]:
+            same += 1
+        a, whole, same = a[same:], whole[same:], 0
+        while same < min(len(b), len(whole)) and b[-1 - same] == whole[-1 - same]:
+            same += 1
+        b, whole = b[:len(b) - same], whole[:len(whole) - same]
+        if not a and not whole and not b:
+            return a_ids.tobytes() + b_ids.tobytes()
+        if not (len(a) == len(b) == len(whole) == 1 and a[0] + b[0] == whole[0]):
+            return None
+        left = self._tail(a_ids, len(a[0].encode()))
+        right = int(np.searchsorted(np.cumsum(self.length[b_ids]), len(b[0].encode()))) + 1
+        made = self.join(a_ids[len(a_ids) - left:], b_ids[:right])
+        return np.concatenate([a_ids[:len(a_ids) - left], made, b_ids[right:]]).astype("<u4").tobytes()
 
 
 def cut(text: str, leaf_chars: int) -> list[str]:
@@ -128,7 +190,6 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
         for batch in slices(batches):
             ids = [encoder.encode(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary())], ["_id", "ids"])
-        encoder.seen.clear()  # workers live on after the task
 
     def halves(batches):
         for batch in slices(batches, 16):
@@ -146,14 +207,12 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
             ids = [encoder.encode(t) for t in batch.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(ids, pa.binary())], ["_row", "_id", "leaf", "part", "ids"])
-        encoder.seen.clear()
 
     def whole(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")
         parts = list(zip(group.column("part").to_pylist(), group.column("ids").to_pylist(), strict=True))
         encoder = once(TreeEncoder, path)
         ids = concatenate(encoder, parts)
-        encoder.seen.clear()
         return pa.table({"_id": group.column("_id").slice(0, 1), "ids": pa.array([ids], pa.binary())})
 
     # The leaves of a text come out of one row of one task, so their number for the row is one.
@@ -165,10 +224,9 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
     return made.withColumnRenamed("_id", key)
 
 
-def _bytes_of_ids(path: str) -> list[bytes]:
+def _bytes_of_ids(tokenizer) -> list[bytes]:
     """Bytes of each id: the vocabulary writes them in a printable alphabet, in which the printable
     bytes stand for themselves and the others, in order, for the characters from U+0100 on."""
-    tokenizer = load(path)  # let go again: workers that only decode keep the bytes alone
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -177,14 +235,24 @@ def _bytes_of_ids(path: str) -> list[bytes]:
             for name in names]
 
 
+def _decoder(path: str) -> list[bytes]:
+    """Workers that only decode keep the bytes alone, not the tokenizer."""
+    return _bytes_of_ids(load(path))
+
+
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded``, the text of its ids; special tokens are kept as their strings."""
+    """``encoded`` with ``decoded``, the text of its ids; special tokens are kept as their strings.
+
+    Other columns stay as they are; one of the name ``decoded`` is replaced. NULL ids decode to NULL.
+    """
+    encoded = encoded.drop("decoded")
     at = encoded.columns.index(ids)
 
     def decoded(batches):
-        known = once(_bytes_of_ids, path)
+        known = once(_decoder, path)
         for batch in slices(batches):
-            texts = [b"".join(map(known.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace")
+            texts = [None if x is None else
+                     b"".join(map(known.__getitem__, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace")
                      for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              [*batch.schema.names, "decoded"])

@@ -346,6 +346,52 @@ def test_tree_concatenation_is_exact():
         assert encoder.encode(text) == library(BYTE, text)
 
 
+def test_joins_at_any_cut(monkeypatch):
+    """Added tokens across cuts, contractions, white space, other scripts; windows of any size."""
+    encoder, rng = tree_bpe.TreeEncoder(BYTE), random.Random(16)
+    pools = ["ab ", "the  \n\t", "é日👍 ", "0'sx.", "\x1c\x1f a", "aaaa", "''s'll", "<|endoftext|>", "<|endof", "text|>",
+             " \n ", "日本、語。", "\u0558ab", "12 3"]
+    for _ in range(600):
+        monkeypatch.setattr(tree_bpe, "WINDOW", rng.choice([1, 8, 4096]))
+        pool = rng.sample(pools, rng.randint(1, 5))
+        text = "".join(rng.choice(rng.choice(pool)) if rng.random() < 0.8 else rng.choice(pool) for _ in range(rng.choice([3, 50, 400])))
+        leaves = [(x, encoder.encode(x)) for x in tree_bpe.cut(text, rng.choice([2, 7, 20, 60]))]
+        assert tree_bpe.concatenate(encoder, leaves) == library(BYTE, text), text
+
+
+@pytest.mark.parametrize("letters", ["etaoinshr", "日本語文字中国", "!?#", "0123456789", " \n", "etaoin "])
+def test_long_unsplit_texts_are_joined_not_encoded_again(monkeypatch, letters):
+    encoder, rng = tree_bpe.TreeEncoder(BYTE), random.Random(3)
+    text = "".join(rng.choice(letters) for _ in range(400_000 if letters.isascii() else 100_000))
+    leaves = [(x, encoder.encode(x)) for x in tree_bpe.cut(text, tree_bpe.LEAF_CHARS)]
+    again = []
+    for name in ("encode", "merge"):
+        monkeypatch.setattr(encoder, name, functools.partial(lambda old, x: again.append(len(x)) or old(x), getattr(encoder, name)))
+    assert tree_bpe.concatenate(encoder, leaves) == library(BYTE, text)
+    assert sum(again) < 0.1 * len(text)
+
+
+def test_character_classes_are_those_of_the_library():
+    pieces = tree_bpe.TreeEncoder(BYTE).tokenizer.pre_tokenizer.pre_tokenize_str
+    pattern = {k: tree_bpe.regex.compile(f"[{v}]") for k, v in (
+        ("letter", tree_bpe.LETTERS), ("sign", tree_bpe.SIGNS), ("space", r"\p{White_Space}"))}
+    for c in (c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 7 == 0 or c > 0xFE00)):
+        kinds = [k for k, p in pattern.items() if p.match(chr(c))]
+        if kinds == ["letter"]:
+            assert len(pieces(f"a{chr(c)}b")) == 1, c
+        elif kinds == ["sign"]:
+            assert len(pieces(f"!{chr(c)}?")) == 1, c
+        elif len(pieces(f"a{chr(c)}b")) > 1 and len(pieces(f"1{chr(c)}2")) > 1 and len(pieces(f"!{chr(c)}?")) > 1:
+            assert kinds == ["space"], c
+        else:
+            assert kinds == [], c
+
+
+def test_a_vocabulary_of_another_kind_goes_through_the_library():
+    encoder = tree_bpe.TreeEncoder(WORD)
+    assert encoder.coder is None and encoder.encode("Some words, here") == library(WORD, "Some words, here")
+
+
 def test_word_encoder_is_exact():
     encoder, rng = tokenizing.Words(WORD), random.Random(7)
     for _ in range(300):
