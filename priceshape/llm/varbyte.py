@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceshape.llm.common import col, query, slices, table
-from priceshape.llm.tokenizing import Words, once
+from priceshape.llm.tokenizing import Words, load, once
 from priceshape.scratch import pin, scratch_path
 
 #: Ids after which a block is closed; a document is never split.
@@ -33,17 +33,22 @@ BLOCK_IDS = 65_536
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    n = len(values)
-    if not n:
+def pack(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit values: one stream, or consecutive ones of ``counts``
+    values, each with control bytes of its own."""
+    values = values.astype("<u4", copy=False)
+    if not len(values):
         return b"", b""
-    length = 1 + (values > 0xFF) + (values > 0xFFFF).astype(np.int64) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-n // 4) * 4, np.uint8)
-    codes[:n] = length - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) < length[:, None]
+    counts = np.array([len(values)]) if counts is None else np.asarray(counts, np.int64)
+    code = (values > 0xFF).astype(np.uint8)
+    code += values > 0xFFFF
+    code += values > 0xFFFFFF
+    padded = -(-counts // 4) * 4
+    codes = np.zeros(int(padded.sum()), np.uint8)
+    codes[np.arange(len(values)) + np.repeat(np.cumsum(padded - counts) - (padded - counts), counts)] = code
+    codes = codes.reshape(-1, 4)
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    used = np.arange(4, dtype=np.uint8) <= code[:, None]
     return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
@@ -68,40 +73,51 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str
     """Encode every whole text and write the file set.
 
     NULL and empty texts have the end id alone. Repeated keys stand next to each other in the order
-    of their ids, NULL keys first; rows that are equal in all of this are interchangeable. An empty
-    table gives a file set without rows. Other columns are left out.
+    of their ids, NULL keys first; rows that are equal in all of this are interchangeable and may stand
+    in several ranges. An empty table gives a file set without rows. Other columns are left out.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
+    schema = f"_id {kind}, crc long, ids binary, n int, tally binary"
+    known = max(load(path).get_vocab_size(), end_id + 1)
+    width = np.dtype("<u2" if known <= 1 << 16 else "<u4")  # of the ids on their way
 
     def encoded(batches):
+        """Rows with their ids, and at the end of a task one row with the frequencies of its ids."""
         encoder = once(Words, path)
+        total = np.zeros(known, np.int64)
         tail = np.array([end_id], "<u4").tobytes()
+        last = None
         for batch in slices(batches):
             ids = [encoder.encode(t) + tail for t in batch.column("_text").to_pylist()]
-            small = [_narrow(x) for x in ids]
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            total += np.bincount(flat, minlength=len(total))
+            size = np.array([len(x) // 4 for x in ids], np.int64)
+            stored = flat.astype(width).tobytes()
+            at = np.concatenate([[0], np.cumsum(size)]) * width.itemsize
+            narrow = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype("<i4").tobytes()), pa.py_buffer(stored)]) \
+                if at[-1] < 1 << 31 else pa.array([stored[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            last = batch.column("_id").slice(0, 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), narrow,
+                 pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.binary())], ["_id", "crc", "ids", "n", "tally"])
+        if last is not None:
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                 pa.array(small, pa.binary())], ["_id", "crc", "ids"])
+                [last, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()),
+                 pa.array([total.astype("<i8").tobytes()], pa.binary())], ["_id", "crc", "ids", "n", "tally"])
 
-    raw = f"{folder}/_encoded"
-    docs.select(col(key).alias("_id"), col(text).alias("_text")).mapInArrow(
-        encoded, f"_id {kind}, crc long, ids binary").write.option("compression", "zstd").parquet(raw)
-    rows = spark.read.schema(f"_id {kind}, crc long, ids binary").parquet(raw)
+    raw = pin(docs.select(col(key).alias("_id"), col(text).alias("_text")).mapInArrow(encoded, schema).withColumn(
+        "_n", F.monotonically_increasing_id()), "encoded")
 
-    def tallied(batches):
-        total = np.zeros(0, np.int64)
+    def found(batches):
         for batch in slices(batches):
             for x in batch.column(0).to_pylist():
-                part = np.bincount(_wide(x))
-                if len(part) > len(total):
-                    part, total = total, part
-                total[:len(part)] += part
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
+                n = np.frombuffer(x, "<i8")
+                ids = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n[ids])], ["id", "n"])
 
     # One row per id of the vocabulary at most: a bounded table.
-    counts = rows.select("ids").mapInArrow(tallied, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.where("tally IS NOT NULL").select("tally").mapInArrow(found, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]
     spark.createDataFrame(list(enumerate(ranked)), "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank = np.zeros(max(ranked, default=0) + 1, np.uint32)
@@ -111,44 +127,50 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str
         part, first = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
-        schema = None
 
         def closed():
             keys = pa.chunked_array([h[0] for h in held]).combine_chunks()
+            counts = np.concatenate([h[1] for h in held])
+            control, data = pack(rank[np.concatenate([h[2] for h in held])], counts)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([first], pa.int64()),
-                 pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([[h[1] for h in held]], pa.list_(pa.int64())),
-                 pa.array([b"".join([h[2] for h in held])], pa.binary()),
-                 pa.array([b"".join([h[3] for h in held])], pa.binary())],
+                 pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([counts], pa.list_(pa.int64())),
+                 pa.array([control], pa.binary()), pa.array([data], pa.binary())],
                 ["part", "first", "keys", "counts", "control", "data"])
 
         for batch in slices(batches):
-            for i, x in enumerate(batch.column("ids").to_pylist()):
-                ids = _wide(x)
-                held.append((batch.column("_id").slice(i, 1), len(ids), *pack(rank[ids])))
-                size += len(ids)
+            counts = batch.column("n").to_numpy().astype(np.int64)
+            ids = _flat(batch.column("ids"), width)
+            ends = np.cumsum(counts)
+            start = 0
+            while start < len(counts):
+                # Documents up to the one that fills the block.
+                before = int(ends[start - 1]) if start else 0
+                stop = min(int(np.searchsorted(ends, before + BLOCK_IDS - size)) + 1, len(counts))
+                held.append((batch.column("_id").slice(start, stop - start), counts[start:stop], ids[before:ends[stop - 1]]))
+                size += int(ends[stop - 1]) - before
+                start = stop
                 if size >= BLOCK_IDS:
                     yield closed()
                     first, size, held = first + size, 0, []
         if held:
             yield closed()
 
-    rows.repartitionByRange(F.asc_nulls_first("_id"), "crc").sortWithinPartitions(
-        F.asc_nulls_first("_id"), "crc", "ids").mapInArrow(blocks, _blocks_schema(kind)).write.parquet(f"{folder}/blocks")
+    raw.where("tally IS NULL").select("_id", "crc", "ids", "n", "_n").repartitionByRange(
+        F.asc_nulls_first("_id"), "crc", "_n").sortWithinPartitions(
+        F.asc_nulls_first("_id"), "crc", "ids").select("_id", "ids", "n").mapInArrow(
+        blocks, _blocks_schema(kind)).write.parquet(f"{folder}/blocks")
 
 
 def _blocks_schema(kind: str) -> str:
     return f"part int, first long, keys array<{kind}>, counts array<long>, control binary, data binary"
 
 
-def _narrow(ids: bytes) -> bytes:
-    """A mark and the ids in two bytes each, where they fit, else in four."""
-    x = np.frombuffer(ids, "<u4")
-    return b"\2" + x.astype("<u2").tobytes() if x.max(initial=0) < 1 << 16 else b"\4" + ids
-
-
-def _wide(stored: bytes) -> np.ndarray:
-    return np.frombuffer(stored, "<u2" if stored[:1] == b"\2" else "<u4", offset=1)
+def _flat(column: pa.Array, width: np.dtype) -> np.ndarray:
+    """All ids of a binary column, straight from its buffer."""
+    offsets = np.frombuffer(column.buffers()[1], "<i8" if pa.types.is_large_binary(column.type) else "<i4")
+    low, high = offsets[column.offset], offsets[column.offset + len(column)]
+    return np.frombuffer(column.buffers()[2], width, (high - low) // width.itemsize, low) if high > low else np.zeros(0, width)
 
 
 def read_ids(spark: SparkSession, folder: str, key: str = "doc_id", kind: str = "bigint",

@@ -415,6 +415,29 @@ def test_pack_round_trip():
     assert (whole == np.concatenate(parts)).all()
 
 
+def test_packed_streams_are_those_of_single_packs():
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 2 ** rng.integers(1, 33), n) for n in (3, 1, 0, 4, 9, 0, 1000, 2)]
+    control, data = varbyte.pack(np.concatenate(parts), np.array([len(p) for p in parts]))
+    single = [varbyte.pack(p) for p in parts]
+    assert (control, data) == (b"".join(p[0] for p in single), b"".join(p[1] for p in single))
+
+
+@pytest.mark.parametrize("block", [1, 50, 65_536])
+def test_id_files_of_repeated_rows_and_clashing_names(spark, path, monkeypatch, block):
+    """A third of the rows are one row; every block size gives the library's ids in key order."""
+    monkeypatch.setattr(varbyte, "BLOCK_IDS", block)
+    rows = [(7, "a common row", 1, 2, b"x")] * 200 + [(i, words(i, i % 30), 1, 2, b"x") for i in range(300)]
+    rows += [(None, None, 1, 2, b"x"), (3, "w" * 5000, 1, 2, b"x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n int, crc int, ids binary").repartition(6)
+    varbyte.write_ids(frame, path + "/ids", WORD)
+    got = sorted(varbyte.read_ids(spark, path + "/ids", keep_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()][:-1]
+    want = collections.Counter((r[0], library(WORD, r[1]) + b"\1\0\0\0") for r in rows)
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+
+
 def test_id_files(spark, docs, empty, path):
     varbyte.write_ids(docs, path + "/ids", WORD)
     rows = sorted(varbyte.read_ids(spark, path + "/ids").collect(), key=lambda r: r.start)
