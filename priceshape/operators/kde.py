@@ -4,10 +4,11 @@ Rows are not compared with grid points. They are first folded into cells half a
 keeping for each cell the sums of ``w * exp(-t*t/2) * t**k`` (t = distance from the cell centre in
 bandwidths, k < TERMS). Because ``exp(-(u-t)**2/2) = exp(-u*u/2) * exp(-t*t/2) * sum((u*t)**k/k!)``,
 these sums give the density of all rows of the cell at any grid point; with |t| <= 1/4 the terms left
-out are below double precision. The fold is one aggregation with map-side combine. A cell is kept
-only if a grid point lies within REACH bandwidths, so a group has at most about
-``grid_points * 4 * REACH`` cells however many rows it holds, and only these cells are brought
-together by group.
+out are below double precision. The fold is one aggregation with map-side combine. A cell goes to the
+grid points within NEAR bandwidths, so a group has at most about ``grid_points * 4 * NEAR`` cells
+however many rows it holds, and only these cells are brought together by group. What lies farther off
+adds less than 1e-13 of the density at a point that has a cell within CLOSE bandwidths; points that
+have none, in gaps and tails, are summed from the edges of the gaps (``tails.py``).
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceshape.operators.samples import Sample, expressions, heaviest_value, join_facts, named
+from priceshape.operators.tails import tail_density
+from priceshape.scratch import pin
 
 GRID_POINTS = 2048
 EXTEND = 3.0  # bandwidths of the grid beyond the least and the greatest value
 CELL = 0.5
-REACH = 8.75  # farther off a kernel is below 2.4e-17 of its peak and counts as 0
+NEAR = 8.75  # farther off a kernel is below 2.4e-17 of its peak
+CLOSE = 4.0
 TERMS = 16
 TIE = 1e-12  # relative difference from the peak up to which the first grid point is the mode
 TASKS_PER_CORE = 4
@@ -53,10 +57,11 @@ def grid_frame(
 
 
 def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
-    """keys, i, grid_x, density for every grid point within reach of some row."""
+    """keys, i, grid_x, density for every grid point with a cell within NEAR bandwidths; ``close`` where
+    one is within CLOSE."""
     keys = sample.keys
     centre = f"(base + _cell * (h * {CELL}D))"
-    reach = f"h * {REACH}D"
+    reach = f"h * {NEAR}D"
     first = f"cast(greatest(ceil(({centre} - low - {reach}) / step), 0) AS int)"
     last = f"cast(least(floor(({centre} - low + {reach}) / step), {grid_points - 1}) AS int)"
 
@@ -87,11 +92,12 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
                     f"explode(sequence({first}, {last})) AS i")
         .selectExpr(*keys, "h", "i", *terms, "low + i * step AS _grid_x",
                     "(low + i * step - _centre) / h AS _u")
-        .selectExpr(*keys, "i", "_grid_x", f"exp(-0.5D * _u * _u) * ({series}) / h AS _d")
+        .selectExpr(*keys, "i", "_grid_x", f"exp(-0.5D * _u * _u) * ({series}) / h AS _d", "_u")
         .groupBy(*keys, "i")
         .agg(
             F.first("_grid_x").alias("grid_x"),
             F.expr(f"sum(_d) / {math.sqrt(2 * math.pi)!r}D").alias("density"),
+            F.expr(f"bool_or(abs(_u) <= {CLOSE}D)").alias("close"),
         )
     )
 
@@ -131,29 +137,29 @@ def kde_mode(
 
 @named
 def kde_curve(
-    sample: Sample, table: DataFrame, *, grid_points: int = GRID_POINTS, extend: float = EXTEND
+    sample: Sample,
+    table: DataFrame,
+    *,
+    grid_points: int = GRID_POINTS,
+    extend: float = EXTEND,
+    logarithm: bool = False,
 ) -> DataFrame:
-    """keys, i, grid_x, density for all grid points of all groups.
+    """keys, i, grid_x, density for all grid points of all groups, with ``log_density`` if asked.
 
-    Values more than ``REACH`` bandwidths off count as 0, so the density is exactly 0 in wide gaps.
+    The density is accurate relative to itself at every point, unless rows near a point differ in
+    weight by more than a millionfold. Where it is below the least double, more than 38 bandwidths from
+    all rows, it is 0, and ``log_density`` goes on.
 
     A group with ``h <= 0`` has a grid from its least to its greatest value that is 0 everywhere
     but 1 at the point nearest the value of its first row of greatest weight.
     """
     keys = sample.keys
     points = f"explode(sequence(0, {grid_points - 1})) AS i"
-    columns = [*keys, "i", "grid_x", "density"]
+    columns = [*keys, "i", "grid_x", "density"] + ["log_density"] * logarithm
     frame = grid_frame(table, keys, grid_points, extend)
-    zeros = frame.selectExpr(*keys, "low", "step", points).selectExpr(
-        *keys, "i", "low + i * step AS grid_x", "0D AS density"
-    )
-    smooth = (
-        density(sample, frame, grid_points)
-        .select(columns)
-        .unionByName(zeros)
-        .groupBy(*keys, "i")
-        .agg(F.max("grid_x").alias("grid_x"), F.sum("density").alias("density"))
-    )
+    close = pin(density(sample, frame, grid_points).filter("close"), "density")
+    tails = tail_density(sample, frame, close.select(*keys, "i"), grid_points)
+    smooth = close.withColumn("log_density", F.ln("density")).select(columns).unionByName(tails.select(columns))
     flat_table = table.filter("h <= 0").selectExpr(
         *keys, "lo", f"(hi - lo) / {grid_points - 1} AS step"
     )
@@ -163,4 +169,4 @@ def kde_curve(
         .selectExpr(*keys, "lo", "step", f"{peak} AS _peak", points)
         .selectExpr(*keys, "i", "lo + i * step AS grid_x", "if(i = _peak, 1D, 0D) AS density")
     )
-    return smooth.select(columns).unionByName(flat)
+    return smooth.unionByName(flat.withColumn("log_density", F.ln("density")).select(columns))

@@ -449,3 +449,57 @@ def test_weights_of_very_different_size(spark):
     rows = spark.range(400).selectExpr("cast(id AS double) AS v", "if(id = 200, 1e20, 1D) AS w")
     got = quantiles(make_sample(rows, [], "v", "w"), {"m": 0.5, "z": 1.0}, task_rows=10).first()
     assert got["m"] == pytest.approx(199.5) and got["z"] == 399.0
+
+
+def log_density(x, w, h, points):
+    """Logarithm of the plain density, the greatest exponent taken out."""
+    out = []
+    for p in points:
+        e = -0.5 * ((p - x) / h) ** 2 + np.log(w / w.sum())
+        out.append(e.max() + np.log(np.exp(e - e.max()).sum()) - np.log(h * np.sqrt(2 * np.pi)))
+    return np.array(out)
+
+
+def test_tails_and_gaps_to_a_relative_tolerance(spark):
+    """From the edge of a cluster to a hundred thousand bandwidths from any row."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    groups = {
+        "clusters": (np.concatenate([rng.normal(0, 1, n), rng.normal(60, 3, n), [500.0, 500.0, 507.0, 1e5]]), 0.4),
+        "steps": (np.repeat(np.arange(5) * 9.0, 50) + rng.random(250) * 1e-3, 1.0),
+        "cauchy": (rng.standard_cauchy(n), 0.05),
+        "edge": (np.concatenate([-np.exp(-rng.uniform(0, 18, n)), [30.0, 39.0]]), 1.0),
+        "two": (np.array([0.0, 1e4]), 1.0),
+        "dense": (rng.random(n), 0.3),
+    }
+    weights = {k: np.exp(rng.uniform(-3, 3, len(x))) * (rng.random(len(x)) > 0.1) + (np.arange(len(x)) == 0)
+               for k, (x, _) in groups.items()}
+    weights["two"] = np.array([1.0, 7.0])
+    rows = rows_of(spark, {k: (x, weights[k]) for k, (x, _) in groups.items()})
+    sample = make_sample(rows, ["g"], "v", "w")
+    bandwidths = spark.createDataFrame([(k, h) for k, (_, h) in groups.items()], "g string, h double")
+    table = sample.facts.join(bandwidths, sample.facts[sample.keys[0]] == bandwidths["g"]).drop("g")
+    for grid in (64, 700):
+        curve = kde_curve(sample, table, grid_points=grid, logarithm=True).toPandas()
+        for key, (x, h) in groups.items():
+            part = curve[curve.g == key].sort_values("i")
+            w = weights[key]
+            points = np.linspace(x.min() - 3 * h, x.max() + 3 * h, grid)
+            want = log_density(x[w > 0], w[w > 0], h, points)
+            assert list(part.i) == list(range(grid))
+            # The grid points themselves carry rounding, which the exponent multiplies by the distance.
+            far = np.array([np.abs(p - x[w > 0]).min() / h for p in points])
+            room = 1e-9 + far * np.abs(points).max() / h * 1e-15
+            assert (np.abs(part.log_density.to_numpy() - want) <= room * (1 + far)).all(), key
+            seen = want > -700
+            assert np.allclose(part.density.to_numpy()[seen], np.exp(want[seen]), rtol=1e-6), key
+
+
+def test_curve_without_gaps_reads_no_tails(spark, monkeypatch):
+    from priceshape.operators import tails
+
+    labels = []
+    monkeypatch.setattr(tails, "pin", lambda df, label: (labels.append(label), pin(df, label))[1])
+    sample = make_sample(rows_of(spark, {"a": (np.random.default_rng(1).random(500), np.ones(500))}), ["g"], "v")
+    assert kde_curve(sample, sample.facts.withColumn("h", F.lit(0.3)), grid_points=50).count() == 50
+    assert labels == ["open"]

@@ -148,6 +148,24 @@ def curve_zero(spark, sf_dir):
     return rounded(found, ["grid_x"])
 
 
+@check("a13_kde_tails", f"""WITH f AS (SELECT o_orderpriority AS priority, min(o_totalprice) AS lo,
+      max(o_totalprice) AS hi, sum(o_custkey % 4) AS sw FROM orders GROUP BY ALL),
+    g AS (SELECT *, lo - 600 + i * ((hi + 600 - (lo - 600)) / 127) AS x FROM f, generate_series(0, 127) AS t(i)),
+    e AS (SELECT priority, i, -0.5 * ((x - o_totalprice) / 200) ** 2 + ln((o_custkey % 4) / sw) AS e
+      FROM g JOIN orders ON o_orderpriority = priority WHERE o_custkey % 4 > 0),
+    m AS (SELECT *, max(e) OVER (PARTITION BY priority, i) AS most FROM e)
+    SELECT priority, CAST(i AS INTEGER) AS i,
+      {r('any_value(most) + ln(sum(exp(e - most))) - ln(200 * sqrt(2 * pi()))', '1e3')} AS log_density
+    FROM m GROUP BY priority, i""")
+def tails(spark, sf_dir):
+    """Logarithms of densities whose grid points may be hundreds of bandwidths from all rows."""
+    orders = table(spark, sf_dir, "orders")
+    sample = make_sample(orders.withColumnRenamed("o_orderpriority", "priority"), ["priority"], "o_totalprice",
+                         F.expr("o_custkey % 4"))
+    found = kde_curve(sample, sample.facts.withColumn("h", F.lit(200.0)), grid_points=128, logarithm=True)
+    return rounded(found.select("priority", "i", "log_density"), ["log_density"], "1e3")
+
+
 @check("j7_grid_join", f"""{UNIT_SAMPLE}{stat_tables('event_type', grid=256)}
     SELECT event_type, CAST(i AS INTEGER) AS i, {r('d', '1e9')} AS density FROM dens""")
 def grid_join(spark, sf_dir):
