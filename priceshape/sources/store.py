@@ -1,23 +1,23 @@
 """Parquet store of the six tables.
 
-A store is a folder of immutable Parquet directories and a small ``CURRENT`` file that lists the
-directories of the present state. A change writes new directories first and replaces ``CURRENT``
-last, so readers see all of it or nothing and a lost executor or a failed job changes nothing.
-Observations are kept in directories per year and, below it, bucket of the series id: an append adds
-directories, an upsert or a delete rewrites only the buckets it touches. What a change wrote is checked
-before it is published. There is one writer at a time. The files are listed through the JVM, so a
-session of Spark Connect cannot open a store.
+Each table is a folder of Parquet files, the observations laid out by year and period. A change is
+written to scratch and checked there; then Spark replaces the parts it touches (dynamic partition
+overwrite), so an upsert rewrites the months it has rows of, and a job that fails leaves them as they
+were. Tables that others refer to are written first and rows that refer to others are deleted first,
+so no reader of an append, upsert or delete meets a broken reference. There is one writer at a time.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from priceshape.operators.dedup import last_wins, upsert
 from priceshape.operators.integrity import require_integrity
@@ -39,296 +39,186 @@ def with_defaults(table: DataFrame, name: str) -> DataFrame:
     return table.select(columns)
 
 
-#: Buckets of a year in a new store; the number stays with the store.
-BUCKETS = 8
-
-
-def bucket_of(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("series_id"), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def ordered_observations(df: DataFrame, buckets: int) -> DataFrame:
-    """Observations with their bucket, by year, bucket and key, cut into ranges; a repeated key fails
-    the job.
-
-    The shuffle that orders the rows also brings equal keys together, so the check needs no pass of
-    its own.
-    """
-    keys = ["year", "bucket", "series_id", "period"]
-    checked = """if(count(1) OVER (PARTITION BY year, bucket, series_id, period) > 1,
-        raise_error(concat('observation: repeated key ', series_id, ' ', year, ' ', period)),
-        series_id) AS series_id"""
-    columns = SCHEMAS["observation"].fieldNames()
-    others = [c for c in columns if c != "series_id"]
-    ranged = df.select(*columns, bucket_of(buckets)).repartitionByRange(*keys).selectExpr(
-        checked, *others, "bucket")
-    return ranged.sortWithinPartitions(*keys)
+#: Columns that the files of a table are laid out by. A table without natural parts is one part.
+PARTS = {"observation": ["year", "period"]}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.buckets = buckets
         self.root = root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._io = jvm.org.apache.commons.io.IOUtils
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(conf)
-
-    # The current directories: {table: [dir, ...]} and for observations {year: [dir, ...]}, each of
-    # which ends with its bucket.
-
-    def _nothing(self) -> dict:
-        return {"buckets": self.buckets, "tables": {}, "observation": {}}
-
-    def _manifest(self) -> dict:
-        pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(pointer):
-            return self._nothing()
-        stream = self._fs.open(pointer)
-        try:
-            return json.loads(self._io.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _publish(self, manifest: dict) -> None:
-        draft = self._path(f"{self.root}/CURRENT-{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps(manifest), "utf-8"))
-        stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
-        )
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context.rename(draft, self._path(f"{self.root}/CURRENT"), options)
-
-    def _write_table(self, name: str, df: DataFrame) -> str:
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        df.select(SCHEMAS[name].fieldNames()).write.parquet(path)
-        return path
-
-    def _folders(self, path: str, prefix: str) -> list[str]:
-        """Folders below ``path`` whose names begin with ``prefix``; none where there is no path."""
-        if not self._fs.exists(self._path(path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(path)) if s.isDirectory()]
-        return [f"{path}/{name}" for name in names if name.startswith(prefix)]
-
-    def _write_observations(self, df: DataFrame) -> dict[str, list[str]]:
-        """Write one directory per year and bucket; returns {year: [dir, ...]}."""
-        path = f"{self.root}/observation/batch={uuid.uuid4().hex}"
-        columns = [*SCHEMAS["observation"].fieldNames(), "bucket"]
-        df.select(columns).write.partitionBy("year", "bucket").parquet(path)
-        return {year.rpartition("year=")[2]: self._folders(year, "bucket=")
-                for year in self._folders(path, "year=")}
-
-    def _rewrite(self, manifest: dict, places: set[tuple[str, int]], rows: DataFrame) -> dict:
-        """The manifest with ``rows`` in place of all that stands in the given years and buckets."""
-        written = self._write_observations(rows.withColumn("bucket", bucket_of(manifest["buckets"])).hint(
-            "rebalance", F.col("year"), F.col("bucket")))
-        listed = {}
-        for year in sorted({*manifest["observation"], *written}):
-            kept = [p for p in manifest["observation"].get(year, []) if (year, _bucket(p)) not in places]
-            if kept or written.get(year):
-                listed[year] = [*kept, *written.get(year, [])]
-        return {**manifest, "observation": listed}
 
     # Reading
 
-    def exists(self) -> bool:
-        return bool(self._manifest()["tables"])
-
-    def _read_table(self, name: str, manifest: dict) -> DataFrame:
-        paths = manifest["tables"].get(name)
-        if not paths:
+    def _found(self, name: str) -> DataFrame | None:
+        try:
+            # A column the files lack reads as NULL.
+            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def _read(self, name: str) -> DataFrame:
+        found = self._found(name)
+        if found is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        # A column the files lack reads as NULL.
-        return with_defaults(self.spark.read.schema(SCHEMAS[name]).parquet(*paths), name)
-
-    def _read_observations(self, manifest: dict, places: set[tuple[str, int]] | None = None) -> DataFrame:
-        listed = manifest["observation"]
-        paths = [p for y in sorted(listed) for p in listed[y] if places is None or (y, _bucket(p)) in places]
-        schema = SCHEMAS["observation"]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema).option("basePath", f"{self.root}/observation")
-        return reader.parquet(*paths).select(schema.fieldNames())
-
-    def _tables(self, manifest: dict, observation: DataFrame | None = None) -> Tables:
-        dims = {n: self._read_table(n, manifest) for n in SCHEMAS if n != "observation"}
-        if observation is None:
-            observation = self._read_observations(manifest)
-        return Tables(**dims, observation=observation)
+        return with_defaults(found, name)
 
-    def read(self) -> Tables:
-        return self._tables(self._manifest())
+    def exists(self) -> bool:
+        return self._found("series") is not None
 
-    # Changing
+    def read(self) -> Tables:
+        return Tables(**{name: self._read(name) for name in SCHEMAS})
+
+    # Writing
+
+    def _write(self, name: str, df: DataFrame, mode: str = "overwrite") -> None:
+        """Write the parts that ``df`` has rows of; in place of what they held, or beside it."""
+        parts = PARTS.get(name, ["part"])
+        rows = df.select(SCHEMAS[name].fieldNames())
+        if parts == ["part"]:
+            rows = rows.withColumn("part", F.lit(0))
+        else:
+            rows = rows.hint("rebalance", *parts)
+        rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(f"{self.root}/{name}")
+
+    def _empty(self, name: str, places: list[tuple]) -> None:
+        """Leave the given parts without rows."""
+        parts = PARTS.get(name, ["part"])
+        none = self.spark.createDataFrame([], T.StructType([f for f in SCHEMAS[name].fields if f.name not in parts]))
+
+        def empty(place: tuple) -> None:
+            folder = "/".join(f"{c}={quote(str(v), safe='')}" for c, v in zip(parts, place, strict=True))
+            none.write.mode("overwrite").parquet(f"{self.root}/{name}/{folder}")
+
+        with ThreadPoolExecutor(8) as pool:
+            list(pool.map(empty, places))
+
+    def _places(self, name: str, df: DataFrame) -> set[tuple]:
+        """The parts that have rows: a month each, or the one part of a table."""
+        if name not in PARTS:
+            return set() if df.isEmpty() else {(0,)}
+        return {tuple(r) for r in df.select(*PARTS[name]).distinct().collect()}
+
+    def _replace(self, name: str, df: DataFrame, before: set[tuple]) -> None:
+        """``df`` in place of the parts ``before``; those it has no rows of end up without any."""
+        self._write(name, df)
+        self._empty(name, sorted(before - self._places(name, df)))
 
     def ensure_schema(self) -> None:
         """Create the tables that do not exist yet, empty."""
-        manifest = self._manifest()
-        missing = [n for n in SCHEMAS if n != "observation" and n not in manifest["tables"]]
-        for name in missing:
-            empty = self.spark.createDataFrame([], SCHEMAS[name])
-            manifest["tables"][name] = [self._write_table(name, empty)]
-        if missing:
-            self._publish(manifest)
-
-    def _write_dimensions(self, tables: dict[str, DataFrame]) -> dict[str, str]:
-        """Write tables side by side, as separate jobs of one application."""
-        with ThreadPoolExecutor(max_workers=len(tables)) as pool:
-            paths = pool.map(lambda item: self._write_table(*item), tables.items())
-            return dict(zip(tables, paths, strict=True))
+        for name in SCHEMAS:
+            if self._found(name) is None:
+                self._write(name, self.spark.createDataFrame([], SCHEMAS[name]), "append")
 
     def load(self, tables: Tables, *, truncate: bool = True) -> None:
         """Replace all tables, or append to them; a key that occurs twice is an error.
 
-        The incoming tables are read once: everything is written first and the checks read what was
-        written. A load that fails leaves unpublished directories, which ``vacuum`` deletes.
+        The incoming tables are read once; what was read is checked before anything of it is stored.
         """
-        before = self._nothing() if truncate else self._manifest()
-        dimensions = self._write_dimensions({n: t for n, t in tables.items() if n != "observation"})
-        added = {
-            "buckets": before["buckets"],
-            "tables": {name: [path] for name, path in dimensions.items()},
-            "observation": self._write_observations(
-                ordered_observations(tables.observation, before["buckets"])),
-        }
-        incoming = self._tables(added)
+        names = list(SCHEMAS)
+        with ThreadPoolExecutor(len(names)) as pool:  # small jobs side by side
+            incoming = dict(zip(names, pool.map(lambda n: _incoming(tables.get(n), n), names), strict=True))
+        none = {name: self.spark.createDataFrame([], SCHEMAS[name]) for name in names}
+        current = none if truncate else {name: self._read(name) for name in names}
         problems = []
-        for name in dimensions:
-            repeated = incoming.get(name).groupBy(*KEYS[name]).count().filter("count > 1")
-            problems.append(repeated.select(F.lit(f"{name}: a key occurs more than once").alias("p")))
-        if before["tables"]:
-            current = self._tables(before, self._read_observations(before, _places(added)))
-            for name, table in incoming.items():
-                clash = table.join(current.get(name), KEYS[name], "left_semi")
-                problems.append(
-                    clash.select(F.lit(f"{name}: keys to load are already in the store").alias("p"))
-                )
-        found = reduce(DataFrame.union, problems).limit(1).collect()
-        if found:
-            raise ValueError(found[0]["p"])
-        manifest = {"buckets": before["buckets"]}
-        for part in ("tables", "observation"):
-            manifest[part] = {
-                name: [*before[part].get(name, []), *added[part].get(name, [])]
-                for name in sorted({*before[part], *added[part]})
-            }
-        self._check_and_publish(manifest, incoming.observation)
-
-    def _upsert_dimensions(self, incoming: Tables, manifest: dict) -> dict:
-        merged = {
-            name: upsert(
-                self._read_table(name, manifest),
-                table.select(SCHEMAS[name].fieldNames()),
-                KEYS[name],
-            )
-            for name, table in incoming.items()
-            if name != "observation"
-        }
-        written = {name: [path] for name, path in self._write_dimensions(merged).items()}
-        return {**manifest, "tables": written}
-
-    def _upsert_buckets(self, incoming: DataFrame, manifest: dict) -> dict:
-        """Rewrite the years and buckets of a written table of unique observations."""
-        buckets = manifest["buckets"]
-        touched = incoming.select("year", bucket_of(buckets)).distinct().collect()
-        places = {(str(r["year"]), r["bucket"]) for r in touched}
-        if not places:
-            return manifest
-        existing = self._read_observations(manifest, places)
-        checked = ordered_observations(incoming, buckets).drop("bucket").select(existing.columns)
-        return self._rewrite(manifest, places, upsert(existing, checked, KEYS["observation"]))
-
-    def _check_and_publish(self, manifest: dict, observation: DataFrame) -> None:
-        """Publish unless a reference is broken. Only the given observations are looked at: no
-        change here takes series away from those that were there before."""
-        require_integrity(self._tables(manifest, observation))
-        self._publish(manifest)
+        for name, table in incoming.items():
+            problems.append(_repeated(table, name))
+            clash = table.join(current[name], KEYS[name], "left_semi")
+            problems.append(clash.select(F.lit(f"{name}: keys to load are already in the store").alias("p")))
+        _fail(problems)
+        parents = {name: incoming[name].unionByName(current[name]) for name in names if name != "observation"}
+        require_integrity(Tables(**parents, observation=incoming["observation"]))
+        for name in names:
+            if truncate:
+                self._replace(name, incoming[name], self._places(name, self._read(name)))
+            else:
+                self._write(name, incoming[name], "append")
+
+    def _merged(self, incoming: Tables) -> dict[str, DataFrame]:
+        """The dimension and series tables with the incoming rows, written once."""
+        names = [n for n in SCHEMAS if n != "observation"]
+        rows = {n: _incoming(incoming.get(n), n) for n in names}
+        _fail([_repeated(rows[n], n) for n in names])
+        return {n: pin(upsert(self._read(n), rows[n], KEYS[n]), n) for n in names}
+
+    def _store_merged(self, merged: dict[str, DataFrame]) -> None:
+        for name, table in merged.items():
+            self._write(name, table)
+
+    def _store_observations(self, incoming: DataFrame) -> None:
+        """Rewrite the months of a written table of observations, the incoming row winning."""
+        places = self._places("observation", incoming)
+        if places:
+            self._write("observation", upsert(_within(self._read("observation"), places), incoming, KEYS["observation"]))
 
     def sync_metadata(self, incoming: Tables) -> None:
         """Upsert the dimension and series tables; observations stay as they are."""
-        none = self.spark.createDataFrame([], SCHEMAS["observation"])
-        self._check_and_publish(self._upsert_dimensions(incoming, self._manifest()), none)
+        merged = self._merged(incoming)
+        require_integrity(Tables(**merged, observation=self.spark.createDataFrame([], SCHEMAS["observation"])))
+        self._store_merged(merged)
 
     def upsert_observations(self, incoming: DataFrame, order: list[str] | None = None) -> None:
         """Insert or replace observations; of repeated keys the last in ``order`` counts."""
-        incoming = _storable(incoming, order)
-        self._check_and_publish(self._upsert_buckets(incoming, self._manifest()), incoming)
+        incoming = _incoming(incoming, "observation", order)
+        _fail([_repeated(incoming, "observation")])
+        require_integrity(replace(self.read(), observation=incoming))
+        self._store_observations(incoming)
 
     def merge(self, incoming: Tables) -> None:
-        """Upsert everything in one step, visible at once."""
-        observation = _storable(incoming.observation, None)
-        manifest = self._upsert_dimensions(incoming, self._manifest())
-        self._check_and_publish(self._upsert_buckets(observation, manifest), observation)
+        """Upsert everything; what observations refer to is stored before them."""
+        observation, merged = _incoming(incoming.observation, "observation"), self._merged(incoming)
+        _fail([_repeated(observation, "observation")])
+        require_integrity(Tables(**merged, observation=observation))
+        self._store_merged(merged)
+        self._store_observations(observation)
 
     def delete(self, series: DataFrame) -> None:
-        """Delete the given series and, with them, their observations, visible at once."""
-        manifest = self._manifest()
+        """Delete the given series and, before them, their observations."""
         ids = pin(series.select("series_id").distinct(), "deleted")
-        hit = {r["bucket"] for r in ids.select(bucket_of(manifest["buckets"])).distinct().collect()}
-        places = {(year, bucket) for year, bucket in _places(manifest) if bucket in hit}
-        if not hit:
-            return
-        kept = delete_series(self._tables(manifest, self._read_observations(manifest, places)), ids)
-        path = self._write_table("series", kept.series)
-        changed = {**manifest, "tables": {**manifest["tables"], "series": [path]}}
-        self._publish(self._rewrite(changed, places, kept.observation))
-
-    def compact(self) -> None:
-        """One directory for every table and bucket that appends have spread over several."""
-        manifest = self._manifest()
-        tables = {name: [self._write_table(name, self._read_table(name, manifest))] if len(paths) > 1 else paths
-                  for name, paths in manifest["tables"].items()}
-        places = set()
-        for year, paths in manifest["observation"].items():
-            found = [_bucket(p) for p in paths]
-            places |= {(year, b) for b in found if found.count(b) > 1}
-        changed = {**manifest, "tables": tables}
+        tables = self.read()
+        places = self._places("observation", tables.observation.join(ids, "series_id", "left_semi"))
+        kept = delete_series(replace(tables, observation=_within(tables.observation, places)), ids)
         if places:
-            changed = self._rewrite(changed, places, self._read_observations(manifest, places))
-        if changed != manifest:
-            self._publish(changed)
+            self._replace("observation", pin(kept.observation, "kept"), places)
+        self._replace("series", pin(kept.series, "kept"), self._places("series", tables.series))
 
-    def vacuum(self) -> None:
-        """Remove the directories of the store that the present state does not name.
 
-        Readers that took an earlier state lose their files, and so would a change that is being
-        written: call it when neither is there.
-        """
-        manifest = self._manifest()
-        kept = {p for part in ("tables", "observation") for paths in manifest[part].values() for p in paths}
-        for name in SCHEMAS:
-            for batch in self._folders(f"{self.root}/{name}", ""):
-                parts = [p for year in self._folders(batch, "year=") for p in self._folders(year, "bucket=")]
-                if batch in kept or kept.issuperset(parts) and parts:
-                    continue
-                for path in [p for p in parts if p not in kept] if kept.intersection(parts) else [batch]:
-                    self._fs.delete(self._path(path), True)
+def _within(observations: DataFrame, places: set[tuple]) -> DataFrame:
+    """The observations of some months, by a condition that prunes the files."""
+    years: dict[int, list[str]] = {}
+    for year, period in sorted(places):
+        years.setdefault(year, []).append(period)
+    wanted = F.lit(False)
+    for year, periods in years.items():
+        wanted = wanted | ((F.col("year") == year) & F.col("period").isin(periods))
+    return observations.filter(wanted)
 
 
-def _bucket(path: str) -> int:
-    return int(path.rpartition("bucket=")[2])
+def _repeated(table: DataFrame, name: str) -> DataFrame:
+    found = table.groupBy(*KEYS[name]).count().filter("count > 1")
+    return found.select(F.lit(f"{name}: a key occurs more than once").alias("p"))
 
 
-def _places(manifest: dict) -> set[tuple[str, int]]:
-    return {(year, _bucket(p)) for year, paths in manifest["observation"].items() for p in paths}
+def _fail(problems: list[DataFrame]) -> None:
+    found = reduce(DataFrame.union, problems).limit(1).collect()
+    if found:
+        raise ValueError(found[0]["p"])
 
 
-def _storable(observations: DataFrame, order: list[str] | None) -> DataFrame:
-    """Incoming observations as they are stored, written once because they are read several times."""
-    columns = SCHEMAS["observation"].fieldNames()
+def _incoming(rows: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
+    """Rows as they are stored, written once because they are read several times; of repeated keys the
+    last in ``order``."""
+    columns = SCHEMAS[name].fieldNames()
     if order:
-        observations = last_wins(
-            observations.select(*columns, *order), KEYS["observation"], order
-        )
-    footnotes = F.when(F.size("footnotes") > 0, F.col("footnotes"))
-    return pin(observations.select(columns).withColumn("footnotes", footnotes), "incoming")
+        rows = last_wins(rows.select(*columns, *order), KEYS[name], order)
+    rows = rows.select(columns)
+    if name == "observation":
+        rows = rows.withColumns({
+            "footnotes": F.when(F.size("footnotes") > 0, F.col("footnotes")),
+            "period": F.expr("if(year IS NULL OR coalesce(period, '') = '', raise_error('observation without a month'), period)")})
+    return pin(rows, "incoming")
 
 
 def delete_series(tables: Tables, series: DataFrame) -> Tables:

@@ -141,27 +141,37 @@ def test_store_round_trip_and_truncate(spark, tables, path):
         store.load(tables, truncate=False)
 
 
-def test_append_adds_directories(spark, tables, path):
+def parts_of(path):
+    """Modification times of the written files, by their folder below the table."""
+    root = pathlib.Path(f"{path}/store/observation")
+    return {str(p.parent.relative_to(root)): p.name for p in root.glob("year=*/period=*/part-*")}
+
+
+def test_append_adds_files(spark, tables, path):
     store = Store(spark, f"{path}/store")
     store.load(tables)
-    before = store._manifest()
+    before = parts_of(path)
     none = {n: t.filter(F.lit(False)) for n, t in tables.items()}
     more = replace(tables, **{**none, "observation": frame(
         spark, "observation", [("S000", 2021, "M02", "7", None)])})
     store.load(more, truncate=False)
-    after = store._manifest()
-    assert after["observation"]["2021"][0] == before["observation"]["2021"][0]
-    assert len(after["observation"]["2021"]) == 2
+    after = parts_of(path)
+    assert set(after) - set(before) == {"year=2021/period=M02"}
+    assert {k: after[k] for k in before} == before
     assert len(values(store.read().observation)) == 4
 
 
 def test_repeated_keys_and_broken_references_fail_and_change_nothing(spark, tables, path):
     store = Store(spark, f"{path}/store")
     store.load(tables)
-    kept = store._manifest()
+    kept = parts_of(path)
     doubled = replace(tables, observation=tables.observation.union(tables.observation))
-    with pytest.raises(Exception, match="repeated key"):
+    with pytest.raises(ValueError, match="more than once"):
         store.load(doubled)
+    with pytest.raises(ValueError, match="more than once"):
+        store.upsert_observations(doubled.observation)
+    with pytest.raises(Exception, match="without a month"):
+        store.upsert_observations(tables.observation.withColumn("period", F.lit("")))
     with pytest.raises(ValueError, match="more than once"):
         store.load(replace(tables, area=tables.area.union(tables.area)))
     stray = frame(spark, "observation", [("NONE", 2020, "M01", "1", None)])
@@ -169,14 +179,14 @@ def test_repeated_keys_and_broken_references_fail_and_change_nothing(spark, tabl
         store.load(replace(tables, observation=stray))
     with pytest.raises(ValueError, match="missing parents"):
         store.upsert_observations(stray)
-    assert store._manifest() == kept
+    assert parts_of(path) == kept
     assert values(store.read().observation) == values(tables.observation)
 
 
-def test_upsert_rewrites_only_touched_years(spark, tables, path):
+def test_upsert_rewrites_only_touched_months(spark, tables, path):
     store = Store(spark, f"{path}/store")
     store.load(tables)
-    before = store._manifest()["observation"]
+    before = parts_of(path)
     change = frame(spark, "observation", [("S000", 2021, "M01", "9", []),
                                           ("S000", 2021, "M03", "4", ["P"])])
     for _ in range(2):  # repeating an upsert changes nothing
@@ -187,27 +197,27 @@ def test_upsert_rewrites_only_touched_years(spark, tables, path):
             ("S000", 2021, "M01"): (9.0, ()),
             ("S000", 2021, "M03"): (4.0, ("P",)),
         }
-    after = store._manifest()["observation"]
-    assert after["2020"] == before["2020"] and after["2021"] != before["2021"]
+    after = parts_of(path)
+    changed = {k for k in after if after[k] != before.get(k)}
+    assert changed == {"year=2021/period=M01", "year=2021/period=M03"}
     assert store.read().observation.filter("year = 2021 AND period = 'M01'").first()[
         "footnotes"] is None
     store.upsert_observations(change.filter(F.lit(False)))
-    assert store._manifest()["observation"] == after
-
-
-def test_upsert_leaves_other_buckets_alone(spark, tables, path):
-    ids = [f"S{i:03d}" for i in range(40)]
-    many = make_tables(spark, [series_row(i, "AA0") for i in ids], [("AA0", "Item", 0, True, 1)],
-                       [(i, 2020, "M01", "1", None) for i in ids])
-    store = Store(spark, f"{path}/store", buckets=4)
-    store.load(many)
-    before = store._manifest()["observation"]["2020"]
-    assert len(before) == 4
-    store.upsert_observations(frame(spark, "observation", [("S007", 2020, "M01", "9", None)]))
-    after = Store(spark, f"{path}/store")._manifest()  # the number of buckets stays with the store
-    assert after["buckets"] == 4 and len(set(before) & set(after["observation"]["2020"])) == 3
-    found = values(store.read().observation)
-    assert len(found) == 40 and found["S007", 2020, "M01"] == (9.0, ())
+    assert parts_of(path) == after
+
+
+def test_a_replaced_store_has_nothing_left_of_the_old_one(spark, tables, path):
+    store = Store(spark, f"{path}/store")
+    store.load(tables)
+    other = make_tables(spark, [series_row("S7", "BB")], [("BB", "Other", 1, True, 1)],
+                        [("S7", 2020, "M02", "8", None), ("S7", 2030, "M01", "9", None)])
+    none = {n: t.filter(F.lit(False)) for n, t in tables.items()}
+    store.load(replace(other, footnote=none["footnote"]))
+    left = store.read()
+    assert values(left.observation) == {("S7", 2020, "M02"): (8.0, ()), ("S7", 2030, "M01"): (9.0, ())}
+    assert left.footnote.count() == 0 and [r["item_code"] for r in left.item.collect()] == ["BB"]
+    plan = left.observation.filter("year = 2030").select("*")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
 
 
 def test_load_reads_its_source_once(spark, tables, path):
@@ -229,34 +239,21 @@ def test_load_reads_its_source_once(spark, tables, path):
         assert seen.value - before == n
 
 
-def test_delete_cascades_and_compact_and_vacuum_keep_the_rows(spark, path):
+def test_delete_cascades(spark, path):
     ids = [f"S{i:03d}" for i in range(12)]
     full = make_tables(spark, [series_row(i, "AA0") for i in ids], [("AA0", "Item", 0, True, 1)],
-                       [(i, y, "M01", "1", None) for i in ids for y in (2020, 2021)])
-    store = Store(spark, f"{path}/store", buckets=2)
+                       [(i, y, "M01", "1", None) for i in ids for y in (2020, 2021)]
+                       + [("S001", 2022, "M05", "3", None)])
+    store = Store(spark, f"{path}/store")
     store.load(full)
-    none = {n: t.filter(F.lit(False)) for n, t in full.items()}
-    store.load(replace(full, **{**none, "observation": frame(
-        spark, "observation", [(i, 2021, "M02", "2", None) for i in ids])}), truncate=False)
-    assert len(store._manifest()["observation"]["2021"]) == 4
     wanted = values(store.read().observation)
-    store.compact()
-    listed = store._manifest()
-    assert all(len(p) == 2 for p in listed["observation"].values())
-    assert all(len(p) == 1 for p in listed["tables"].values())
-    assert values(store.read().observation) == wanted and len(wanted) == 36
-    store.compact()
-    assert store._manifest() == listed
-    gone = store.read().series.filter("series_id < 'S006'")
-    store.delete(gone)
-    store.vacuum()
+    before = parts_of(path)
+    store.delete(store.read().series.filter("series_id = 'none'"))
+    assert parts_of(path) == before
+    store.delete(store.read().series.filter("series_id < 'S006'"))
     left = store.read()
     assert {r["series_id"] for r in left.series.collect()} == set(ids[6:])
     assert values(left.observation) == {k: v for k, v in wanted.items() if k[0] >= "S006"}
-    folders = {str(p) for p in pathlib.Path(f"{path}/store/observation").glob("batch=*/year=*/bucket=*")}
-    assert folders == {p for paths in store._manifest()["observation"].values() for p in paths}
-    store.delete(left.series.filter("series_id = 'none'"))
-    assert values(store.read().observation) == values(left.observation)
     store.delete(left.series)
     assert store.read().observation.count() == 0 and store.read().series.count() == 0
 

@@ -42,27 +42,40 @@ def growth_components_locked(spark, sf_dir):
     return rounded(found, ["value"])
 
 
+def with_examples_sql(source: str, label: str) -> str:
+    """Statistics of every label with its most extreme components as text."""
+    return f""", best AS (SELECT label, string_agg(concat_ws('|', series_id, item_code, item_name, series_title,
+          printf('%.4f', x), printf('%.2f%%', x * 100)), ',' ORDER BY rank) AS examples FROM (
+        SELECT *, {label} AS label, row_number() OVER (
+          PARTITION BY {label} ORDER BY abs(x) DESC, series_id) AS rank
+        FROM {source}) WHERE rank <= 5 GROUP BY label)
+    SELECT label, n AS count, {stat_select()}, examples FROM stat JOIN best USING (label)"""
+
+
+def with_examples(groups):
+    return rounded(groups.withColumn("examples", F.expr("""array_join(transform(examples, e -> concat_ws('|',
+        e.series_id, e.item_code, e.item_name, e.series_title, format_string('%.4f', e.yoy), e.yoy_percent)), ',')""")),
+        STAT_COLUMNS)
+
+
+LEVEL = "CAST(display_level AS VARCHAR)"
+
+
 @check("g2_group_summary", growth_sql(
-    sample("latest_growth WHERE selectable", "CAST(display_level AS VARCHAR) AS label")
-    + stat_tables("label", order="o")
-    + f""", best AS (SELECT label, string_agg(series_id, ',' ORDER BY rank) AS examples FROM (
-        SELECT CAST(display_level AS VARCHAR) AS label, series_id, row_number() OVER (
-          PARTITION BY display_level ORDER BY abs(x) DESC, series_id) AS rank
-        FROM latest_growth WHERE selectable) WHERE rank <= 5 GROUP BY label)
-    SELECT label, n AS count, {stat_select()}, examples FROM stat JOIN best USING (label)"""))
+    sample("latest_growth WHERE selectable", f"{LEVEL} AS label")
+    + stat_tables("label", order="o") + with_examples_sql("latest_growth WHERE selectable", LEVEL)))
 def group_summary(spark, sf_dir):
-    found = reports.group_summary(growth.growth_components(prices(spark, sf_dir)))
-    return rounded(
-        found.withColumn("examples", F.expr("array_join(examples.series_id, ',')")), STAT_COLUMNS)
+    return with_examples(reports.group_summary(growth.growth_components(prices(spark, sf_dir))))
 
 
 @check("g3_compute_groups", growth_sql(
     sample("growth WHERE selectable AND year = 2000 AND period = 'M06'",
            "length(item_code) || ' chars' AS label")
-    + stat_tables("label") + f" SELECT label, n AS count, {stat_select()} FROM stat"))
+    + stat_tables("label") + with_examples_sql(
+        "growth WHERE selectable AND year = 2000 AND period = 'M06'", "length(item_code) || ' chars'")))
 def compute_groups(spark, sf_dir):
     report = reports.compute(prices(spark, sf_dir), date="2000-06", group_by="item-code-length")
-    return rounded(report.groups.drop("examples"), STAT_COLUMNS)
+    return with_examples(report.groups)
 
 
 @check("g3_compute_header", growth_sql("""SELECT (SELECT year || '-' || substr(period, 2)
@@ -145,10 +158,9 @@ _ANALYSIS = growth_sql(
 
 
 @check("g7_analyze_summaries",
-       _ANALYSIS + f" SELECT label, n AS count, {stat_select()} FROM stat")
+       _ANALYSIS + with_examples_sql("latest_growth WHERE selectable", LEVEL))
 def analyze_summaries(spark, sf_dir):
-    summaries = reports.analyze(prices(spark, sf_dir)).summaries.drop("examples")
-    return rounded(summaries, STAT_COLUMNS)
+    return with_examples(reports.analyze(prices(spark, sf_dir)).summaries)
 
 
 @check("g7_analyze_limits", growth_sql(""", q AS (SELECT CAST(display_level AS VARCHAR) AS label,
@@ -190,12 +202,14 @@ def analyze_curves(spark, sf_dir):
     b AS (SELECT display_level, least(CAST(floor((x - lo) / (hi - lo) * 30) AS INTEGER), 29) AS bin,
       count(*) AS c FROM latest_growth JOIN f USING (display_level) WHERE selectable GROUP BY ALL)
     SELECT CAST(g.display_level AS VARCHAR) AS label, CAST(i AS INTEGER) AS bin,
+      floor((lo + i * ((hi - lo) / 30)) * 1e6 + 0.5) / 1e6 AS bin_low,
+      floor((lo + (i + 1) * ((hi - lo) / 30)) * 1e6 + 0.5) / 1e6 AS bin_high,
       floor(coalesce(c, 0) / n * 1e9 + 0.5) / 1e9 AS weight
     FROM (SELECT * FROM f, generate_series(0, 29) AS t(i)) AS g LEFT JOIN b
       ON b.display_level = g.display_level AND b.bin = g.i"""))
 def analyze_histograms(spark, sf_dir):
     bins = reports.analyze(prices(spark, sf_dir)).histograms
-    return rounded(bins.select("label", "bin", "weight"), ["weight"], "1e9")
+    return rounded(rounded(bins, ["bin_low", "bin_high"]), ["weight"], "1e9")
 
 
 @check("g8_series_view", price_sql(VIEW_SQL + " WHERE display_level = 1 AND selectable"))

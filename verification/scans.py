@@ -277,24 +277,30 @@ def parquet_export(spark, sf_dir):
 
 @check(
     "k1_ensure_schema",
-    price_sql("""SELECT item_code, item_name, 0 AS display_level, false AS selectable,
-      0 AS sort_sequence FROM item"""),
+    price_sql("""SELECT item_code, item_name, 0 AS display_level, false AS selectable, 0 AS sort_sequence,
+      0 AS other_rows, 'series_id,year,period,value,footnotes' AS observation_columns FROM item"""),
 )
-def older_item_table(spark, sf_dir):
-    return with_defaults(prices(spark, sf_dir).item.select("item_code", "item_name"), "item")
-
-
-VOLUMES = """SELECT 'series' AS table, count(*) AS rows FROM series
-  UNION ALL SELECT 'observation', count(*) FROM observation
-  UNION ALL SELECT 'area', count(*) FROM area UNION ALL SELECT 'item', count(*) FROM item"""
+def older_store(spark, sf_dir):
+    """A store whose item table lacks columns, and which has no other tables yet."""
+    target = Store(spark, scratch_path(spark, "store"))
+    prices(spark, sf_dir).item.select("item_code", "item_name").write.parquet(f"{target.root}/item")
+    for _ in range(2):
+        target.ensure_schema()
+    tables = target.read()
+    others = sum(table.count() for name, table in tables.items() if name != "item")
+    return tables.item.withColumns({
+        "other_rows": F.lit(others), "observation_columns": F.lit(",".join(tables.observation.columns))})
 
 
-@check("k2_full_load", price_sql(VOLUMES))
+@check("k2_full_load", SNAPSHOT)
 def full_load(spark, sf_dir):
-    fresh = Store(spark, scratch_path(spark, "store"))
-    fresh.load(prices(spark, sf_dir))
-    fresh.load(prices(spark, sf_dir))
-    return reports.volume_summary(fresh.read())
+    """The second load replaces all of the first, months that it does not have included."""
+    tables = prices(spark, sf_dir)
+    target = Store(spark, scratch_path(spark, "store"))
+    other = tables.observation.selectExpr("* EXCEPT (year, value)", "year + 9 AS year", "cast(1 AS decimal(18,6)) AS value")
+    target.load(replace(tables, observation=other.unionByName(tables.observation.filter("year < 1995"))))
+    target.load(tables)
+    return _snapshot_rows(target.read())
 
 
 @check("k3_append_load", price_sql(FLAT_OBSERVATION))
@@ -505,17 +511,14 @@ def delete_cascade(spark, sf_dir):
               + " WHERE base_code <> 'A'"),
 )
 def store_delete(spark, sf_dir):
-    """Observations left after a published delete, in a store that was loaded in two parts, compacted and
-    vacuumed."""
+    """Observations left after a delete, in a store that was loaded in two parts."""
     tables = prices(spark, sf_dir)
     target = Store(spark, scratch_path(spark, "store"))
     early = tables.observation.filter("period < 'M06'")
     target.load(replace(tables, observation=early))
     none = {name: t.limit(0) for name, t in tables.items() if name != "observation"}
     target.load(replace(tables, **none, observation=tables.observation.filter("period >= 'M06'")), truncate=False)
-    target.compact()
     target.delete(tables.series.filter("base_code = 'A'"))
-    target.vacuum()
     return flat_observations(target.read().observation)
 
 
@@ -570,11 +573,12 @@ def first_wins_rows(spark, sf_dir):
     return dedup.first_wins(rows, ["user_id", "event_type"], ["event_id"])
 
 
-@check("g9_fetch_dataset", price_sql(VOLUMES))
+@check("g9_fetch_dataset", price_sql(f"""SELECT series_id, series_title, item_name, display_level, selectable,
+    year, period, value, footnotes FROM ({FIRST_FILE}) JOIN series USING (series_id) JOIN item USING (item_code)"""))
 def fetch_dataset(spark, sf_dir):
     folder, output = flat_folder(spark, sf_dir), scratch_path(spark, "snapshot")
-    jobs.fetch_dataset(spark, folder, output)
-    return reports.volume_summary(snapshot.read_snapshot(spark, output))
+    jobs.fetch_dataset(spark, folder, output, document=True)
+    return _snapshot_rows(jobs.load_tables(spark, "document", output))
 
 
 @check("g10_load_full", price_sql(FIRST_FILE))
@@ -604,9 +608,9 @@ def sync_metadata_job(spark, sf_dir):
     return target.read().series
 
 
-@check("g13_ensure_schema", price_sql(VOLUMES))
+@check("g13_ensure_schema", SNAPSHOT)
 def ensure_schema_job(spark, sf_dir):
     target = jobs.ensure_schema(spark, scratch_path(spark, "store"))
     target.merge(prices(spark, sf_dir))
     target.ensure_schema()
-    return reports.volume_summary(target.read())
+    return _snapshot_rows(target.read())
