@@ -184,31 +184,27 @@ def _mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
         "source_size", "target", taken.alias("taken"), per_shard.alias("shard_words"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 4, key: str = "doc_id", **mix) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns.
+def mixed_documents(docs: DataFrame, seed: int = 4, key: str = "doc_id", text: str = "text",
+                    source: str = "source", **mix) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, of any names.
 
     Whole documents only: the part of a last copy is rounded up with the probability of that part,
     by a seeded hash of key, text and place in the source's line. Each row has its own count, whatever
-    other rows share its key. Documents without words are in no mix.
+    other rows share its key. Documents without words are in no mix; an empty table stays empty.
     """
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = {c: f"c{names.index(c)}" for c in (key, text, source)}
     # The number is given once, when the table is written.
-    numbered = pin(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    chosen = _mix(numbered, seed=seed, key=key, carry=[row], **mix)
+    numbered = pin(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    chosen = _mix(numbered, seed=seed, key=at[key], text=at[text], source=at[source], carry=["_row"], **mix)
     draw = F.expr("shiftrightunsigned(_draw, 11) / 9007199254740992D")
     copies = chosen.where("taken > 0").select(
-        row, "_size", "taken", F.xxhash64(F.lit(seed + 1), "_order", "_from").alias("_draw"),
-    ).select(row, (F.expr("taken div _size") + (draw < F.expr("(taken % _size) / _size")).cast("int"))
+        "_row", "_size", "taken", F.xxhash64(F.lit(seed + 1), "_order", "_from").alias("_draw"),
+    ).select("_row", (F.expr("taken div _size") + (draw < F.expr("(taken % _size) / _size")).cast("int"))
              .cast("int").alias("_copies")).where("_copies > 0")
-    joined = numbered.join(copies.withColumnRenamed(row, "_taken_row"), col(row) == F.col("_taken_row"))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
-        *[numbered[col_name(c)] for c in docs.columns])
-
-
-def col_name(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return numbered.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
+        plain.columns).toDF(*names)
 
 
 @query("op4_sainte_lague_mix")
