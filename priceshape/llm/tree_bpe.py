@@ -246,7 +246,8 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
     Other columns stay as they are; one of the name ``decoded`` is replaced. NULL ids decode to NULL.
     """
     encoded = encoded.drop("decoded")
-    at = encoded.columns.index(ids)
+    at, names = encoded.columns.index(ids), encoded.columns
+    plain = encoded.toDF(*[f"c{i}" for i in range(len(names))])
 
     def decoded(batches):
         known = once(_decoder, path)
@@ -257,8 +258,8 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(decoded, ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields) + ", decoded string")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields]
+    return plain.mapInArrow(decoded, ", ".join([*kinds, "decoded string"])).toDF(*names, "decoded")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
