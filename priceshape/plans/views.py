@@ -64,8 +64,9 @@ def national_slice(tables: Tables, area_code: str = "0000") -> DataFrame:
 
 def right_tail(tables: Tables, month: str, k: int = 15) -> DataFrame:
     """The k largest growth rates of a month in the national slice, against the 12th row before."""
-    _, _, first = parse_month(month)
-    growth = lagged_growth(national_slice(tables))
+    year, _, first = parse_month(month)
+    # Later years cannot be among the twelve rows before; whole parts of the store stay unread.
+    growth = lagged_growth(national_slice(tables).filter(F.col("year") <= year))
     dims = tables.series.select("series_id", "item_code").join(tables.item, "item_code")
     in_month = growth.filter(month_date(F.col("year"), F.col("period")) == F.lit(first))
     return (
