@@ -11,11 +11,11 @@ from priceshape.operators.samples import Sample, expressions, join_facts, named
 def moments(sample: Sample, fisher: bool = True) -> DataFrame:
     """keys + mean, variance, std, skewness, kurtosis, ess; one row per group.
 
-    Weighted samples take a second pass of centred sums, which raw power sums would lose to
-    cancellation. A group whose positive-weight values are all equal has zero variance.
+    The facts of the sample have the moments already: Spark's own aggregates with unit weights, merged
+    centred sums with others. Only groups of arrays or structs with weights take a pass of their own. A group whose positive-weight values are all equal has zero variance.
     """
     facts = sample.facts
-    if sample.weighted:
+    if "var" not in facts.columns:
         centre = facts.selectExpr(*sample.keys, "swx / sw AS _mean")
         centred = (
             sample.attach(sample.rows, centre)

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priceshape.operators.partials import foldable, merged_moments, partial_moments
 from priceshape.scratch import pin
 
 X, W, ORDER, ALL = "_x", "_w", "_order", "_all"
@@ -156,7 +157,10 @@ def make_sample(
             "positive_hi": "max(CASE WHEN _w > 0 THEN _x END)",
             "min_w": "min(_w)",
         }
-    facts = rows.groupBy(*keys).agg(*expressions(aggregates))
+    if weight_col is not None and foldable(rows, keys):
+        facts = merged_moments(pin(partial_moments(rows, keys), "partials"), keys)
+    else:
+        facts = rows.groupBy(*keys).agg(*expressions(aggregates))
     if weight_col is None:
         facts = facts.selectExpr("*", "lo AS positive_lo", "hi AS positive_hi")
     else:

@@ -1,5 +1,6 @@
 """Statistics against plain definitions on small samples, with skew and edge cases."""
 
+import fractions
 import os
 import uuid
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceshape.operators import brackets as brackets_module
-from priceshape.operators import filters
+from priceshape.operators import filters, partials
 from priceshape.operators import quantiles as quantiles_module
 from priceshape.operators import samples as sample_module
 from priceshape.operators.kde import kde_curve, kde_mode
@@ -503,3 +504,47 @@ def test_curve_without_gaps_reads_no_tails(spark, monkeypatch):
     sample = make_sample(rows_of(spark, {"a": (np.random.default_rng(1).random(500), np.ones(500))}), ["g"], "v")
     assert kde_curve(sample, sample.facts.withColumn("h", F.lit(0.3)), grid_points=50).count() == 50
     assert labels == ["open"]
+
+
+def test_weighted_moments_in_one_read_far_from_zero(spark, tmp_path):
+    """A mean of a hundred million standard deviations; fine groups add up to coarse ones."""
+    rng = np.random.default_rng(21)
+    n = 6000
+    x = 1e6 + 0.01 * rng.standard_gamma(2.0, n)
+    w = rng.random(n) * (rng.random(n) > 0.2)
+    frame = spark.createDataFrame([(i % 3, None if i % 4 == 0 else f"b{i % 4}", float(a), float(b)) for i, (a, b) in enumerate(zip(x, w, strict=True))],
+                                  "g int, h string, v double, w double").repartition(7)
+    rows, reads = counted_reads(pin(frame, "rows"), str(tmp_path))
+    sample = make_sample(rows, ["g", "h"], "v", "w")
+    found = {(r["g"], r["h"]): r for r in moments(sample).collect()}
+    assert reads() == 1
+
+    def exact(values, weights):
+        values, weights = [fractions.Fraction(float(v)) for v in values], [fractions.Fraction(float(v)) for v in weights]
+        total = sum(weights)
+        mean = sum(a * b for a, b in zip(values, weights, strict=True)) / total
+        m2, m3, m4 = (sum(b * (a - mean) ** k for a, b in zip(values, weights, strict=True)) / total for k in (2, 3, 4))
+        return float(mean), float(m2), float(m3) / float(m2) ** 1.5, float(m4 / m2**2) - 3
+
+    group = [(i % 3, None if i % 4 == 0 else f"b{i % 4}") for i in range(n)]
+    for key in set(group):
+        own = [i for i in range(n) if group[i] == key]
+        mean, var, skew, kurt = exact(x[own], w[own])
+        r = found[key]
+        assert r["mean"] == pytest.approx(mean, rel=1e-15) and r["variance"] == pytest.approx(var, rel=1e-7)
+        assert r["skewness"] == pytest.approx(skew, rel=1e-6) and r["kurtosis"] == pytest.approx(kurt, rel=1e-6)
+    fine = pin(partials.partial_moments(sample.rows, sample.keys), "fine")
+    for r in partials.merged_moments(fine, sample.keys[:1]).collect():
+        own = [i for i in range(n) if group[i][0] == r[sample.keys[0]]]
+        mean, var, skew, kurt = exact(x[own], w[own])
+        assert r["swx"] / r["sw"] == pytest.approx(mean, rel=1e-14) and r["var"] == pytest.approx(var, rel=1e-7)
+        assert (r["skew"], r["kurt"]) == pytest.approx((skew, kurt), rel=1e-6) and r["n"] == len(own)
+
+
+def test_weighted_groups_of_structs(spark):
+    rows = spark.range(60).selectExpr("named_struct('a', id % 2) AS g", "cast(id AS double) AS v", "id % 3 + 1 AS w")
+    got = {r["g"]["a"]: r for r in moments(make_sample(rows, ["g"], "v", "w")).collect()}
+    for a in (0, 1):
+        x, w = np.arange(a, 60, 2.0), np.arange(a, 60, 2) % 3 + 1.0
+        mean = (x * w).sum() / w.sum()
+        assert got[a]["mean"] == pytest.approx(mean) and got[a]["variance"] == pytest.approx((w * (x - mean) ** 2).sum() / w.sum())
