@@ -9,6 +9,7 @@ so no reader of an append, upsert or delete meets a broken reference. There is o
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
@@ -159,12 +160,29 @@ class Store:
         require_integrity(Tables(**merged, observation=self.spark.createDataFrame([], SCHEMAS["observation"])))
         self._store_merged(merged)
 
-    def upsert_observations(self, incoming: DataFrame, order: list[str] | None = None) -> None:
-        """Insert or replace observations; of repeated keys the last in ``order`` counts."""
+    def upsert_observations(
+        self,
+        incoming: DataFrame,
+        order: list[str] | None = None,
+        note: Callable[[set[tuple[int, str]]], None] | None = None,
+    ) -> set[tuple[int, str]]:
+        """Insert or replace observations; of repeated keys the last in ``order`` counts.
+
+        Returns the months (year, period) in which a value is new or another than before; ``note`` gets
+        them before anything is written.
+        """
         incoming = _incoming(incoming, "observation", order)
         _fail([_repeated(incoming, "observation")])
         require_integrity(replace(self.read(), observation=incoming))
+        before = _within(self._read("observation"), self._places("observation", incoming))
+        keys = KEYS["observation"]
+        same = before.select(*keys, F.col("value").alias("_before"), F.lit(True).alias("_known"))
+        changed = incoming.join(same, keys, "left").filter("_known IS NULL OR NOT (value <=> _before)")
+        months = self._places("observation", changed)
+        if note is not None:
+            note(months)
         self._store_observations(incoming)
+        return months
 
     def merge(self, incoming: Tables) -> None:
         """Upsert everything; what observations refer to is stored before them."""
