@@ -106,8 +106,11 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str
                 [last, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()),
                  pa.array([total.astype("<i8").tobytes()], pa.binary())], ["_id", "crc", "ids", "n", "tally"])
 
-    raw = pin(docs.select(col(key).alias("_id"), col(text).alias("_text")).mapInArrow(encoded, schema).withColumn(
-        "_n", F.monotonically_increasing_id()), "encoded")
+    coded = docs.select(col(key).alias("_id"), col(text).alias("_text")).mapInArrow(encoded, schema).withColumn(
+        "_n", F.monotonically_increasing_id())
+    held = scratch_path(spark, "encoded")
+    coded.write.option("compression", "zstd").parquet(held)
+    raw = spark.read.schema(coded.schema).parquet(held)
 
     def found(batches):
         for batch in slices(batches):
