@@ -56,9 +56,24 @@ def grid_frame(
     )
 
 
-def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
+def _exact_sum(name: str, term: str, bits: int, low: int) -> dict[str, str]:
+    """Aggregates that add terms of at most 1 in all as whole numbers, so in any order alike: units of
+    ``2**-bits``, and of the rest units of ``2**-(bits + low)``."""
+    scaled = f"({term}) * {2.0**bits!r}D"
+    return {f"{name}_a": f"sum(cast(floor({scaled}) AS bigint))",
+            f"{name}_b": f"sum(cast(floor(({scaled} - floor({scaled})) * {2.0**low!r}D) AS bigint))"}
+
+
+def _exact_value(name: str, bits: int, low: int) -> str:
+    return f"(({name}_a + {name}_b / {2.0**low!r}D) / {2.0**bits!r}D)"
+
+
+def density(sample: Sample, frame: DataFrame, grid_points: int, reproducible: bool = False) -> DataFrame:
     """keys, i, grid_x, density for every grid point with a cell within NEAR bandwidths; ``close`` where
-    one is within CLOSE."""
+    one is within CLOSE.
+
+    With ``reproducible`` the sums do not depend on how the rows are dealt, to the last bit.
+    """
     keys = sample.keys
     centre = f"(base + _cell * (h * {CELL}D))"
     reach = f"h * {NEAR}D"
@@ -66,6 +81,10 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
     last = f"cast(least(floor(({centre} - low + {reach}) / step), {grid_points - 1}) AS int)"
 
     powers = ["_kernel" + " * _t" * k for k in range(TERMS)]
+    sums = {f"_m{k}": f"sum({power})" for k, power in enumerate(powers)}
+    if reproducible:
+        low = 61 - sample.largest_group.bit_length()  # the second sum has a term per row
+        sums = {n: e for k, power in enumerate(powers) for n, e in _exact_sum(f"_m{k}", power, 61, low).items()}
     cells = (
         sample.attach(sample.rows.filter("_w > 0"), frame)
         .withColumn("_cell", F.expr(f"floor((_x - base) / (h * {CELL}D) + 0.5D)"))
@@ -73,8 +92,10 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
         .selectExpr(*keys, "_cell", "_w / sw AS _share", f"(_x - {centre}) / h AS _t")
         .selectExpr(*keys, "_cell", "_t", "_share * exp(-0.5D * _t * _t) AS _kernel")
         .groupBy(*keys, "_cell")
-        .agg(*expressions({f"_m{k}": f"sum({power})" for k, power in enumerate(powers)}))
+        .agg(*expressions(sums))
     )
+    if reproducible:
+        cells = cells.selectExpr(*keys, "_cell", *[f"{_exact_value(f'_m{k}', 61, low)} AS _m{k}" for k in range(TERMS)])
 
     series = f"_m{TERMS - 1} * {1.0 / math.factorial(TERMS - 1)!r}D"
     for k in range(TERMS - 2, -1, -1):
@@ -92,13 +113,16 @@ def density(sample: Sample, frame: DataFrame, grid_points: int) -> DataFrame:
                     f"explode(sequence({first}, {last})) AS i")
         .selectExpr(*keys, "h", "i", *terms, "low + i * step AS _grid_x",
                     "(low + i * step - _centre) / h AS _u")
-        .selectExpr(*keys, "i", "_grid_x", f"exp(-0.5D * _u * _u) * ({series}) / h AS _d", "_u")
+        .selectExpr(*keys, "i", "h", "_grid_x", f"exp(-0.5D * _u * _u) * ({series}) AS _d", "_u")
         .groupBy(*keys, "i")
         .agg(
             F.first("_grid_x").alias("grid_x"),
-            F.expr(f"sum(_d) / {math.sqrt(2 * math.pi)!r}D").alias("density"),
+            F.first("h").alias("_h"),
+            *expressions(_exact_sum("_d", "_d", 56, 56) if reproducible else {"_d": "sum(_d)"}),
             F.expr(f"bool_or(abs(_u) <= {CLOSE}D)").alias("close"),
         )
+        .selectExpr(*keys, "i", "grid_x", "close",
+                    f"{_exact_value('_d', 56, 56) if reproducible else '_d'} / (_h * {math.sqrt(2 * math.pi)!r}D) AS density")
     )
 
 
@@ -125,12 +149,14 @@ def kde_mode(
     grid_points: int = GRID_POINTS,
     extend: float = EXTEND,
     tie: float = TIE,
+    reproducible: bool = False,
 ) -> DataFrame:
     """keys + mode. ``table`` has ``h`` and the sample facts; groups with ``h <= 0`` take the value
-    of their first row of greatest weight."""
+    of their first row of greatest weight. With ``reproducible`` the mode does not depend on how the
+    rows are dealt, whatever the ``tie``."""
     keys = sample.keys
     frame = grid_frame(table, keys, grid_points, extend)
-    modes = mode_of(density(sample, frame, grid_points), keys, tie)
+    modes = mode_of(density(sample, frame, grid_points, reproducible), keys, tie)
     flat = heaviest_value(sample, table.filter("h <= 0").select(*keys))
     return modes.unionByName(flat.selectExpr(*keys, "heaviest AS mode"))
 

@@ -1,5 +1,6 @@
 """Statistics against plain definitions on small samples, with skew and edge cases."""
 
+import dataclasses
 import fractions
 import os
 import uuid
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from priceshape.operators import brackets as brackets_module
+from priceshape.operators import kde as kde_module
 from priceshape.operators import filters, partials
 from priceshape.operators import quantiles as quantiles_module
 from priceshape.operators import samples as sample_module
@@ -548,3 +550,32 @@ def test_weighted_groups_of_structs(spark):
         x, w = np.arange(a, 60, 2.0), np.arange(a, 60, 2) % 3 + 1.0
         mean = (x * w).sum() / w.sum()
         assert got[a]["mean"] == pytest.approx(mean) and got[a]["variance"] == pytest.approx((w * (x - mean) ** 2).sum() / w.sum())
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_mode_in_any_order_of_the_rows(spark, weighted):
+    """Groups with ties between grid points: to the last bit alike in 1 and 64 parts."""
+    rng = np.random.default_rng(31)
+    groups = {f"g{k}": (rng.integers(0, 4, 300) / 7, rng.random(300)) for k in range(4)}
+    groups |= {"two": (np.array([0.1, 0.7]), np.ones(2)), "normal": (rng.normal(0.03, 0.05, 4000), rng.random(4000) ** 6),
+               "mirror": (np.concatenate([v := rng.random(500), -v]), np.ones(1000))}
+    rows = pin(rows_of(spark, groups), "rows")
+    facts = make_sample(rows, ["g"], "v").facts.withColumn("h", F.lit(0.03))
+    found = []
+    for parts in (1, 64, 7):
+        shuffled = pin(rows.orderBy(F.rand(parts)).repartition(parts), "shuffled")
+        sample = make_sample(shuffled, ["g"], "v", "w" if weighted else None)
+        # The facts' own sums may differ in their last bits, so one set of facts serves all.
+        sample = dataclasses.replace(sample, facts=facts)
+        frame = kde_module.grid_frame(facts, sample.keys, 512)
+        curve = kde_module.density(sample, frame, 512, reproducible=True).collect()
+        found.append((sorted(map(str, curve)), sorted(map(str, kde_mode(
+            sample, facts, grid_points=512, tie=0.0, reproducible=True).collect()))))
+    assert found[0] == found[1] == found[2]
+    modes = {r["g"]: r["mode"] for r in kde_mode(sample, facts, grid_points=512, tie=0.0, reproducible=True).collect()}
+    for key, (x, w) in groups.items():
+        _, points, density = expected_statistics(x, w if weighted else None, bandwidth=0.03, grid=512)
+        ranked = np.sort(density)[::-1]
+        if ranked[1] < ranked[0] * (1 - 1e-11):
+            assert modes[key] == pytest.approx(points[np.argmax(density)], rel=1e-12, abs=1e-12)
+        assert density[np.abs(points - modes[key]).argmin()] >= ranked[0] * (1 - 1e-12)
