@@ -112,6 +112,13 @@ def kde_mode_rule(spark, sf_dir):
     return rounded(kde_mode(sample, describe(sample)), ["mode"])
 
 
+@check("a12_kde_mode_any_order", event_sql({"mode": "weighted_kde_mode"}))
+def kde_mode_any_order(spark, sf_dir):
+    """Sums of whole numbers: the mode of the same rows in any partitions."""
+    sample = weighted_events(spark, sf_dir)
+    return rounded(kde_mode(sample, describe(sample), reproducible=True), ["mode"])
+
+
 @check("a12_kde_mode_fixed_bandwidth",
        event_sql({"mode": "weighted_kde_mode"}, grid=512, bandwidth="2.5"))
 def kde_mode_fixed(spark, sf_dir):
