@@ -15,14 +15,20 @@ The range of the values plays no part, nor does their order in the input.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceshape.operators.samples import Sample, expressions, join_facts
 from priceshape.scratch import pin
 
+# The functions go to the workers themselves, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Runs of a group in a task's hand, and rows in hand.
 PARTS, IN_HAND = 512, 1 << 18
 

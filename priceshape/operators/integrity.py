@@ -17,10 +17,13 @@ REFERENCES = [
 ]
 
 
-def orphans(tables: Tables) -> DataFrame:
-    """reference, key, rows: values of each reference that have no parent, with their row counts."""
+def orphans(tables: Tables, children: tuple[str, ...] = ("series", "observation")) -> DataFrame:
+    """reference, key, rows: values of each reference of ``children`` that have no parent, with their
+    row counts."""
     found = None
     for child, column, parent in REFERENCES:
+        if child not in children:
+            continue
         counts = tables.get(child).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
         missing = counts.join(tables.get(parent).select(column), column, "left_anti").select(
             F.lit(f"{child}.{column}").alias("reference"), F.col(column).alias("key"), "rows"
@@ -29,8 +32,8 @@ def orphans(tables: Tables) -> DataFrame:
     return found
 
 
-def require_integrity(tables: Tables) -> None:
-    examples = orphans(tables).limit(5).collect()
+def require_integrity(tables: Tables, children: tuple[str, ...] = ("series", "observation")) -> None:
+    examples = orphans(tables, children).limit(5).collect()
     if examples:
         shown = ", ".join(f"{r['reference']}={r['key']}" for r in examples)
         raise ValueError(f"rows refer to missing parents, e.g. {shown}")

@@ -8,12 +8,18 @@ label) add up to coarse ones (month).
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The functions go to the workers themselves, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows that a task folds at once.
 IN_HAND = 1 << 18
 

@@ -105,7 +105,8 @@ class Store:
     def _replace(self, name: str, df: DataFrame, before: set[tuple]) -> None:
         """``df`` in place of the parts ``before``; those it has no rows of end up without any."""
         self._write(name, df)
-        self._empty(name, sorted(before - self._places(name, df)))
+        if before:
+            self._empty(name, sorted(before - self._places(name, df)))
 
     def ensure_schema(self) -> None:
         """Create the tables that do not exist yet, empty."""
@@ -131,26 +132,35 @@ class Store:
         _fail(problems)
         parents = {name: incoming[name].unionByName(current[name]) for name in names if name != "observation"}
         require_integrity(Tables(**parents, observation=incoming["observation"]))
-        for name in names:
+
+        def store(name: str) -> None:
             if truncate:
                 self._replace(name, incoming[name], self._places(name, self._read(name)))
             else:
                 self._write(name, incoming[name], "append")
 
+        # A level of references at a time, parents first.
+        for level in ([n for n in names if n not in ("series", "observation")], ["series"], ["observation"]):
+            with ThreadPoolExecutor(len(level)) as pool:
+                list(pool.map(store, level))
+
     def _merged(self, incoming: Tables) -> dict[str, DataFrame]:
         """The dimension and series tables with the incoming rows, written once."""
         names = [n for n in SCHEMAS if n != "observation"]
         rows = {n: _incoming(incoming.get(n), n) for n in names}
         _fail([_repeated(rows[n], n) for n in names])
-        return {n: pin(upsert(self._read(n), rows[n], KEYS[n]), n) for n in names}
+        with ThreadPoolExecutor(len(names)) as pool:
+            merged = pool.map(lambda n: pin(upsert(self._read(n), rows[n], KEYS[n]), n), names)
+            return dict(zip(names, merged, strict=True))
 
     def _store_merged(self, merged: dict[str, DataFrame]) -> None:
-        for name, table in merged.items():
-            self._write(name, table)
+        parents = [n for n in merged if n != "series"]
+        with ThreadPoolExecutor(len(parents)) as pool:
+            list(pool.map(lambda n: self._write(n, merged[n]), parents))
+        self._write("series", merged["series"])
 
-    def _store_observations(self, incoming: DataFrame) -> None:
+    def _store_observations(self, incoming: DataFrame, places: set[tuple]) -> None:
         """Rewrite the months of a written table of observations, the incoming row winning."""
-        places = self._places("observation", incoming)
         if places:
             self._write("observation", upsert(_within(self._read("observation"), places), incoming, KEYS["observation"]))
 
@@ -173,15 +183,16 @@ class Store:
         """
         incoming = _incoming(incoming, "observation", order)
         _fail([_repeated(incoming, "observation")])
-        require_integrity(replace(self.read(), observation=incoming))
-        before = _within(self._read("observation"), self._places("observation", incoming))
+        require_integrity(replace(self.read(), observation=incoming), ("observation",))
+        places = self._places("observation", incoming)
+        before = _within(self._read("observation"), places)
         keys = KEYS["observation"]
         same = before.select(*keys, F.col("value").alias("_before"), F.lit(True).alias("_known"))
         changed = incoming.join(same, keys, "left").filter("_known IS NULL OR NOT (value <=> _before)")
         months = self._places("observation", changed)
         if note is not None:
             note(months)
-        self._store_observations(incoming)
+        self._store_observations(incoming, places)
         return months
 
     def merge(self, incoming: Tables) -> None:
@@ -190,7 +201,7 @@ class Store:
         _fail([_repeated(observation, "observation")])
         require_integrity(Tables(**merged, observation=observation))
         self._store_merged(merged)
-        self._store_observations(observation)
+        self._store_observations(observation, self._places("observation", observation))
 
     def delete(self, series: DataFrame) -> None:
         """Delete the given series and, before them, their observations."""
