@@ -17,7 +17,7 @@ DEFAULT = [
     "a7_split_cells", "a12_kde_mode", "a14_summary_weighted", "a14_summary_ties", "a15_histogram",
     "a16_axis_limits_ungrouped", "d2_upsert_union", "d4_first_wins_rows", "f3_footnote_list",
     "f8_period_date", "f12_month_sequence", "f16_percent_text", "g1_growth_components",
-    "g2_group_summary", "g4_right_tail", "g5_panel", "g8_series_view", "j3_year_over_year",
+    "g2_group_summary", "g4_right_tail", "g5_panel", "g8_series_view", "j3_year_over_year", "a13_kde_tails", "r10_document_scan",
     "k3_append_load", "k6_upsert_observations", "k8_landing_refresh", "k14_orphans",
     "r1_tab_separated_scan", "r8_multi_file_scan", "s1_label_order", "w4_extreme_examples",
 ]
