@@ -11,6 +11,9 @@ it grows until it does. What lies outside the windows is never encoded again.
 
 from __future__ import annotations
 
+import functools
+import json
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -39,33 +42,58 @@ _SAFE = regex.compile(
 _ONE = regex.compile(rf" ?(?:[{LETTERS}]+|[0-9]+|[{SIGNS}]+)|\p{{White_Space}}+")
 
 
+def _names(path: str) -> tuple[list[str], dict[str, int]]:
+    """Names of all ids of a vocabulary file, and its added tokens."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    added = {t["content"]: t["id"] for t in made["added_tokens"]}
+    ids = {**made["model"]["vocab"], **added}
+    names = [""] * (max(ids.values()) + 1)
+    for name, i in ids.items():
+        names[i] = name
+    return names, added
+
+
+@functools.lru_cache
+def is_byte_level(path: str) -> bool:
+    """Whether the merges of a vocabulary file can run by the ids of the bytes they form."""
+    names, added = _names(path)
+    tokenizer, plain = load(path), [i for i, name in enumerate(names) if name not in added]
+    split = str(tokenizer.pre_tokenizer)
+    return (tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in split and "use_regex=True" in split
+            and plain[:256] == list(range(256)) and all(len(x) == 1 for x in _bytes_of(names[:256]))
+            and all([t.id for t in tokenizer.model.tokenize(names[i])] == [i] for i in plain))
+
+
 class TreeEncoder:
     """Encoder of texts and joins for a byte-level vocabulary in the tokenizers library's format.
 
     The merges run in tiktoken, which merges any two neighbours whose bytes form a token, the lowest id
     first. That is the library's result if merges are listed by id and every token is the encoding of
     its own bytes: the first merge that the library does not list would form a token out of two parts
-    at which the library, encoding that token alone, would have stopped. Both are checked; other
-    vocabularies go through the library itself.
+    at which the library, encoding that token alone, would have stopped. Both are checked, once on the
+    driver (``proven``); other vocabularies go through the library itself.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+    def __init__(self, path: str, proven: bool | None = None):
+        self.path, self._tokenizer = path, None
+        self.name, self.added = _names(path)
         self.by_added = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.margin = max(map(len, self.added), default=1)
-        count = self.tokenizer.get_vocab_size()
-        self.name = [self.tokenizer.id_to_token(i) for i in range(count)]
-        self.bytes = _bytes_of_ids(self.tokenizer)
+        self.bytes = _bytes_of(self.name)
         self.length = np.array([len(x) for x in self.bytes], np.int64)
         self.coder = None
-        plain = [i for i in range(count) if self.name[i] not in self.added]
-        if (self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer)
-                and "use_regex=True" in str(self.tokenizer.pre_tokenizer) and sorted(plain)[:256] == list(range(256))
-                and all(self.length[:256] == 1) and all(self.merge(self.name[i]) == [i] for i in plain)):
-            self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={},
-                                           mergeable_ranks={self.bytes[i]: i for i in plain})
+        if is_byte_level(path) if proven is None else proven:
+            self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, special_tokens={}, mergeable_ranks={
+                x: i for i, x in enumerate(self.bytes) if self.name[i] not in self.added})
+
+    @property
+    def tokenizer(self):
+        """The library's tokenizer, which most workers never need."""
+        if self._tokenizer is None:
+            self._tokenizer = load(self.path)
+        return self._tokenizer
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; none for NULL."""
@@ -184,9 +212,10 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(col(key).alias("_id"), F.coalesce(col(text), F.lit("")).alias("_text"))
     is_long = F.length("_text") > leaf_chars
+    proven = is_byte_level(path)
 
     def short(batches):
-        encoder = once(TreeEncoder, path)
+        encoder = once(TreeEncoder, path, proven)
         for batch in slices(batches):
             ids = [encoder.encode(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary())], ["_id", "ids"])
@@ -202,7 +231,7 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
                     ["_row", "_id", "leaf", "part"])
 
     def leaf(batches):
-        encoder = once(TreeEncoder, path)
+        encoder = once(TreeEncoder, path, proven)
         for batch in slices(batches, 64):
             ids = [encoder.encode(t) for t in batch.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -211,7 +240,7 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
     def whole(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")
         parts = list(zip(group.column("part").to_pylist(), group.column("ids").to_pylist(), strict=True))
-        encoder = once(TreeEncoder, path)
+        encoder = once(TreeEncoder, path, proven)
         ids = concatenate(encoder, parts)
         return pa.table({"_id": group.column("_id").slice(0, 1), "ids": pa.array([ids], pa.binary())})
 
@@ -224,20 +253,19 @@ def encode_documents(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, k
     return made.withColumnRenamed("_id", key)
 
 
-def _bytes_of_ids(tokenizer) -> list[bytes]:
+def _bytes_of(names: list[str]) -> list[bytes]:
     """Bytes of each id: the vocabulary writes them in a printable alphabet, in which the printable
     bytes stand for themselves and the others, in order, for the characters from U+0100 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    names = map(tokenizer.id_to_token, range(tokenizer.get_vocab_size()))
     return [bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode()
             for name in names]
 
 
 def _decoder(path: str) -> list[bytes]:
-    """Workers that only decode keep the bytes alone, not the tokenizer."""
-    return _bytes_of_ids(load(path))
+    """Workers that only decode keep the bytes alone."""
+    return _bytes_of(_names(path)[0])
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
