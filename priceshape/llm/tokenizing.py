@@ -8,16 +8,23 @@ Python but not to the patterns; texts with them are one segment.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
+import struct
 
 import numpy as np
+import tiktoken
 
 #: Segments and stems that a worker remembers; then it starts anew.
 WORDS, STEMS = 400_000, 800_000
 #: Characters of a segment that go to the library whole.
 SHORT = 1024
 
+#: Few ids as little-endian unsigned 32-bit integers.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
 _APART = re.compile("[\x1c-\x1f]")
 _RUN = re.compile(r"\s ")
 _SEGMENT = re.compile(r"\s*\S+|\s+")
@@ -103,6 +110,62 @@ def once(make, *args):
     return _made[key]
 
 
+#: Ends a word in the merges; no byte of UTF-8 text.
+END = b"\xff"
+
+
+def printable_bytes() -> dict[str, int]:
+    """The alphabet that byte-level vocabularies write their bytes in."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _word_vocabulary(path: str) -> tuple[dict[str, int], list[tuple[str, str]], dict[bytes, int]]:
+    """Ids and merges of a vocabulary file with word ends, and its tokens as bytes, ends as ``END``."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    byte, suffix = printable_bytes(), model.get("end_of_word_suffix") or ""
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    tokens = {}
+    for name, i in model["vocab"].items():
+        ends = bool(suffix) and name.endswith(suffix)
+        stem = name[:-len(suffix)] if ends else name
+        if all(c in byte for c in stem):
+            tokens[bytes(byte[c] for c in stem) + END * ends] = i
+    return model["vocab"], merges, tokens
+
+
+@functools.lru_cache
+def merges_by_id(path: str) -> bool:
+    """Whether words can be merged by the ids of the bytes they form (see ``tree_bpe.TreeEncoder``).
+
+    The ids of the merges must rise, those of letters with an end come before them, and every token must
+    be the encoding of its own letters: of those that end a word the library's, of the others that of
+    the merges applied one by one.
+    """
+    ids, merges, tokens = _word_vocabulary(path)
+    if len(tokens) != len(ids) or any(a + b not in ids for a, b in merges):
+        return False
+    made = [ids[a + b] for a, b in merges]
+    if made != sorted(set(made)) or sorted(set(ids.values()) - set(made)) != list(range(512)):
+        return False
+    rank = {m: i for i, m in enumerate(merges)}
+
+    def alone(name: str) -> bool:
+        parts = list(name)
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            if (parts[best], parts[best + 1]) not in rank:
+                return False
+            parts[best:best + 2] = [parts[best] + parts[best + 1]]
+        return True
+
+    tokenize = load(path).model.tokenize
+    return all([t.id for t in tokenize(name[:-4])] == [i] if name.endswith("</w>") else alone(name)
+               for name, i in ids.items())
+
+
 class Words(Segments):
     """Encoder for a vocabulary with word ends that lower-cases and drops white space.
 
@@ -113,10 +176,15 @@ class Words(Segments):
 
     _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: bool | None = None):
         super().__init__(path, keep_space=False)
+        self.coder = None
+        if merges_by_id(path) if proven is None else proven:
+            self.coder = tiktoken.Encoding("words", pat_str=r"\S+", special_tokens={},
+                                           mergeable_ranks=_word_vocabulary(path)[2])._encode_single_piece
         self.seen = _Seen(self._one)
         self.stems: dict[str, bytes] = {"": b""}
+        self.merges = self.tokenizer.model.tokenize
         # The library's own alphabet for the bytes of these letters.
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
         pre = self.tokenizer.pre_tokenizer
@@ -126,8 +194,11 @@ class Words(Segments):
     def _stem(self, text: str) -> bytes:
         found = self.stems.get(text)
         if found is None:
-            name = text if text.isascii() else text.translate(self.written)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(name)], "<u4").tobytes()
+            if self.coder is not None:
+                ids = self.coder(text.encode() + END)
+            else:
+                ids = [t.id for t in self.merges(text if text.isascii() else text.translate(self.written))]
+            found = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
             if len(self.stems) > STEMS:
                 self.stems = {"": b""}
             if len(text) <= SHORT:
@@ -141,9 +212,12 @@ class Words(Segments):
 
     def _one(self, segment: str) -> bytes:
         plain = self._PLAIN.fullmatch(segment)
-        if plain:
-            return self._stem(plain[1].lower()) + self._stem(plain[2])
-        return self._whole(segment)
+        if not plain:
+            return self._whole(segment)
+        letters, signs = plain.groups()
+        letters = letters.lower()
+        found = self.stems.get(letters) or self._stem(letters)
+        return found + self._stem(signs) if signs else found
 
 
 class _Seen(dict):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from priceshape.llm.common import col, query, slices, table
-from priceshape.llm.tokenizing import Words, load, once
+from priceshape.llm.tokenizing import Words, load, merges_by_id, once
 from priceshape.scratch import pin, scratch_path
 
 #: Ids after which a block is closed; a document is never split.
@@ -79,12 +79,13 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_id {kind}, crc long, ids binary, n int, tally binary"
+    proven = merges_by_id(path)
     known = max(load(path).get_vocab_size(), end_id + 1)
     width = np.dtype("<u2" if known <= 1 << 16 else "<u4")  # of the ids on their way
 
     def encoded(batches):
         """Rows with their ids, and at the end of a task one row with the frequencies of its ids."""
-        encoder = once(Words, path)
+        encoder = once(Words, path, proven)
         total = np.zeros(known, np.int64)
         tail = np.array([end_id], "<u4").tobytes()
         last = None

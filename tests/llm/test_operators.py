@@ -399,6 +399,20 @@ def test_word_encoder_is_exact():
         assert encoder.encode(text) == library(WORD, text)
 
 
+def test_word_merges_by_id_are_the_library_s():
+    """Random words, the documents' words and every word token; another vocabulary is not taken."""
+    encoder, rng = tokenizing.Words(WORD), random.Random(8)
+    assert tokenizing.merges_by_id(WORD) and encoder.coder is not None and not tokenizing.merges_by_id(BYTE)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüßñ") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    for text in [*made, "a" * 300, "ab" * 400, " ".join(made)]:
+        assert encoder.encode(text) == library(WORD, text)
+    plain = tokenizing.Words(WORD, proven=False)
+    assert plain.coder is None and plain.encode(" ".join(made)) == library(WORD, " ".join(made))
+    for name, i in encoder.tokenizer.get_vocab().items():
+        if name.endswith("</w>") and name[:-4].isascii() and name[:-4].isalpha():
+            assert encoder.coder(name[:-4].encode() + tokenizing.END) == [i]
+
+
 def test_encode_and_decode_documents(docs, empty):
     made = tree_bpe.decode_documents(tree_bpe.encode_documents(docs, BYTE, leaf_chars=3000), BYTE).collect()
     assert sorted(r.decoded for r in made) == sorted(r.text or "" for r in docs.collect())
