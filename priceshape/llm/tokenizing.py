@@ -21,6 +21,8 @@ import tiktoken
 WORDS, STEMS = 400_000, 800_000
 #: Characters of a segment that go to the library whole.
 SHORT = 1024
+#: Characters after which the texts met so far are encoded.
+CHARS = 1 << 20
 
 #: Few ids as little-endian unsigned 32-bit integers.
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -169,22 +171,39 @@ def merges_by_id(path: str) -> bool:
 class Words(Segments):
     """Encoder for a vocabulary with word ends that lower-cases and drops white space.
 
-    A new segment of plain Latin letters with a few signs after them is put together from the ids of
-    its lower-case letters and of its signs, which the split pattern parts anyway; both are
-    remembered, and the merges run on them directly. All other segments go through the library.
+    Words of plain Latin letters with at most one sign after them go to the merges as they stand, all
+    those of many texts in one call, with the space that follows in the place of the word's end. Of the
+    other segments, those of ASCII signs and Latin letters are parted as the split pattern does and put
+    together from the ids of their parts, which are remembered; the rest goes through the library.
     """
 
-    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+    _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    _PLAIN = re.compile(f"([{_LETTERS}]+)([.,!?;:]*)")
+    #: A stretch of plain words, and the segment after it that is none.
+    _STRETCH = re.compile(rf"((?:\s*+[{_LETTERS}]{{1,{SHORT}}}+[.,!?;:]?+(?!\S))*+)\s*+(\S*+)")
+    _SIMPLE = re.compile(f"[!-~{_LETTERS}]+")
+    _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+    #: White space other than the space; texts with U+001C to U+001F come here only whole.
+    _WHITE = "\t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    #: Stand for another segment and for the end of a text; no plain word holds them.
+    _OTHER, _CLOSE = "\x02 ", "\x03 "
 
     def __init__(self, path: str, proven: bool | None = None):
         super().__init__(path, keep_space=False)
         self.coder = None
         if merges_by_id(path) if proven is None else proven:
-            self.coder = tiktoken.Encoding("words", pat_str=r"\S+", special_tokens={},
-                                           mergeable_ranks=_word_vocabulary(path)[2])._encode_single_piece
+            tokens = _word_vocabulary(path)[2]
+            self.coder = tiktoken.Encoding("words", pat_str=r"\S+", special_tokens={}, mergeable_ranks=tokens)._encode_single_piece
+            self.other = max(self.tokenizer.get_vocab().values()) + 1  # added tokens included
+            spaced = {t[:-1] + b" " if t.endswith(END) else t: i for t, i in tokens.items()}
+            # The special token occurs nowhere; without any, every place would be tried for one.
+            self.stretch = tiktoken.Encoding(
+                "stretches", pat_str="[^ ]+ ", special_tokens={"\x04": self.other + 2},
+                mergeable_ranks=spaced | {self._OTHER.encode(): self.other, self._CLOSE.encode(): self.other + 1})
         self.seen = _Seen(self._one)
         self.stems: dict[str, bytes] = {"": b""}
         self.merges = self.tokenizer.model.tokenize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # The library's own alphabet for the bytes of these letters.
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
         pre = self.tokenizer.pre_tokenizer
@@ -206,18 +225,70 @@ class Words(Segments):
         return found
 
     def encode(self, text: str | None) -> bytes:
+        if self.coder is not None:
+            return self.encode_all([text], 0)[0][:-1].tobytes()
         if len(self.seen) > WORDS:
             self.seen.clear()
         return b"".join(map(self.seen.__getitem__, self.segments(text or "")))
 
+    def encode_all(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, ``end_id`` after each, and how many each text has."""
+        if self.coder is None:
+            each = [self.encode(t) + _PACK[1](end_id) for t in texts]
+            return np.frombuffer(b"".join(each), "<u4"), np.array([len(x) // 4 for x in each], np.int64)
+        if len(self.seen) > WORDS:
+            self.seen.clear()
+        ids, parts, others, size = [], [], [], 0
+        for text in texts:
+            text = text or ""
+            if _APART.search(text):
+                others.append(self._whole(text))
+                parts.append(self._OTHER)
+            else:
+                for plain, other in self._STRETCH.findall(text):
+                    parts.append(plain)
+                    if other:
+                        others.append(self.seen[other])
+                        parts.append(" " + self._OTHER)
+            parts.append(" " + self._CLOSE)
+            size += len(text)
+            if size > CHARS:
+                ids.append(self._stretches("".join(parts), others))
+                parts, others, size = [], [], 0
+        if parts:
+            ids.append(self._stretches("".join(parts), others))
+        found = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        ends = np.flatnonzero(found == self.other + 1)
+        found[ends] = end_id
+        return found, np.diff(ends, prepend=-1)
+
+    def _stretches(self, text: str, others: list[bytes]) -> np.ndarray:
+        """Ids of plain words, with those of the other segments in their places."""
+        text = text.lower()
+        for c in self._WHITE:
+            if c in text:
+                text = text.replace(c, " ")
+        for c in ".,!?;:":
+            text = text.replace(c, " " + c)
+        ids = self.stretch.encode_to_numpy(text, disallowed_special=())
+        if not others:
+            return ids
+        there = ids == self.other
+        count = np.ones(len(ids), np.int64)
+        count[there] = [len(x) // 4 for x in others]
+        ids, there = np.repeat(ids, count), np.repeat(there, count)
+        ids[there] = np.frombuffer(b"".join(others), "<u4")
+        return ids
+
     def _one(self, segment: str) -> bytes:
         plain = self._PLAIN.fullmatch(segment)
-        if not plain:
+        if plain:
+            letters, signs = plain.groups()
+            return self._stem(letters.lower()) + self._stem(signs)
+        # The library takes added tokens out before it lower-cases.
+        if self.coder is None or not self._SIMPLE.fullmatch(segment) or any(t in segment for t in self.added):
             return self._whole(segment)
-        letters, signs = plain.groups()
-        letters = letters.lower()
-        found = self.stems.get(letters) or self._stem(letters)
-        return found + self._stem(signs) if signs else found
+        return b"".join([self._stem(x) for x in self._PIECE.findall(segment.lower())])
 
 
 class _Seen(dict):

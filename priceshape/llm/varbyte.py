@@ -87,21 +87,18 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = 1, key: str
         """Rows with their ids, and at the end of a task one row with the frequencies of its ids."""
         encoder = once(Words, path, proven)
         total = np.zeros(known, np.int64)
-        tail = np.array([end_id], "<u4").tobytes()
         last = None
         for batch in slices(batches):
-            ids = [encoder.encode(t) + tail for t in batch.column("_text").to_pylist()]
-            flat = np.frombuffer(b"".join(ids), "<u4")
+            flat, size = encoder.encode_all(batch.column("_text").to_pylist(), end_id)
             total += np.bincount(flat, minlength=len(total))
-            size = np.array([len(x) // 4 for x in ids], np.int64)
             stored = flat.astype(width).tobytes()
             at = np.concatenate([[0], np.cumsum(size)]) * width.itemsize
-            narrow = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.astype("<i4").tobytes()), pa.py_buffer(stored)]) \
+            narrow = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(at.astype("<i4").tobytes()), pa.py_buffer(stored)]) \
                 if at[-1] < 1 << 31 else pa.array([stored[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
             last = batch.column("_id").slice(0, 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([zlib.crc32(x) for x in ids], pa.int64()), narrow,
-                 pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.binary())], ["_id", "crc", "ids", "n", "tally"])
+                [batch.column("_id"), pa.array([zlib.crc32(x) for x in np.split(flat, np.cumsum(size)[:-1])], pa.int64()), narrow,
+                 pa.array(size.astype(np.int32)), pa.nulls(len(size), pa.binary())], ["_id", "crc", "ids", "n", "tally"])
         if last is not None:
             yield pa.RecordBatch.from_arrays(
                 [last, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()),

@@ -413,6 +413,22 @@ def test_word_merges_by_id_are_the_library_s():
             assert encoder.coder(name[:-4].encode() + tokenizing.END) == [i]
 
 
+def test_words_of_many_texts_are_encoded_in_one_call(monkeypatch):
+    """Exactly, wherever texts end; signs and digits of ASCII do not need the library."""
+    encoder, rng = tokenizing.Words(WORD), random.Random(9)
+    letters = "abcXYZÀéßÿª.,!?;:'-×  \n\t\xa0\x1d\x02\x0309srtvemld$<|#_\x7f\x85中e\u0301"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    texts += [None, "", "\x03 \x02", "a<|endoftext|>B c", "<|ENDOFTEXT|> x", "w" * 3000 + ", b", "it's 'S IT''S they'RE 'lla '"]
+    monkeypatch.setattr(tokenizing, "CHARS", 1000)
+    ids, sizes = encoder.encode_all(texts, 1)
+    assert [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library(WORD, t or "") + b"\1\0\0\0" for t in texts]
+    assert [len(x) for x in encoder.encode_all([], 1)] == [0, 0]
+    want = library(WORD, "it's $12.50, (or) a-b... don't!!")
+    encoder = tokenizing.Words(WORD)
+    monkeypatch.setattr(encoder, "_whole", None)
+    assert encoder.encode("it's $12.50, (or) a-b... don't!!") == want
+
+
 def test_encode_and_decode_documents(docs, empty):
     made = tree_bpe.decode_documents(tree_bpe.encode_documents(docs, BYTE, leaf_chars=3000), BYTE).collect()
     assert sorted(r.decoded for r in made) == sorted(r.text or "" for r in docs.collect())
