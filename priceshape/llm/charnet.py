@@ -44,6 +44,17 @@ class Net:
     threshold: float = 0.5
     recall: float = 0.0
 
+    def vector(self) -> np.ndarray:
+        """The fitted weights in a row."""
+        return np.concatenate([self.embed.ravel(), self.filters.ravel(), self.bias, self.out, [self.out_bias]])
+
+    @classmethod
+    def of(cls, vector: np.ndarray) -> Net:
+        """A network of its own with these weights."""
+        shapes = ((SYMBOLS, EMBED), (SPAN * EMBED, FILTERS), (FILTERS,), (FILTERS,))
+        parts = np.split(vector, np.cumsum([np.prod(s) for s in shapes]))
+        return cls(*(p.reshape(s).copy() for p, s in zip(parts, shapes, strict=False)), float(parts[-1][0]))
+
     def margins(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i:i + 512])[0] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
@@ -57,7 +68,10 @@ class Net:
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probability of each window."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(x) + self.shift, -40, 40)))
+        return self.calibrated(self.margins(x))
+
+    def calibrated(self, margin: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
 def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, rounds: int = 6, folds: int = 3, seed: int = 6) -> Net:
@@ -74,28 +88,41 @@ def train(x: np.ndarray, y: np.ndarray, recall: float = 0.98, rounds: int = 6, f
         rest = np.setdiff1d(order, held)
         margin[held] = _fit(x[rest], y[rest], rounds, seed + k).margins(x[held])
     net = _fit(x, y, rounds, seed)
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-np.clip(net.slope * margin + net.shift, -40, 40)))
-        net.slope -= 0.2 * float(((p - y) * margin).mean()) if len(margin) else 0.0
-        net.shift -= 0.2 * float((p - y).mean()) if len(margin) else 0.0
-    found = np.sort(1 / (1 + np.exp(-np.clip(net.slope * margin[y == 1] + net.shift, -40, 40))))
+    calibrate(net, margin, y, np.ones(len(margin)))
+    found = np.sort(net.calibrated(margin[y == 1]))
     if len(found):
         net.threshold = float(found[int((1 - recall) * len(found))])
         net.recall = float((found >= net.threshold).mean())
     return net
 
 
+def calibrate(net: Net, margin: np.ndarray, y: np.ndarray, count: np.ndarray) -> None:
+    """Logistic calibration (Platt) on margins that stand for ``count`` windows each."""
+    share = count / max(count.sum(), 1)
+    for _ in range(300):
+        d = (net.calibrated(margin) - y) * share
+        net.slope -= 0.2 * float((d * margin).sum())
+        net.shift -= 0.2 * float(d.sum())
+
+
 #: Steps a network takes at least, however few its windows.
 STEPS = 150
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int, seed: int) -> Net:
-    """A network after ``rounds`` passes over the windows, more where they are few."""
+def begin(seed: int) -> tuple[Net, np.random.Generator]:
+    """The network that a fit of this seed starts from."""
     rng = np.random.default_rng(seed)
+    return Net(rng.normal(0, 0.3, (SYMBOLS, EMBED)), rng.normal(0, 0.2, (SPAN * EMBED, FILTERS)), np.zeros(FILTERS),
+               rng.normal(0, 0.2, FILTERS), 0.0), rng
+
+
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int, seed: int, start: Net | None = None) -> Net:
+    """A network after ``rounds`` passes over the windows, more where they are few; with ``start``, that
+    one after just these passes."""
+    net, rng = begin(seed) if start is None else (start, np.random.default_rng(seed))
     fit = np.arange(len(x))
-    rounds = max(rounds, -(-STEPS // max(1, len(x) // 64)))
-    net = Net(rng.normal(0, 0.3, (SYMBOLS, EMBED)), rng.normal(0, 0.2, (SPAN * EMBED, FILTERS)), np.zeros(FILTERS),
-              rng.normal(0, 0.2, FILTERS), 0.0)
+    if start is None:
+        rounds = max(rounds, -(-STEPS // max(1, len(x) // 64)))
     names = ("embed", "filters", "bias", "out")
     moments = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in names}
     step = 0

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priceshape.llm.charnet import WINDOW, Net, train, windows
+from priceshape.llm.averaging import train
+from priceshape.llm.charnet import WINDOW, Net, windows
 from priceshape.llm.common import col, map_rows, query, slices, table
 from priceshape.scratch import pin
 
@@ -36,9 +37,6 @@ _DIGIT = re.compile("[0-9]")
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _VALUE_NAMES = ("pass", "pwd", "secret", "token", "api", "auth", "credential")
 
-#: Windows the network is trained on, of either label.
-SAMPLE = 2_000
-
 
 def base_findings(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the base findings, by start, then kind."""
@@ -110,19 +108,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         _scanned, f"_id {kind}, base array<long>, places array<long>, labels array<int>, views array<binary>"), "scan")
 
 
-def fit(scanned: DataFrame, sample: int = SAMPLE) -> Net | None:
-    """The network, from at most ``sample`` labelled candidates of either kind, chosen by hash; None
-    where one of the kinds is missing, as in an empty table. Repeated rows teach once."""
+def fit(scanned: DataFrame) -> Net | None:
+    """The network, from all labelled candidates (the first window of each); None where one of the
+    kinds is missing, as in an empty table. Equal windows teach once."""
     each = scanned.where(F.size("labels") > 0).select(
         F.explode(F.arrays_zip("labels", "views")).alias("c")).select(
         F.col("c.labels").alias("y"), F.substring("c.views", 1, WINDOW).alias("x"))
-    # Equal windows teach once; each side of the sample is bounded.
-    each = each.where("y < 2").distinct().withColumn("o", F.xxhash64("x"))
-    parts = [each.where(F.col("y") == y).orderBy("o", "x").limit(sample).toPandas() for y in (0, 1)]
-    if not all(map(len, parts)):
-        return None
-    x = np.concatenate([np.frombuffer(b"".join(map(bytes, p["x"])), np.uint8).reshape(-1, WINDOW) for p in parts])
-    return train(x, np.repeat([0.0, 1.0], [len(p) for p in parts]))
+    return train(pin(each.where("y < 2").distinct(), "windows"))
 
 
 def find_secrets(scanned: DataFrame, net: Net | None, key: str = "doc_id") -> DataFrame:

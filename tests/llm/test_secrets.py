@@ -7,7 +7,9 @@ import re
 import numpy as np
 import pytest
 
-from priceshape.llm import charnet, secrets
+from pyspark.sql import functions as F
+
+from priceshape.llm import averaging, charnet, secrets
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -120,3 +122,49 @@ def test_redacted_texts_are_those_of_single_scoring(spark):
         want += (r.text or "")[done:]
         assert cleaned[r.doc_id][0] == (want if r.text is not None else None)
         assert cleaned[r.doc_id][1] == (len(want) if spans else r.n_chars)
+
+
+def _windows(n, seed):
+    rng = random.Random(seed)
+    texts = [f"see {rng.getrandbits(80):020x} now" if i % 2 else f"at 10.{i}.{rng.randrange(99)}.{rng.randrange(9999)} now" for i in range(n)]
+    return np.concatenate([charnet.windows(t, 4, len(t) - 4) for t in texts]), np.arange(n) % 2
+
+
+def test_network_of_one_shard_is_that_of_the_windows(spark):
+    x, y = _windows(300, 1)
+    rows = spark.createDataFrame([(int(b), bytes(a)) for a, b in zip(x, y, strict=True)], "y int, x binary")
+    net = averaging.train(rows)
+    order = [r.x for r in rows.orderBy("y", F.xxhash64("x"), "x").collect()]
+    want = charnet.train(np.frombuffer(b"".join(map(bytes, order)), np.uint8).reshape(x.shape), np.sort(y).astype(float))
+    assert (net.vector() == want.vector()).all() and net.recall == want.recall
+    assert abs(net.slope - want.slope) < 1e-3 and abs(net.threshold - want.threshold) < 1e-3
+
+
+def test_every_labelled_window_counts(spark):
+    """More windows than one task holds: all are learnt from, in the end by one network, and the
+    threshold is over all of them."""
+    x, y = _windows(2400, 2)
+    rows = spark.createDataFrame([(int(b), bytes(a)) for a, b in zip(x, y, strict=True)], "y int, x binary")
+    net = averaging.train(rows, shard=600)
+    assert net.recall == 1176 / 1200
+    assert (net.vector() == averaging.train(rows.repartition(7), shard=600).vector()).all()
+    fresh, truth = _windows(800, 3)
+    p = net.probabilities(fresh)
+    assert (p[truth == 1] >= net.threshold).mean() >= 0.9 and (p[truth == 0] >= net.threshold).mean() <= 0.1
+
+
+def test_more_than_two_thousand_of_a_kind_are_learnt_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(secrets, "train", lambda rows: seen.append(rows.groupBy("y").count().orderBy("y").collect()))
+    rng = random.Random(4)
+    text = " ".join(f"see {rng.getrandbits(80):020x} and 10.{i}.{rng.randrange(99)}.12345 now" for i in range(2100))
+    secrets.fit(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    assert [r["count"] for r in seen[0]] == [2100, 2100]
+
+
+def test_nth_value(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), [1e9, -1e-300, 0.0]])
+    frame = spark.createDataFrame([(float(v),) for v in values], "margin double")
+    for n in (0, 1, 60, 2000, 3502):
+        assert averaging._nth(frame, n) == np.sort(values)[n]
