@@ -29,6 +29,19 @@ class Trees:
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -40, 40)))
 
 
+def splits(left_g: np.ndarray, left_h: np.ndarray, ridge: float, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature and bin of the best split of each node, and whether it gains anything; the sums (nodes,
+    features, bins) are over the bins up to each."""
+    nodes, _, bins = left_g.shape
+    all_g, all_h = left_g[:, :1, -1:], left_h[:, :1, -1:]
+    gain = (left_g**2 / (left_h + ridge)
+            + (all_g - left_g) ** 2 / (all_h - left_h + ridge) - all_g**2 / (all_h + ridge))
+    gain[(left_h < least) | (all_h - left_h < least)] = -1
+    gain = gain[:, :, :-1].reshape(nodes, -1)
+    best = gain.argmax(1)
+    return *np.divmod(best, bins - 1), gain[np.arange(nodes), best] > 1e-6
+
+
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, bins: int = 48,
         rate: float = 0.15, ridge: float = 1.0, least: float = 4.0) -> Trees:
     """Logistic loss, second-order splits on quantile bins; ``least`` is the hessian of a child."""
@@ -57,14 +70,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 4, bins: int
             size = nodes * features * bins
             left_g = np.bincount(key, np.repeat(g, features), size).reshape(shape).cumsum(2)
             left_h = np.bincount(key, np.repeat(h, features), size).reshape(shape).cumsum(2)
-            all_g, all_h = left_g[:, :1, -1:], left_h[:, :1, -1:]
-            gain = (left_g**2 / (left_h + ridge)
-                    + (all_g - left_g) ** 2 / (all_h - left_h + ridge) - all_g**2 / (all_h + ridge))
-            gain[(left_h < least) | (all_h - left_h < least)] = -1
-            gain = gain[:, :, :-1].reshape(nodes, -1)
-            best = gain.argmax(1)
-            f, b = np.divmod(best, bins - 1)
-            good = gain[np.arange(nodes), best] > 1e-6
+            f, b, good = splits(left_g, left_h, ridge, least)
             feature[first:first + nodes] = np.where(good, f, 0)
             threshold[first:first + nodes] = np.where(good, cuts[f, b], np.inf)
             node = 2 * node + (x[np.arange(n), feature[first + node]] > threshold[first + node])

@@ -1,6 +1,6 @@
 """Quality classifier: boosted trees over statistics of the whole text.
 
-The trees are trained on the driver from at most ``sample`` labelled documents (a documented bound);
+The trees are trained on all labelled documents, by the tasks where they are more than ``LOCAL``;
 scoring runs over all documents, where they lie, in Arrow batches: no shuffle of texts.
 """
 
@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priceshape.llm.boosting import Trees, fit
+from priceshape.llm.boosting_rows import fit_rows
 from priceshape.llm.common import col, map_rows, query, slices, table
+from priceshape.scratch import pin
 
-#: Labelled rows that the trees are trained on.
-SAMPLE = 20_000
+#: Labelled rows up to which the trees are fitted on the driver.
+LOCAL = 20_000
 #: Predicted 1 from this score on.
 CUT = 0.3
 
@@ -67,20 +69,17 @@ def _bucket(key: str):
     return F.pmod(F.crc32(F.coalesce(col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id",
+def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, key: str = "doc_id",
           text: str = "text", label: str = "quality") -> Trees:
-    """Trees fitted on a seeded sample of at most ``sample`` labelled documents.
+    """Trees fitted on all labelled documents: on the driver up to ``local`` rows, else by the tasks.
 
     Only keys whose crc32 as text leaves a remainder other than 0 by 5 are learnt from. A repeated
     label counts once, the higher one. Without labels every score is 0.5.
     """
-    order = F.xxhash64(F.lit(9), "_id")
-    known = (labels.select(col(key).alias("_id"), col(label).cast("int").alias("_y"))
-             .where("_id IS NOT NULL AND _y IS NOT NULL").where(_bucket("_id") != 0)
-             .groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(order, "_id").limit(sample))
-    # At most ``sample`` short rows: a bounded broadcast.
-    rows = docs.select(col(key).alias("_id"), col(text).alias("_text")).join(
-        F.broadcast(known), "_id")
+    known = pin(labels.select(col(key).alias("_id"), col(label).cast("int").alias("_y"))
+                .where("_id IS NOT NULL AND _y IS NOT NULL").where(_bucket("_id") != 0)
+                .groupBy("_id").agg(F.max("_y").alias("_y")), "labels")
+    rows = docs.select(col(key).alias("_id"), col(text).alias("_text")).join(known, "_id")
 
     def features(batches):
         for batch in slices(batches):
@@ -90,10 +89,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
                  pa.array([r.tobytes() for r in x], pa.binary())],
                 ["id", "y", "x"])
 
-    made = rows.mapInArrow(features, "id string, y int, x binary").orderBy(
-        F.xxhash64(F.lit(9), "id"), "id", "x").limit(sample).toPandas()
-    x = np.frombuffer(b"".join(made["x"]), dtype=np.float32).reshape(len(made), WIDTH)
-    return fit(x.astype(np.float64), made["y"].to_numpy(dtype=np.float64))
+    made = pin(rows.mapInArrow(features, "id string, y int, x binary"), "features")
+    if made.count() > local:
+        return fit_rows(made, WIDTH)
+    some = made.orderBy(F.xxhash64(F.lit(9), "id"), "id", "x").toPandas()
+    x = np.frombuffer(b"".join(some["x"]), dtype=np.float32).reshape(len(some), WIDTH)
+    return fit(x.astype(np.float64), some["y"].to_numpy(dtype=np.float64))
 
 
 def quality_scores(docs: DataFrame, model: Trees, cut: float = CUT, key: str = "doc_id",

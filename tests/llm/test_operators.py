@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from priceshape.llm import (
-    boosting, charnet, chat, components, covering, mixing, multi_index, quality, secrets,
+    boosting, boosting_rows, charnet, chat, components, covering, mixing, multi_index, quality, secrets,
     sharding, simhash, tokenizing, topk, tree_bpe, varbyte,
 )
 
@@ -492,6 +492,31 @@ def test_boosted_trees():
     assert (boosting.fit(x[:0], y[:0]).score(x[:3]) == 0.5).all()
 
 
+def test_trees_of_all_rows(spark):
+    """The tasks fit the trees of the driver where the bins are alike; every row counts, wherever it lies."""
+    rng = np.random.default_rng(12)
+    x = rng.integers(-9, 9, (1500, 5)).astype(np.float32) / 4
+    y = (x[:, 1] * x[:, 3] + rng.normal(0, 0.3, 1500) > 0.2).astype(int)
+    rows = spark.createDataFrame([(int(b), a.tobytes()) for a, b in zip(x, y, strict=True)], "y int, x binary")
+    want = boosting.fit(x.astype(float), y.astype(float), trees=12, depth=3, bins=16)
+    got = boosting_rows.fit_rows(rows, 5, trees=12, depth=3, bins=16)
+    assert abs(got.score(x) - want.score(x)).max() < 1e-6
+    other = boosting_rows.fit_rows(rows.repartition(5), 5, trees=12, depth=3, bins=16)
+    assert all((a == b).all() for a, b in zip((got.feature, got.leaf), (other.feature, other.leaf), strict=True))
+    edges = boosting_rows.bin_edges(rows, 5, 1500, 16)
+    assert (edges == np.quantile(x, np.linspace(0, 1, 17)[1:-1], axis=0, method="lower").T).all()
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """More labelled documents than the driver takes are all counted."""
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda rows, width: seen.append(rows.count()))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"), 10)
+    assert seen == [len(ids)]
+
+
 def test_quality_on_held_out_documents(spark, docs, empty):
     folder = "/root/testdata/sf0.01"
     all_docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
