@@ -1,7 +1,8 @@
 """Quality classifier: boosted trees over statistics of the whole text.
 
 The trees are trained on all labelled documents, by the tasks where they are more than ``LOCAL``;
-scoring runs over all documents, where they lie, in Arrow batches: no shuffle of texts.
+statistics are taken of all documents, where they lie, in Arrow batches. Only they meet the labels: no
+shuffle of texts.
 """
 
 from __future__ import annotations
@@ -69,27 +70,35 @@ def _bucket(key: str):
     return F.pmod(F.crc32(F.coalesce(col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
+def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and ``statistics`` (single-precision values, binary) of each row, from the whole text."""
+    rows = docs.select(col(key).alias("_id"), col(text).alias("_text"))
+
+    def made(batches):
+        for batch in slices(batches):
+            x = _matrix(batch.column("_text").to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["_id", "statistics"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(made, f"_id {kind}, statistics binary").withColumnRenamed("_id", key)
+
+
 def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, key: str = "doc_id",
-          text: str = "text", label: str = "quality") -> Trees:
+          text: str = "text", label: str = "quality", statistics: str | None = None) -> Trees:
     """Trees fitted on all labelled documents: on the driver up to ``local`` rows, else by the tasks.
 
     Only keys whose crc32 as text leaves a remainder other than 0 by 5 are learnt from. A repeated
-    label counts once, the higher one. Without labels every score is 0.5.
+    label counts once, the higher one. Without labels every score is 0.5. ``statistics`` names a column
+    of ``described`` that takes the place of the text.
     """
     known = pin(labels.select(col(key).alias("_id"), col(label).cast("int").alias("_y"))
                 .where("_id IS NOT NULL AND _y IS NOT NULL").where(_bucket("_id") != 0)
                 .groupBy("_id").agg(F.max("_y").alias("_y")), "labels")
-    rows = docs.select(col(key).alias("_id"), col(text).alias("_text")).join(known, "_id")
-
-    def features(batches):
-        for batch in slices(batches):
-            x = _matrix(batch.column("_text").to_pylist()).astype(np.float32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").cast(pa.string()), batch.column("_y"),
-                 pa.array([r.tobytes() for r in x], pa.binary())],
-                ["id", "y", "x"])
-
-    made = pin(rows.mapInArrow(features, "id string, y int, x binary"), "features")
+    learnt = docs.where(_bucket(key) != 0)
+    rows = (learnt.select(col(key).alias("_id"), col(statistics).alias("x")) if statistics
+            else described(learnt, key, text).toDF("_id", "x")).join(known, "_id")
+    made = pin(rows.select(F.col("_id").cast("string").alias("id"), F.col("_y").alias("y"), "x"), "features")
     if made.count() > local:
         return fit_rows(made, WIDTH)
     some = made.orderBy(F.xxhash64(F.lit(9), "id"), "id", "x").toPandas()
@@ -98,17 +107,20 @@ def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, key: str = "do
 
 
 def quality_scores(docs: DataFrame, model: Trees, cut: float = CUT, key: str = "doc_id",
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", statistics: str | None = None) -> DataFrame:
     """The key of every document with ``held_out``, ``score`` (0 to 1) and ``predicted`` (0 or 1).
 
     One row per input row, repeated rows included; NULL and empty texts are scored as empty texts.
-    A NULL key counts as the empty text for ``held_out``. Other columns are left out.
+    A NULL key counts as the empty text for ``held_out``. Other columns are left out. ``statistics``
+    names a column of ``described`` that takes the place of the text.
     """
-    rows = docs.select(col(key).alias("_id"), _bucket(key).alias("_b"), col(text).alias("_text"))
+    rows = docs.select(col(key).alias("_id"), _bucket(key).alias("_b"), col(statistics or text).alias("_x"))
 
     def scored(batches):
-        for batch in slices(batches):
-            p = model.score(_matrix(batch.column("_text").to_pylist()).astype(np.float32))
+        for batch in slices(batches, 4096 if statistics else 256):
+            x = batch.column("_x").to_pylist()
+            p = model.score(np.frombuffer(b"".join(x), np.float32).reshape(-1, WIDTH) if statistics
+                            else _matrix(x).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array([b == 0 for b in batch.column("_b").to_pylist()], pa.bool_()),
                  pa.array(p, pa.float64()), pa.array((p >= cut).astype(np.int32))],
@@ -133,5 +145,6 @@ def keep_quality(docs: DataFrame, model: Trees, cut: float = CUT, text: str = "t
 @query("op9_quality_trees")
 def op9(spark, sf_dir):
     """Quality score of every document, held-out ones marked."""
-    docs = table(spark, sf_dir, "documents")
-    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels")))
+    docs = pin(described(table(spark, sf_dir, "documents")), "statistics")
+    model = train(docs, table(spark, sf_dir, "labels"), statistics="statistics")
+    return quality_scores(docs, model, statistics="statistics")

@@ -517,6 +517,39 @@ def test_quality_learns_from_every_label(spark, monkeypatch):
     assert seen == [len(ids)]
 
 
+def test_closed_nodes_of_all_rows(spark):
+    """Sums taken from the parent and the other child hold where nodes are closed or empty."""
+    rng = np.random.default_rng(21)
+    x = rng.integers(-9, 9, (150, 4)).astype(np.float32)
+    y = (x[:, 0] > 3).astype(int)
+    rows = spark.createDataFrame([(int(b), a.tobytes()) for a, b in zip(x, y, strict=True)], "y int, x binary").repartition(3)
+    want = boosting.fit(x.astype(float), y.astype(float), trees=25, bins=16)
+    got = boosting_rows.fit_rows(rows, 4, trees=25, bins=16)
+    assert not np.isfinite(want.threshold).all() and abs(got.score(x) - want.score(x)).max() < 1e-6
+
+
+def test_quality_shuffles_no_texts(spark, monkeypatch):
+    """Numbers meet the labels, not the texts: a table of long texts is never dealt out."""
+    texts = [words(i, 4000) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    plans, plain = [], quality.pin
+
+    def pin(df, label="stage"):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(df, label)
+
+    monkeypatch.setattr(quality, "pin", pin)
+    model = quality.train(docs, labels)
+    joined = dict(plans)["features"]
+    assert joined.index("Join") < joined.index("MapInArrow")  # the statistics are taken below the join
+    told = plain(quality.described(docs), "statistics")
+    same = quality.train(told, labels, statistics="statistics")
+    assert (same.feature == model.feature).all() and (same.leaf == model.leaf).all()
+    assert sorted(quality.quality_scores(told, same, statistics="statistics").collect()) == sorted(
+        quality.quality_scores(docs, model).collect())
+
+
 def test_quality_on_held_out_documents(spark, docs, empty):
     folder = "/root/testdata/sf0.01"
     all_docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
