@@ -111,9 +111,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, key
     named = found.join(_roots(found.select("fp").distinct(), radius), "fp")
     kept = pin(named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("n"), "key", "h1", "h2")).alias("k"))
                .select("k.key", "k.h1", "k.h2"), "kept")
-    once = plain.withColumns({**hashes, "key": col(at)}).dropDuplicates(["h1", "h2", "key"])
-    same = (once["h1"] == kept["h1"]) & (once["h2"] == kept["h2"]) & once["key"].eqNullSafe(kept["key"])
-    return once.join(kept, same, "left_semi").select(plain.columns).toDF(*docs.columns)
+    # Structs of NULL are equal, so the join goes by the columns by which the rows are dealt already: the
+    # texts are shuffled once.
+    by = ["h1", "h2", "k"]
+    once = plain.withColumns({**hashes, "k": F.struct(col(at).alias("key"))}).dropDuplicates(by)
+    kept = kept.select("h1", "h2", F.struct("key").alias("k"))
+    return once.join(kept, by, "left_semi").select(plain.columns).toDF(*docs.columns)
 
 
 @query("op5_simhash_covering")

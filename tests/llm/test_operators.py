@@ -269,6 +269,20 @@ def test_blank_copy_goes(docs):
     assert 5 not in [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
 
 
+def test_texts_of_near_duplicates_are_shuffled_once(spark, docs):
+    frame = docs.union(docs.where("doc_id IS NULL"))  # a row without key that comes twice stays once
+    for threshold in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            kept = simhash.drop_near_duplicates(frame)
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            rows = kept.collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(rows) == len({(r.doc_id, r.text) for r in rows}) and any(r.doc_id is None for r in rows)
+        assert plan.count("Exchange hashpartitioning") == (2 if threshold == "-1" else 1)  # the texts; the kept keys
+
+
 def test_secrets_base_and_network(docs, empty):
     found = {r.doc_id: r for r in secrets.find_secrets(secrets.scan(docs), None).select(
         "doc_id", "n_assign", "n_access", "n_hex", secrets.spans_text("findings").alias("spans")).collect()}
